@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,11 +53,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def begin_scope(spark: SparkSession, scope: str) -> None:
-    """Name the scope of the scratch tables that follow, and drop those of an earlier use of it."""
+@contextmanager
+def scope(spark: SparkSession, name: str, fresh: bool = False) -> Iterator[None]:
+    """Scratch tables made meanwhile belong to a scope; ``fresh``: those of its earlier use are dropped."""
     global _scope
-    _scope = scope
-    drop_scratch(spark, scope)
+    if fresh:
+        drop_scratch(spark, name)
+    held, _scope = _scope, name
+    try:
+        yield
+    finally:
+        _scope = held
 
 
 def drop_scratch(spark: SparkSession, scope: str = "default") -> None:
