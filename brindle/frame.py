@@ -387,15 +387,15 @@ class Frame:
         right = other._with_order().where(F.col(ro).isNotNull()).select(F.lit(None).cast(left.schema["__l"].dataType).alias("__l"), F.struct(*other.columns).alias("__r"), F.col(ro).alias("__k"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col(ORDER))
         both = left.unionByName(right).withColumn("__t", F.col("__r").isNotNull())
         parts = [f"__g{i}" for i in range(len(groups))]
-        if not parts:
-            both = both.repartitionByRange(int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("__k").asc_nulls_first(), "__t", ORDER).withColumn("__p", F.spark_partition_id())
-            parts = ["__p"]
-            both = _written(both)
         ways = {"backward": ["backward"], "forward": ["forward"], "nearest": ["backward", "forward"]}[strategy]
         for way in ways:
-            both = both.withColumn(f"__{way}", self._asof_match(both, parts, way, allow_exact_matches))
-            if parts == ["__p"]:
-                both = self._inherited(both, way)
+            # With exact matches a right row comes before the left rows of its key, in the direction of the search.
+            first = F.col("__t") != F.lit(allow_exact_matches)
+            order = [F.col("__k").asc_nulls_first() if way == "backward" else F.col("__k").desc_nulls_last(), first.asc(), F.col(ORDER).asc()]
+            if parts:
+                both = both.withColumn(f"__{way}", F.last("__r", True).over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+            else:
+                both = self._asof_ranges(both, order, way)
         found = both.where("not __t")
         pick = F.col(f"__{ways[0]}")
         if len(ways) == 2:
@@ -412,24 +412,19 @@ class Frame:
         return Frame(out.select(*[F.col("__l")[c].alias(c) for c in self.columns], *[F.col("__m")[c].alias(shown[c]) for c in payload]))
 
     @staticmethod
-    def _asof_match(df: DataFrame, parts: list[str], way: str, exact: bool) -> Column:
-        # With exact matches a right row comes before the left rows of its key, seen in the direction of the search.
-        first = F.when(F.col("__t"), 0 if exact else 1).otherwise(1 if exact else 0)
-        if way == "backward":
-            order = [F.col("__k").asc_nulls_first(), first, F.col(ORDER)]
-        else:
-            order = [F.col("__k").desc_nulls_last(), first, F.col(ORDER)]
-        return F.last("__r", True).over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-
-    @staticmethod
-    def _inherited(df: DataFrame, way: str) -> DataFrame:
-        """Where a range has no right row yet, the nearest one of the ranges before (or after) it."""
-        pick = F.max if way == "backward" else F.min
-        ends = df.where("__t").groupBy("__p").agg(pick(F.struct(F.col("__k"), (F.col(ORDER) if way == "backward" else -F.col(ORDER)).alias("o"), F.col("__r"))).alias("e"))
-        order = Window.orderBy(F.col("q") if way == "backward" else F.desc("q")).rowsBetween(Window.unboundedPreceding, -1)
-        every = df.select("__p").distinct().join(ends.withColumnRenamed("__p", "q2"), F.col("__p") == F.col("q2"), "left").select(F.col("__p").alias("q"), "e")
-        carried = every.select("q", F.last("e", True).over(order)["__r"].alias("__c"))
-        return df.join(F.broadcast(carried), F.col("__p") == F.col("q")).withColumn(f"__{way}", F.coalesce(f"__{way}", "__c")).drop("q", "__c")
+    def _asof_ranges(df: DataFrame, order: list[Column], way: str) -> DataFrame:
+        """The match within each range of the order; where a range has no right row yet, the last one of the ranges before."""
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = _written(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
+        inside = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        down = way == "forward"
+        held = F.struct(F.col("__k"), (-F.col(ORDER) if down else F.col(ORDER)).alias("o"), F.col("__r"))
+        # One row per range.
+        ends = df.groupBy("__p").agg((F.min if down else F.max)(F.when(F.col("__t"), held)).alias("e"))
+        before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(F.col("__p").alias("__q"), F.last("e", True).over(before)["__r"].alias("__c"))
+        out = df.withColumn("__m", F.last("__r", True).over(inside)).join(F.broadcast(carried), F.col("__p") == F.col("__q"))
+        return out.withColumn(f"__{way}", F.coalesce("__m", "__c")).drop("__p", "__q", "__c", "__m")
 
     # -- grouping ---------------------------------------------------------------------
 

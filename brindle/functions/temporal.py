@@ -214,8 +214,9 @@ WEEKDAYS = (True, True, True, True, True, False, False)
 
 
 def business_day_count(start: Column, end: Column, week_mask: tuple[bool, ...] = WEEKDAYS, holidays: list[str] = ()) -> Column:
-    """Business days in [start, end), negative backward."""
-    return business_days_since(end, week_mask, list(holidays)) - business_days_since(start, week_mask, list(holidays))
+    """Business days from start up to but without end; negative backward, where start counts too."""
+    since = lambda c: business_days_since(c, week_mask, list(holidays))
+    return F.when(end >= start, since(end) - since(start)).otherwise(since(F.date_add(end, 1)) - since(F.date_add(start, 1)))
 
 
 def is_business_day(c: Column, week_mask: tuple[bool, ...] = WEEKDAYS, holidays: list[str] = ()) -> Column:
