@@ -65,7 +65,8 @@ def find_links(nodes: DataFrame, payloads: Callable[[DataFrame], DataFrame], ver
             now = materialize(now, "members")
             mixed = now.groupBy(F.col("k").alias("k2")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("k2")
             now = materialize(now.join(materialize(mixed, "mixed"), F.col("k") == F.col("k2")).drop("k2"), "open")
-        slot = F.pmod(F.xxhash64("comp", F.lit(turn)), F.lit(CENTRES))
+        # First everything meets its bucket's most central row; what stays apart then meets one of each of several shares of the components.
+        slot = F.pmod(F.xxhash64("comp", F.lit(turn)), F.lit(CENTRES if turn else 1))
         centres = now.groupBy(F.col("k").alias("k2"), slot.alias("slot")).agg(F.max(F.struct("c", F.col("_digest").alias("b"), F.col("comp").alias("other"))).alias("m"))
         centres = materialize(centres.select("k2", "m.b", "m.other"), "centres")
         pairs = now.join(centres, F.col("k") == F.col("k2")).where("comp != other").select(F.col("_digest").alias("a"), "b").distinct()
