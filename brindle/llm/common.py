@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words; every other character belongs to one.
@@ -53,6 +53,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str, test: Column | None = None) -> tuple[DataFrame, int]:
+    """materialize(), and how many of the rows (or of those that pass the test) were written."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    seen = Observation()
+    df.observe(seen, F.count_if(F.lit(True) if test is None else test).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), (seen.get or {}).get("n", 0)
+
+
 @contextmanager
 def scope(spark: SparkSession, name: str, fresh: bool = False) -> Iterator[None]:
     """Scratch tables made meanwhile belong to a scope; ``fresh``: those of its earlier use are dropped."""

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize
+from brindle.llm.common import materialize, materialize_counted
 
 #: Rows of a bucket that others are compared with, a round.
 CENTRES = 4
@@ -25,15 +25,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each pass takes the smallest label of the neighbours and then that label's own label, so
     passes grow with the logarithm of a component's diameter. Every pass is written.
     """
-    edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")), "edges")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")
+    edges = materialize(links.select(ends).select("e.u", "e.v"), "edges")
     labels = materialize(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels")
     while True:
         near = edges.join(labels, F.col("u") == F.col("node")).groupBy(F.col("v").alias("w")).agg(F.min("label").alias("near"))
         better = labels.join(near, F.col("node") == F.col("w")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("to"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("beyond"))
-        after = materialize(better.join(jump, F.col("to") == F.col("at"), "left").select("node", "old", F.least("to", F.coalesce("beyond", "to")).alias("label")), "labels")
+        after = better.join(jump, F.col("to") == F.col("at"), "left").select("node", "old", F.least("to", F.coalesce("beyond", "to")).alias("label"))
+        after, changed = materialize_counted(after, "labels", F.col("old") != F.col("label"))
         labels = after.select("node", "label")
-        if after.where("old != label").isEmpty():
+        if not changed:
             return labels
 
 
@@ -47,8 +49,8 @@ def find_links(nodes: DataFrame, payloads: Callable[[DataFrame], DataFrame], ver
     """
     rows = nodes.select("_digest", F.explode("_keys").alias("k"))
     shared = materialize(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("k", "k2"), "buckets")
-    members = materialize(rows.join(shared, F.col("k") == F.col("k2")).select("k", "_digest", "n"), "members")
-    if members.isEmpty():
+    members, any_shared = materialize_counted(rows.join(shared, F.col("k") == F.col("k2")).select("k", "_digest", "n"), "members")
+    if not any_shared:
         return None, None
     # A row that many others resemble lies in many large buckets.
     central = members.groupBy(F.col("_digest").alias("d")).agg(F.sum("n").alias("c"))
@@ -75,11 +77,10 @@ def find_links(nodes: DataFrame, payloads: Callable[[DataFrame], DataFrame], ver
         pairs = materialize(pairs, "pairs")
         one, two = (sigs.select(F.col("_digest").alias(f"d{x}"), F.col("_sig").alias(f"s{x}")) for x in "ab")
         close = pairs.join(one, F.col("a") == F.col("da")).join(two, F.col("b") == F.col("db")).where(F.size(F.array_intersect("sa", "sb")) >= enough).select("a", "b")
-        close = materialize(close, "close")
         one, two = (held.select(F.col("_digest").alias(f"d{x}"), F.col("_payload").alias(f"_payload_{x}")) for x in "ab")
         met = close.join(one, F.col("a") == F.col("da")).join(two, F.col("b") == F.col("db"))
-        found = materialize(verify(met.select("a", "b", "_payload_a", "_payload_b")), "links")
-        if found.isEmpty():
+        found, new = materialize_counted(verify(met.select("a", "b", "_payload_a", "_payload_b")), "links")
+        if not new:
             return links, labels
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
