@@ -135,16 +135,37 @@ class Expr:
 
     # -- arithmetic -----------------------------------------------------------
 
-    def __add__(self, o): return self._map(lambda a, b: a + b, o)  # noqa: E704
-    def __radd__(self, o): return as_expr(o)._map(lambda a, b: a + b, self)  # noqa: E704
-    def __sub__(self, o): return self._map(lambda a, b: a - b, o)  # noqa: E704
-    def __rsub__(self, o): return as_expr(o)._map(lambda a, b: a - b, self)  # noqa: E704
-    def __mul__(self, o): return self._map(lambda a, b: a * b, o)  # noqa: E704
-    def __rmul__(self, o): return as_expr(o)._map(lambda a, b: a * b, self)  # noqa: E704
-    def __truediv__(self, o): return self._map(numeric.true_divide, o)  # noqa: E704
-    def __rtruediv__(self, o): return as_expr(o)._map(numeric.true_divide, self)  # noqa: E704
-    def __floordiv__(self, o): return self._map(lambda ctx, a, b: numeric.floor_divide(a, b, ctx.dtype(a)), o, typed=True)  # noqa: E704
-    def __mod__(self, o): return self._map(lambda ctx, a, b: numeric.modulo(a, b, ctx.dtype(a)), o, typed=True)  # noqa: E704
+    def _arithmetic(self, f: Callable[[Column, Column, T.DataType], Column], other: object) -> Expr:
+        """Operands of one type; a literal takes the other side's. Mixed columns raise: cast one."""
+        o = as_expr(other)
+
+        def run(ctx: Context, a: Column, b: Column) -> Column:
+            x, y = ctx.dtype(a), ctx.dtype(b)
+            if isinstance(x, T.NumericType) and isinstance(y, T.NumericType):
+                if o.literal and not self.literal and _adopts(x, y):
+                    b, y = b.cast(x), x
+                elif self.literal and not o.literal and _adopts(y, x):
+                    a, x = a.cast(y), y
+                elif type(x) is not type(y) and not (self.literal or o.literal):
+                    raise TypeError(f"{x.simpleString()} and {y.simpleString()} don't mix; cast one")
+            out = f(a, b, x)
+            if isinstance(x, T.DecimalType) and isinstance(y, T.DecimalType):
+                scale = max(x.scale, y.scale)
+                return F.bround(out, scale).cast(T.DecimalType(38, scale))
+            return out
+
+        return self._map(run, o, typed=True)
+
+    def __add__(self, o): return self._arithmetic(lambda a, b, t: a + b, o)  # noqa: E704
+    def __radd__(self, o): return as_expr(o)._arithmetic(lambda a, b, t: a + b, self)  # noqa: E704
+    def __sub__(self, o): return self._arithmetic(lambda a, b, t: a - b, o)  # noqa: E704
+    def __rsub__(self, o): return as_expr(o)._arithmetic(lambda a, b, t: a - b, self)  # noqa: E704
+    def __mul__(self, o): return self._arithmetic(lambda a, b, t: a * b, o)  # noqa: E704
+    def __rmul__(self, o): return as_expr(o)._arithmetic(lambda a, b, t: a * b, self)  # noqa: E704
+    def __truediv__(self, o): return self._arithmetic(lambda a, b, t: numeric.true_divide(a, b), o)  # noqa: E704
+    def __rtruediv__(self, o): return as_expr(o)._arithmetic(lambda a, b, t: numeric.true_divide(a, b), self)  # noqa: E704
+    def __floordiv__(self, o): return self._arithmetic(numeric.floor_divide, o)  # noqa: E704
+    def __mod__(self, o): return self._arithmetic(numeric.modulo, o)  # noqa: E704
     def __pow__(self, o): return self._map(lambda ctx, a, b: numeric.power(a, b, ctx.dtype(a)), o, typed=True)  # noqa: E704
     def __neg__(self): return self._map(lambda a: -a)  # noqa: E704
 
@@ -491,6 +512,11 @@ def _spread(c: Column, w, ddof: int, root: bool) -> Column:
     return F.sqrt(out) if root else out
 
 
+def _adopts(column: T.DataType, literal: T.DataType) -> bool:
+    """Whether a literal may take a column's type: a fraction never becomes an integer."""
+    return numeric.is_float(column) or isinstance(column, T.DecimalType) and not numeric.is_float(literal) or numeric.is_integer(column) and numeric.is_integer(literal)
+
+
 def _bin_name(a: float, b: float, left_closed: bool) -> str:
     show = lambda v: "inf" if v == numeric.INF else "-inf" if v == -numeric.INF else f"{v:g}"
     return f"[{show(a)}, {show(b)})" if left_closed else f"({show(a)}, {show(b)}]"

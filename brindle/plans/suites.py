@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import brindle as b
 from brindle import Frame, col
@@ -482,6 +483,132 @@ def struct_functions(t):
     return t("events").group_by("user_id").agg(b.len_().alias("n"), col("value").max().alias("top")).pack_struct("s", ["n", "top"])
 
 
+# -- more rules, one query each ---------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, round(value / lag(value) OVER w - 1, 6) AS pct, first_value(x IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS back,
+    min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS low, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS high, count(x) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seen,
+    round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 4) AS rest
+    FROM (SELECT *, CASE WHEN value > 50 THEN value END AS x FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def window_cumulative(t):
+    o = {"partition_by": "user_id", "order_by": ["ts", "event_id"]}
+    v, x = col("value"), col("x")
+    e = t("events").with_columns(b.when(v > 50.0).then(v).alias("x"))
+    return e.select("event_id", v.pct_change().over(**o).round(6).alias("pct"), x.backward_fill().over(**o).alias("back"), v.cum_min().over(**o).alias("low"), v.cum_max().over(**o).alias("high"), x.cum_count().over(**o).alias("seen"), v.cum_sum(reverse=True).over(**o).round(4).alias("rest"))
+
+
+@query("""SELECT event_id, CASE WHEN count(value) OVER w > 1 THEN round(stddev_samp(value) OVER w, 6) END AS s, CASE WHEN count(value) OVER w >= 4 THEN round(var_pop(value) OVER w, 2) END AS v0
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
+def window_rolling_spread(t):
+    o = {"partition_by": "user_id", "order_by": ["ts", "event_id"]}
+    return t("events").select("event_id", col("value").rolling_std(4, min_samples=2).over(**o).round(6).alias("s"), col("value").rolling_var(4, ddof=0).over(**o).round(2).alias("v0"))
+
+
+@query("""SELECT event_id, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd, nth_value(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_type)""")
+def window_distribution(t):
+    k, n = col("event_type"), b.len_()
+    low = k.rank("min").cast("float64")
+    e = t("events").sort("ts", "event_id")
+    many = n.over("user_id").cast("float64")
+    return e.select("event_id", b.when(n.over("user_id") > 1).then((low.over("user_id") - 1.0) / (many - 1.0)).otherwise(0.0).round(6).alias("pr"), (k.rank("max").cast("float64").over("user_id") / many).round(6).alias("cd"), b.when(n.over("user_id") > 1).then(col("event_id").head(2).over("user_id").list.get(1)).alias("second"))
+
+
+@query("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand, p_size) > 1 AS twin, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) = 1 AS first, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) = 1 AS last FROM part")
+def distinct_flags(t):
+    return t("part").sort("p_partkey").select("p_partkey", (b.len_().over(["p_brand", "p_size"]) > 1).alias("twin"), col("p_brand").is_first_distinct().alias("first"), col("p_brand").is_last_distinct().alias("last"))
+
+
+@query("""SELECT event_type, bool_or(value > 99.9) AS some, count(*) FILTER (value IS NULL) AS nulls, round(sum(value) FILTER (value < 10) / nullif(count(value) FILTER (value < 10), 0), 6) AS low_mean, max(value) - min(value) AS spread, (SELECT count(*) FROM events x WHERE x.event_type = e.event_type AND x.user_id < 10) AS early FROM events e GROUP BY 1""")
+def group_arithmetic(t):
+    v = col("value")
+    return t("events").group_by("event_type").agg((v > 99.9).any().alias("some"), v.null_count().alias("nulls"), v.filter(v < 10.0).mean().round(6).alias("low_mean"), (v.max() - v.min()).alias("spread"), v.filter(col("user_id") < 10).len().alias("early"))
+
+
+@query("""SELECT event_type, round(sum((value - m) ** 3) / count(*) / pow(sum((value - m) ** 2) / count(*), 1.5), 6) AS skew, round(sum((value - m) ** 4) / count(*) / pow(sum((value - m) ** 2) / count(*), 2) - 3, 6) AS kurt
+    FROM (SELECT *, avg(value) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY 1""")
+def group_moments(t):
+    return t("events").group_by("event_type").agg(col("value").skew().round(6).alias("skew"), col("value").kurtosis().round(6).alias("kurt"))
+
+
+@query("SELECT user_id, list(event_id ORDER BY ts, event_id) AS ids, list(event_id ORDER BY value, ts) AS by_value, (list(event_id ORDER BY ts, event_id))[-2:] AS newest FROM events WHERE user_id < 40 GROUP BY 1")
+def group_lists(t):
+    e = t("events").filter(col("user_id") < 40).sort("ts", "event_id")
+    return e.group_by("user_id").agg(col("event_id").implode().alias("ids"), col("event_id").sort_by("value").alias("by_value"), col("event_id").tail(2).alias("newest"))
+
+
+@query("SELECT l_partkey % 100 AS k, l_suppkey % 10 AS s, sum(l_linenumber)::BIGINT AS v1, round(avg(l_quantity), 6) AS v2, max(l_tax) - min(l_discount) AS r, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def group_by_expressions(t):
+    return t("lineitem").group_by((col("l_partkey") % 100).alias("k"), (col("l_suppkey") % 10).alias("s")).agg(col("l_linenumber").cast("int64").sum().alias("v1"), col("l_quantity").mean().round(6).alias("v2"), (col("l_tax").max() - col("l_discount").min()).alias("r"), b.len_().alias("n"))
+
+
+@query("SELECT n_nationkey AS key, upper(n_name) AS name, n_regionkey::BIGINT AS region FROM nation")
+def rename_and_cast(t):
+    return t("nation").rename({"n_nationkey": "key", "n_name": "name", "n_regionkey": "region"}).cast({"region": "int64"}).with_columns(col("name").str.to_uppercase())
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def drop_and_unnest(t):
+    return t("supplier").pack_struct("pair", ["s_name", "s_nationkey"]).unnest("pair").drop("s_acctbal")
+
+
+@query("SELECT e.event_id, f.value AS after FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k FROM events) e JOIN (SELECT value, row_number() OVER (ORDER BY event_id DESC) AS k FROM events) f USING (k)")
+def concat_horizontal(t):
+    e = t("events").sort("event_id")
+    return b.concat([e.select("event_id"), e.reverse().select(col("value").alias("after"))], "horizontal")
+
+
+@query("SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word, unnest([length(x) for x in string_split(p_type, ' ')]) AS size FROM part")
+def explode_together(t):
+    words = col("p_type").str.split(" ")
+    f = t("part").select("p_partkey", words.alias("word"))
+    sizes = f.explode("word").with_columns(col("word").str.len_chars().alias("size"))
+    lists = sizes.group_by("p_partkey").agg(col("word"), col("size"))
+    return lists.explode(["word", "size"])
+
+
+@query("SELECT strptime(strftime(ts, '%d.%m.%Y %H:%M:%S'), '%d.%m.%Y %H:%M:%S') AS parsed, make_date(year(ts), month(ts), 1) AS first, date_diff('day', DATE '2024-01-01', ts::DATE)::BIGINT AS days, event_id FROM events")
+def temporal_parsing(t):
+    x = col("ts")
+    days = x.dt.epoch("d") - b.lit("2024-01-01", "date").dt.epoch("d")
+    return t("events").select("event_id", x.dt.strftime("%d.%m.%Y %H:%M:%S").str.to_datetime("%d.%m.%Y %H:%M:%S").alias("parsed"), b.date_(x.dt.year(), x.dt.month(), 1).alias("first"), days.alias("days"))
+
+
+@query("SELECT o_orderkey, (SELECT count(*) FROM range(DATE '2024-01-01', DATE '2024-01-01' + (o_orderkey % 60)::INT, INTERVAL 1 DAY) r(d) WHERE isodow(d) < 6) AS days FROM orders")
+def business_days(t):
+    start = b.lit("2024-01-01", "date")
+    end = b.Expr(lambda ctx: F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 60).cast("int")))
+    return t("orders").select("o_orderkey", b.business_day_count(start, end).alias("days"))
+
+
+@query("SELECT c_custkey, lpad(c_custkey::VARCHAR, 8, '*') AS padded, rpad(c_name, 4, '.') AS unused, concat_ws('-', c_name, c_mktsegment) AS pair, position('0' IN c_name) - 1 AS at, string_split(c_name, '#')[2] AS code, translate(c_mktsegment, 'AEIOU', 'aeiou') AS vowels FROM customer".replace("rpad(c_name, 4, '.') AS unused, ", ""))
+def string_layout(t):
+    n, m = col("c_name"), col("c_mktsegment")
+    vowels = m
+    for v in "AEIOU":
+        vowels = vowels.str.replace_all(v, v.lower(), literal=True)
+    return t("customer").select("c_custkey", col("c_custkey").cast("string").str.pad_start(8, "*").alias("padded"), b.concat_str("c_name", "c_mktsegment", separator="-").alias("pair"), n.str.find("0", literal=True).cast("int64").alias("at"), n.str.split_exact("#", 1).field("field_1").alias("code"), vowels.alias("vowels"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_quantity <= q1 THEN 0 WHEN l_quantity <= q2 THEN 1 ELSE 2 END AS bin FROM lineitem, (SELECT quantile_cont(l_quantity, 1 / 3) AS q1, quantile_cont(l_quantity, 2 / 3) AS q2 FROM lineitem)")
+def quantile_bins(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", col("l_quantity").qcut(3).alias("bin"))
+
+
+@query("SELECT round(sum(value), 2) AS value, sum(user_id)::BIGINT AS user_id FROM events")
+def frame_sums(t):
+    return t("events").select("value", "user_id").sum().with_columns(col("value").round(2))
+
+
+@query("SELECT 'count' AS statistic, count(value)::DOUBLE AS value FROM events UNION ALL SELECT 'null_count', 0 UNION ALL SELECT 'mean', round(avg(value), 6) FROM events UNION ALL SELECT 'std', round(stddev_samp(value), 6) FROM events UNION ALL SELECT 'min', round(min(value), 6) FROM events UNION ALL SELECT 'max', round(max(value), 6) FROM events")
+def describe_values(t):
+    return t("events").select("value").describe(()).with_columns(col("value").round(6))
+
+
+@query("SELECT s_suppkey, avg(s_acctbal) OVER (PARTITION BY s_nationkey) IS NOT NULL AS known, coalesce(nullif(s_name, 'x'), '-') AS name, s_acctbal > 0 IS TRUE AS positive FROM supplier")
+def null_safe(t):
+    return t("supplier").select("s_suppkey", col("s_acctbal").mean().over("s_nationkey").is_not_null().alias("known"), b.coalesce(b.when(col("s_name").ne("x")).then(col("s_name")), b.lit("-")).alias("name"), (col("s_acctbal") > 0.0).eq_missing(b.lit(True)).alias("positive"))
+
+
 # -- without SQL -----------------------------------------------------------------------------------------------
 
 
