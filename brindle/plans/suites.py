@@ -497,11 +497,11 @@ def window_cumulative(t):
     return e.select("event_id", v.pct_change().over(**o).round(6).alias("pct"), x.backward_fill().over(**o).alias("back"), v.cum_min().over(**o).alias("low"), v.cum_max().over(**o).alias("high"), x.cum_count().over(**o).alias("seen"), v.cum_sum(reverse=True).over(**o).round(4).alias("rest"))
 
 
-@query("""SELECT event_id, CASE WHEN count(value) OVER w > 1 THEN round(stddev_samp(value) OVER w, 6) END AS s, CASE WHEN count(value) OVER w >= 4 THEN round(var_pop(value) OVER w, 2) END AS v0
+@query("""SELECT event_id, CASE WHEN count(value) OVER w > 1 THEN round(stddev_samp(value) OVER w, 6) END AS s, CASE WHEN count(value) OVER w >= 4 THEN round(var_pop(value) OVER w, 8) END AS v0
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
 def window_rolling_spread(t):
     o = {"partition_by": "user_id", "order_by": ["ts", "event_id"]}
-    return t("events").select("event_id", col("value").rolling_std(4, min_samples=2).over(**o).round(6).alias("s"), col("value").rolling_var(4, ddof=0).over(**o).round(2).alias("v0"))
+    return t("events").select("event_id", col("value").rolling_std(4, min_samples=2).over(**o).round(6).alias("s"), col("value").rolling_var(4, ddof=0).over(**o).round(8).alias("v0"))
 
 
 @query("""SELECT event_id, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd, nth_value(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_type)""")
