@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import materialize, materialize_counted
@@ -39,23 +39,37 @@ def connected_components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def find_links(nodes: DataFrame, payloads: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], enough: int) -> tuple[DataFrame | None, DataFrame | None]:
+def _shared(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Of rows (k, ..) those whose key others have too, with its number n, and how many they are."""
+    many = rows.groupBy(F.col("k").alias("k2")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = materialize(many, "buckets")
+    return materialize_counted(rows.join(many, F.col("k") == F.col("k2")).drop("k2"), name)
+
+
+def find_links(
+    nodes: DataFrame,
+    payloads: Callable[[DataFrame], DataFrame],
+    verify: Callable[[DataFrame], DataFrame],
+    enough: int,
+    fine_keys: Column | None = None,
+) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (a, b) between nodes, and node, label of what they connect; None, None without links.
 
     ``nodes``: _digest (binary, unique), _keys (array of long: its buckets), _sig (array: two
     nodes with fewer than ``enough`` equal items aren't compared further). ``payloads``
     gets a DataFrame of _digest and returns (_digest, _payload). ``verify`` gets (a, b,
-    _payload_a, _payload_b) and returns the pairs (a, b) that are links.
+    _payload_a, _payload_b) and returns the pairs (a, b) that are links. ``fine_keys``: more,
+    narrower keys over _sig for the rounds after the first, where buckets hold little but
+    rows that are alike; without them the rounds go on with the same keys.
     """
-    rows = nodes.select("_digest", F.explode("_keys").alias("k"))
-    shared = materialize(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("k", "k2"), "buckets")
-    members, any_shared = materialize_counted(rows.join(shared, F.col("k") == F.col("k2")).select("k", "_digest", "n"), "members")
+    members, any_shared = _shared(nodes.select("_digest", F.explode("_keys").alias("k")), "members")
     if not any_shared:
         return None, None
     # A row that many others resemble lies in many large buckets.
     central = members.groupBy(F.col("_digest").alias("d")).agg(F.sum("n").alias("c"))
     members = materialize(members.join(central, F.col("_digest") == F.col("d")).select("k", "_digest", "c"), "members")
-    sigs = materialize(nodes.join(members.select("_digest").distinct(), "_digest", "left_semi").select("_digest", "_sig"), "sigs")
+    within = members.groupBy("_digest").agg(F.first("c").alias("c"))
+    sigs = materialize(nodes.join(within.withColumnRenamed("_digest", "d"), F.col("_digest") == F.col("d")).select("_digest", "_sig", "c"), "sigs")
     held = materialize(payloads(sigs.select("_digest")), "payloads")
     links = labels = tested = None
     turn = 0
@@ -63,6 +77,9 @@ def find_links(nodes: DataFrame, payloads: Callable[[DataFrame], DataFrame], ver
         if labels is None:
             now = members.withColumn("comp", F.col("_digest"))
         else:
+            if turn == 1 and fine_keys is not None:
+                members, _ = _shared(sigs.select("_digest", "c", F.explode(fine_keys).alias("k")), "fine")
+                members = members.drop("n")
             now = members.join(labels, F.col("_digest") == F.col("node"), "left").select("k", "_digest", "c", F.coalesce("label", "_digest").alias("comp"))
             now = materialize(now, "members")
             mixed = now.groupBy(F.col("k").alias("k2")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("k2")
@@ -80,11 +97,15 @@ def find_links(nodes: DataFrame, payloads: Callable[[DataFrame], DataFrame], ver
         one, two = (held.select(F.col("_digest").alias(f"d{x}"), F.col("_payload").alias(f"_payload_{x}")) for x in "ab")
         met = close.join(one, F.col("a") == F.col("da")).join(two, F.col("b") == F.col("db"))
         found, new = materialize_counted(verify(met.select("a", "b", "_payload_a", "_payload_b")), "links")
-        if not new:
-            return links, labels
-        links = found if links is None else links.unionByName(found)
+        # A first round without links is followed by one with the narrower keys.
+        if not new and (turn or fine_keys is None):
+            return (links, labels) if links is not None else (None, None)
+        if new:
+            links = found if links is None else links.unionByName(found)
+            labels = connected_components(links)
+        elif labels is None:
+            labels = sigs.select(F.col("_digest").alias("node"), F.col("_digest").alias("label"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = connected_components(links)
         turn += 1
 
 

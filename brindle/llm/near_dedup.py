@@ -32,6 +32,10 @@ FREQUENT = 1e-3
 #: Share of equal samples from which a candidate's whole texts are compared: 0.8 less over three
 #: standard deviations of the estimate.
 PRESELECT = 0.6
+#: Keys of the rounds after the first, of so many samples each: two texts of similarity 0.8 share
+#: none of them with a probability of 1e-4, and few texts below 0.65 share one.
+FINE_KEYS, FINE_ROWS = 64, 9
+
 _POOL = 1 << 16
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15
@@ -240,6 +244,13 @@ def _verified(pairs: DataFrame, weights) -> DataFrame:
     return pairs.select("a", "b", "_payload_a", "_payload_b").mapInPandas(run, "a binary, b binary")
 
 
+def _fine_keys() -> Column:
+    """Keys of FINE_ROWS samples each, drawn by a fixed seed."""
+    rng = np.random.default_rng(9)
+    chosen = [sorted(rng.choice(SAMPLES, FINE_ROWS, replace=False).tolist()) for _ in range(FINE_KEYS)]
+    return F.array(*[F.xxhash64(F.lit(k), *[F.element_at("_sig", j + 1) for j in own]) for k, own in enumerate(chosen)])
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Per row: its id, class_id, class_size and n_links.
 
@@ -263,6 +274,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
 
     found = F.filter(F.array(*[F.xxhash64(F.lit(k), *[F.element_at("_sig", k * ROWS + j + 1) for j in range(ROWS)]) for k in range(BANDS)]), lambda x: x.isNotNull())
     signed = nodes.where(F.size("_sig") > 0).select("_digest", "_sig", found.alias("_keys"))
-    links, labels = find_links(signed, texts, lambda pairs: _verified(pairs, weights), math.ceil(PRESELECT * SAMPLES))
+    links, labels = find_links(signed, texts, lambda pairs: _verified(pairs, weights), math.ceil(PRESELECT * SAMPLES), _fine_keys())
     out = materialize(with_classes(nodes, links, labels).withColumnRenamed("_digest", "d"), "classes")
     return rows.select("_id", "_digest").join(out, F.col("_digest") == F.col("d")).select(F.col("_id").alias(id_column), "class_id", "class_size", "n_links")
