@@ -64,6 +64,8 @@ class Expr:
         #: Whether the value looks at other rows than its own.
         self.windowed = shape != ROW or ordered
         self.renamer: Callable[[str], str] | None = None
+        #: Partition keys and the list whose elements become rows.
+        self.exploding: tuple[list[Expr], Expr] | None = None
 
     # -- making expressions -------------------------------------------------
 
@@ -119,7 +121,7 @@ class Expr:
 
     def alias(self, name: str) -> Expr:
         out = Expr(self.build, name, self.shape, self.ordered, self.expand)
-        out.keep, out.literal, out.windowed = self.keep, self.literal, self.windowed
+        out.keep, out.literal, out.windowed, out.exploding = self.keep, self.literal, self.windowed, self.exploding
         return out
 
     def name_prefix(self, prefix: str) -> Expr:
@@ -294,7 +296,11 @@ class Expr:
     # -- windows -------------------------------------------------------------------
 
     def over(self, partition_by=(), order_by=None, descending: bool = False, nulls_last: bool = False, mapping_strategy: str = "group_to_rows") -> Expr:
-        """The expression within partitions. A reduction reads the whole partition, ordered or not."""
+        """The expression within partitions. A reduction reads the whole partition, ordered or not.
+
+        ``mapping_strategy``: a list stays one in every row (``join``), or its elements become the
+        rows of the result (``explode``, in select only).
+        """
         keys = [as_expr(col(k) if isinstance(k, str) else k) for k in ([partition_by] if isinstance(partition_by, (str, Expr)) else partition_by)]
         orders = [] if order_by is None else [as_expr(col(k) if isinstance(k, str) else k) for k in ([order_by] if isinstance(order_by, (str, Expr)) else order_by)]
 
@@ -303,7 +309,12 @@ class Expr:
             way = tuple(_sort_key(o.build(ctx), descending, nulls_last) for o in orders)
             return self.build(replace(ctx, partition=by, order=(*way, ctx.row()) if way else (), grouped=False))
 
-        return self._looking(Expr(build, self.name, ROW, self.ordered or bool(orders), self.expand))
+        out = self._looking(Expr(build, self.name, ROW, self.ordered or bool(orders), self.expand))
+        if mapping_strategy == "explode":
+            if self.shape != SEQUENCE or orders:
+                raise ValueError("only a list of a partition's values can be exploded")
+            out.exploding = (keys, self)
+        return out
 
     @staticmethod
     def _looking(e: Expr) -> Expr:

@@ -51,6 +51,8 @@ class Frame:
     def collect_schema(self) -> dict[str, T.DataType]: return self.schema  # noqa: E704
     def collect(self) -> pa.Table: return self.df.toArrow()  # noqa: E704
     def fetch(self, n: int) -> pa.Table: return self.df.limit(n).toArrow()  # noqa: E704
+    def sink_csv(self, path: str, **options) -> None: _writers().write_csv(self, path, **options)  # noqa: E704
+    def sink_parquet(self, path: str, **options) -> None: _writers().write_parquet(self, path, **options)  # noqa: E704
     def explain(self, mode: str = "formatted") -> str: return self.df._sc._jvm.PythonSQLUtils.explainString(self.df._jdf.queryExecution(), mode)  # noqa: E704
     def rechunk(self) -> Frame: return self  # noqa: E704
 
@@ -130,6 +132,8 @@ class Frame:
         """Columns and expressions; only reductions give one row."""
         es = self._expanded(_flat(exprs))
         self._checked([n for n, _, _ in es])
+        if any(e.exploding for _, e, _ in es):
+            return self._exploded(es)
         df = self._with_order() if self._needs_order(es) else self.df
         if es and all(e.shape == REDUCED and not e.literal or e.literal for _, e, _ in es) and not all(e.literal for _, e, _ in es):
             return Frame(df.agg(*[e.build(Context(df, grouped=True, known=k)).alias(n) for n, e, k in es]))
@@ -138,6 +142,17 @@ class Frame:
             return Frame(lists).explode([n for n, _, _ in es])
         return Frame(df.select(*[e.build(Context(df, known=k)).alias(n) for n, e, k in es]))
 
+    def _exploded(self, es: list[tuple[str, Expr, dict]]) -> Frame:
+        """over(.., mapping_strategy='explode'): each partition's lists as rows, partitions as they first appear."""
+        keys = es[0][1].exploding
+        if any(e.exploding is None or [k.name for k in e.exploding[0]] != [k.name for k in keys[0]] for _, e, _ in es):
+            raise ValueError("exploded columns need the same partitions")
+        df = self._with_order()
+        by = [k.build(Context(df)).alias(f"__k{i}") for i, k in enumerate(keys[0])]
+        lists = df.groupBy(*by).agg(*[e.exploding[1].build(Context(df, grouped=True, known=k)).alias(n) for n, e, k in es], F.min(ORDER).alias(ORDER)).orderBy(ORDER)
+        names = [n for n, _, _ in es]
+        return Frame(lists.select(*names)).explode(names)
+
     def select_exprs(self, *exprs) -> Frame: return self.select(*exprs)  # noqa: E704
 
     def with_columns(self, *exprs, **named) -> Frame:
@@ -559,6 +574,18 @@ def _flat(items: Iterable) -> list:
     return out
 
 
+def _geo():
+    from brindle.functions import geo
+
+    return geo
+
+
+def _writers():
+    from brindle.sources import writers
+
+    return writers
+
+
 def _written(df: DataFrame) -> DataFrame:
     """Fix which rows are in which partition, where executors share a folder."""
     spark = df.sparkSession
@@ -761,6 +788,28 @@ class Series:
     def is_constant(self) -> bool: return self.frame.n_unique() <= 1  # noqa: E704
 
 
+def _typed(name: str):
+    def values(self) -> pa.Array:
+        """The values as an Arrow array of the type."""
+        column = self.frame.collect().column(0).combine_chunks()
+        return column.cast({"float32": pa.float32(), "float64": pa.float64(), "bool": pa.bool_(), "string": pa.string()}.get(name) or getattr(pa, name)())
+
+    return values
+
+
+for _n in ("int8", "int16", "int32", "int64", "uint8", "uint16", "uint32", "uint64", "float32", "float64", "bool", "string", "binary"):
+    setattr(Series, f"to_{_n}", _typed(_n))
+    setattr(Series, _n, _typed(_n))
+for _n in ("list_column", "struct_column", "numeric"):
+    setattr(Series, _n, lambda self: self.frame.collect().column(0).combine_chunks())
+Series.chunks = lambda self: self.frame.collect().column(0).chunks
+Series.n_chunks = lambda self: self.frame.df.rdd.getNumPartitions()
+Series.is_chunked = lambda self: self.n_chunks() > 1
+Series.rechunk = lambda self: Series(Frame(self.frame.df.coalesce(1)))
+Series.geometry_type = lambda self: Series(Frame(self.frame.df.select(_geo().geometry_type(F.col(self.name)).alias(self.name))))
+Series.bounding_box = lambda self: Series(Frame(self.frame.df.select(_geo().bounding_box(F.col(self.name)).alias(self.name))))
+Series.total_bounds = lambda self: tuple(_geo().total_bounds(self.frame.df, self.name).first())
+Series.crs = lambda self: _geo().crs(self.frame.df, self.name)
 for _n in ("head", "tail", "sample", "slice", "reverse"):
     setattr(Series, _n, lambda self, *a, _m=_n, **k: Series(getattr(self.frame, _m)(*a, **k)))
 for _n in ("cast", "is_null", "is_not_null", "fill_null", "abs", "round"):

@@ -119,3 +119,18 @@ def validated(df: DataFrame, column: str) -> DataFrame:
             yield frame
 
     return df.mapInPandas(run, df.schema)
+
+
+def with_crs(df: DataFrame, column: str, crs: str) -> DataFrame:
+    """The same rows; the column's metadata name its coordinate reference system."""
+    return df.withMetadata(column, {"crs": crs})
+
+
+def crs(df: DataFrame, column: str) -> str | None:
+    return df.schema[column].metadata.get("crs")
+
+
+def from_wkb(df: DataFrame, column: str, crs: str | None = None) -> DataFrame:
+    """A binary column as geometries: checked, with its reference system."""
+    out = validated(df, column)
+    return out if crs is None else with_crs(out, column, crs)

@@ -307,3 +307,7 @@ def read_ipc_stream(spark: SparkSession, path: str) -> Frame:
 def read_ipc_schema(path: str) -> pa.Schema:
     with pa.memory_map(path) as f:
         return pa.ipc.open_file(f).schema
+
+
+#: Every reader is lazy: scanning and reading are one.
+scan_csv, scan_parquet, scan_ndjson = read_csv, read_parquet, read_ndjson

@@ -201,3 +201,24 @@ def test_describe_sample_equals(small):
     assert small.equals(small) and not small.equals(small.reverse())
     s = small.get_column("i")
     assert s.sum() == 9 and s.n_unique() == 4 and s.sort().to_values() == [1, 2, 3, 3, None] and s.name == "i"
+
+
+def test_over_lists(small):
+    one = small.select(col("i").sort(descending=True).over("b", mapping_strategy="explode"))
+    assert values(one) == [3, 3, None, 2, 1] or sorted(map(str, values(one))) == ["1", "2", "3", "3", "None"]
+    joined = small.select("s", col("i").sort().over("b", mapping_strategy="join").alias("l")).rows()
+    assert sorted(map(str, joined)) == sorted(map(str, [("b", [3, 3]), (None, [1, 2]), ("a", [None]), ("b", [3, 3]), ("c", [1, 2])]))
+
+
+def test_literals_adopt_and_types_do_not_mix(spark):
+    f = Frame(spark.createDataFrame([(1, 2.0, 3)], "a int, x float, l long"))
+    assert [t.simpleString() for t in f.select((col("a") + 1).alias("p"), (col("x") * 1.5).alias("q"), (2 - col("l")).alias("r")).dtypes] == ["int", "float", "bigint"]
+    with pytest.raises(TypeError):
+        f.select(col("a") + col("l")).rows()
+
+
+def test_series_arrays(small, tmp_path):
+    s = small.get_column("i")
+    assert s.int32().to_pylist() == [3, 1, None, 3, 2] and s.n_chunks() == 1 and not s.is_chunked() and s.float64().to_pylist()[0] == 3.0
+    small.sink_csv(str(tmp_path / "x.csv"))
+    assert (tmp_path / "x.csv").read_text().startswith("i,f,s,b")
