@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import materialize, materialize_counted
 
-#: Rows of a bucket that others are compared with, a round.
-CENTRES = 4
+#: Rows of a bucket that others are compared with, a round after the first.
+CENTRES = 12
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def find_links(
         slot = F.pmod(F.xxhash64("comp", F.lit(turn)), F.lit(CENTRES if turn else 1))
         centres = now.groupBy(F.col("k").alias("k2"), slot.alias("slot")).agg(F.max(F.struct("c", F.col("_digest").alias("b"), F.col("comp").alias("other"))).alias("m"))
         centres = materialize(centres.select("k2", "m.b", "m.other"), "centres")
-        pairs = now.join(centres, F.col("k") == F.col("k2")).where("comp != other").select(F.col("_digest").alias("a"), "b").distinct()
+        pairs = now.join(centres, F.col("k") == F.col("k2")).where("comp != other").select(F.least("_digest", "b").alias("a"), F.greatest("_digest", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
