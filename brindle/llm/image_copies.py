@@ -2,8 +2,8 @@
 
 Corners are found at several scales; each gets the direction of its patch's centre of mass,
 and 128 comparisons of brightness at places turned by it. The four 32-bit quarters of a
-descriptor are the tables that images are joined on: near descriptors agree in some
-quarter. Images that share keys are compared by their descriptors' Hamming distances, and are
+descriptor make the six tables, one per pair of quarters, that images are joined on: near
+descriptors agree in some pair. Images that share keys are compared by their descriptors' Hamming distances, and are
 copies if enough of the matches follow one shift, turn and scale.
 """
 
@@ -25,7 +25,7 @@ SCALES, CORNERS, LONGEST = (1.0, 0.75, 0.5), 40, 256
 RADIUS, TURNS = 7, 32
 #: Bits by which descriptors of one place may differ; matches that have to agree, and within how many pixels.
 NEAR_BITS, AGREEING, PIXELS = 20, 6, 3.0
-#: Shared quarters from which two images are compared.
+#: Shared pairs of quarters from which two images are compared.
 SHARED_KEYS = 3
 
 _rng = np.random.default_rng(7)
@@ -175,6 +175,15 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     return max(places)
 
 
+def _keys(found: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs of quarters of each descriptor: near ones agree in some pair, and few others do."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    quarters = np.ascontiguousarray(found["d"]).view("<u4").astype(np.uint64)
+    pairs = [(quarters[:, i] * np.uint64(0x9E3779B97F4A7C15) ^ quarters[:, j] * np.uint64(0xC4CEB9FE1A85EC53)) + np.uint64(4 * i + j) for i in range(4) for j in range(i)]
+    return np.concatenate(pairs).view(np.int64)
+
+
 def _described(images: DataFrame, id_column: str, image: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -182,7 +191,7 @@ def _described(images: DataFrame, id_column: str, image: str) -> DataFrame:
             for at in range(0, len(frame), 256):
                 part = frame.iloc[at : at + 256]
                 found = [descriptors(decode(x)) for x in part["_image"]]
-                keys = [(np.ascontiguousarray(d["d"]).view("<u4").astype(np.int64) << 2 | np.arange(4)).ravel() if len(d) else np.zeros(0, np.int64) for d in found]
+                keys = [_keys(d) for d in found]
                 yield pd.DataFrame({"_id": part["_id"], "_digest": part["_digest"], "_sig": [np.unique(k) for k in keys], "_payload": [d.tobytes() for d in found]})
 
     kind = images.schema[id_column].dataType.simpleString()
