@@ -1,22 +1,30 @@
 """Links between rows that share bucket keys, found without pairs of all rows of a bucket, and their components.
 
-Rows of a bucket are compared with its most central rows only. Rounds go on, between what
-is not yet connected and with other centres, until one adds no link. Every table is written
-between steps, keys that many rows share are only met by partial sums or by plain joins,
-which adaptive execution splits, and nothing is gathered on the driver.
+Rows of a bucket are compared with its most central rows first, in rounds that connect most
+of what is alike. What is then left apart is met in full: the rows of a bucket are cut into
+blocks, every two blocks meet in a cell, and every pair of rows of different components is
+compared there. Every table is written between steps, keys that many rows share are only
+met by partial sums, by plain joins, which adaptive execution splits, or by cells, and
+nothing is gathered on the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, materialize_counted
+from brindle.llm.common import materialize, materialize_counted, ship
 
 #: Rows of a bucket that others are compared with, a round after the first.
 CENTRES = 12
+#: Rows of a block of a bucket; two blocks meet in one group of rows of a task.
+BLOCK = 1024
+#: Pairs of rows tried between two components, in the first turn after the cells; so many times more each turn.
+TRIED_MORE = 16
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -46,12 +54,70 @@ def _shared(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
     return materialize_counted(rows.join(many, F.col("k") == F.col("k2")).drop("k2"), name)
 
 
+def equal_items(enough: int) -> Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]:
+    """Which of two lists of arrays of one length agree at ``enough`` places."""
+
+    def compare(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        x, y = np.stack(a), np.stack(b)
+        if len(a) * len(b) < 1000:
+            return (x[:, None] == y[None]).sum(2) >= enough
+        same = np.zeros((len(a), len(b)), np.int16)
+        for p, q in zip(x.T, y.T, strict=True):
+            same += p[:, None] == q[None]
+        return same >= enough
+
+    return compare
+
+
+def _cells(rows: DataFrame, compare: Callable[[list, list], np.ndarray], block: int) -> DataFrame:
+    """Of rows (k, _digest, comp, n, _item), n those of a bucket k: the pairs (a, b) of a bucket, of different components, that compare() keeps."""
+    ship(rows.sparkSession)
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("_digest"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "_digest", "comp", "_item")
+
+    def met(own: np.ndarray, codes: np.ndarray, digests: np.ndarray, items: np.ndarray, i: int, j: int) -> Iterator[pd.DataFrame]:
+        one, two = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        apart = codes[one][:, None] != codes[two][None]
+        if i == j:
+            apart = np.triu(apart, 1)
+        if not apart.any():
+            return
+        x, y = np.nonzero(apart & compare(items[one].tolist(), items[two].tolist()))
+        for at in range(0, len(x), 100_000):
+            pairs = zip(digests[one[x[at : at + 100_000]]], digests[two[y[at : at + 100_000]]], strict=True)
+            yield pd.DataFrame([(u, v) if u < v else (v, u) for u, v in pairs], columns=["a", "b"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def cells(frame: pd.DataFrame, starts: list[int]) -> Iterator[pd.DataFrame]:
+            codes, _ = pd.factorize(frame["comp"])
+            own, i, j, digests, items = (frame[c].to_numpy() for c in ("own", "i", "j", "_digest", "_item"))
+            for x, y in zip(starts, starts[1:], strict=False):
+                yield from met(own[x:y], codes[x:y], digests[x:y], items[x:y], i[x], j[x])
+
+        held = None
+        for frame in frames:
+            if held is not None:
+                frame = pd.concat([held, frame], ignore_index=True)
+            key = frame[["k", "i", "j"]].to_numpy()
+            starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
+            yield from cells(frame, starts)
+            held = frame.iloc[starts[-1] :]
+        if held is not None and len(held):
+            yield from cells(held, [0, len(held)])
+
+    return rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInPandas(run, "a binary, b binary")
+
+
 def find_links(
     nodes: DataFrame,
     payloads: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame], DataFrame],
     enough: int,
     fine_keys: Column | None = None,
+    all_pairs: Callable[[list, list], np.ndarray] | None = None,
+    block: int = BLOCK,
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (a, b) between nodes, and node, label of what they connect; None, None without links.
 
@@ -60,26 +126,40 @@ def find_links(
     gets a DataFrame of _digest and returns (_digest, _payload). ``verify`` gets (a, b,
     _payload_a, _payload_b) and returns the pairs (a, b) that are links. ``fine_keys``: more,
     narrower keys over _sig for the rounds after the first, where buckets hold little but
-    rows that are alike; without them the rounds go on with the same keys.
+    rows that are alike; without them the rounds go on with the same keys. The rounds only
+    spare work: after them, all pairs of a bucket of _keys that are not connected yet are
+    compared. ``all_pairs``: instead, all pairs of nodes are, whatever their keys; it gets
+    two lists of payloads and returns which pairs of them are to be verified.
     """
     members, any_shared = _shared(nodes.select("_digest", F.explode("_keys").alias("k")), "members")
-    if not any_shared:
+    if not any_shared and all_pairs is None:
         return None, None
     # A row that many others resemble lies in many large buckets.
     central = members.groupBy(F.col("_digest").alias("d")).agg(F.sum("n").alias("c"))
     members = materialize(members.join(central, F.col("_digest") == F.col("d")).select("k", "_digest", "c"), "members")
+    buckets = members.select("k", "_digest")
     within = members.groupBy("_digest").agg(F.first("c").alias("c"))
-    sigs = materialize(nodes.join(within.withColumnRenamed("_digest", "d"), F.col("_digest") == F.col("d")).select("_digest", "_sig", "c"), "sigs")
+    sigs = nodes.join(within.withColumnRenamed("_digest", "d"), F.col("_digest") == F.col("d"), "inner" if all_pairs is None else "left").select("_digest", "_sig", "c")
+    sigs = materialize(sigs, "sigs")
     held = materialize(payloads(sigs.select("_digest")), "payloads")
     links = labels = tested = None
+
+    def verified(pairs: DataFrame) -> int:
+        """Add those of the pairs that are links, and what they connect; how many there are."""
+        nonlocal links, labels
+        one, two = (held.select(F.col("_digest").alias(f"d{x}"), F.col("_payload").alias(f"_payload_{x}")) for x in "ab")
+        met = pairs.join(one, F.col("a") == F.col("da")).join(two, F.col("b") == F.col("db"))
+        found, new = materialize_counted(verify(met.select("a", "b", "_payload_a", "_payload_b")), "links")
+        if new:
+            links = found if links is None else links.unionByName(found)
+            labels = connected_components(links)
+        return new
+
     turn = 0
     while True:
         if labels is None:
             now = members.withColumn("comp", F.col("_digest"))
         else:
-            if turn == 1 and fine_keys is not None:
-                members, _ = _shared(sigs.select("_digest", "c", F.explode(fine_keys).alias("k")), "fine")
-                members = members.drop("n")
             now = members.join(labels, F.col("_digest") == F.col("node"), "left").select("k", "_digest", "c", F.coalesce("label", "_digest").alias("comp"))
             now = materialize(now, "members")
             mixed = now.groupBy(F.col("k").alias("k2")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("k2")
@@ -94,20 +174,51 @@ def find_links(
         pairs = materialize(pairs, "pairs")
         one, two = (sigs.select(F.col("_digest").alias(f"d{x}"), F.col("_sig").alias(f"s{x}")) for x in "ab")
         close = pairs.join(one, F.col("a") == F.col("da")).join(two, F.col("b") == F.col("db")).where(F.size(F.array_intersect("sa", "sb")) >= enough).select("a", "b")
-        one, two = (held.select(F.col("_digest").alias(f"d{x}"), F.col("_payload").alias(f"_payload_{x}")) for x in "ab")
-        met = close.join(one, F.col("a") == F.col("da")).join(two, F.col("b") == F.col("db"))
-        found, new = materialize_counted(verify(met.select("a", "b", "_payload_a", "_payload_b")), "links")
+        if all_pairs is not None:
+            # Whom the keys kept apart, the payloads may still bring together.
+            pairs = close = materialize(close, "close")
+        new = verified(close)
+        tested = pairs if tested is None else tested.unionByName(pairs)
         # A first round without links is followed by one with the narrower keys.
         if not new and (turn or fine_keys is None):
-            return (links, labels) if links is not None else (None, None)
-        if new:
-            links = found if links is None else links.unionByName(found)
-            labels = connected_components(links)
-        elif labels is None:
-            labels = sigs.select(F.col("_digest").alias("node"), F.col("_digest").alias("label"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
+            break
+        if not turn and fine_keys is not None:
+            members, _ = _shared(sigs.select("_digest", "c", F.explode(fine_keys).alias("k")), "fine")
+            members = members.drop("n")
         turn += 1
 
+    # The rest, in full: what shares a bucket and is not connected.
+    if all_pairs is None:
+        rest, items, compare = buckets, sigs.select(F.col("_digest").alias("d"), F.col("_sig").alias("_item")), equal_items(enough)
+    else:
+        rest, items, compare = nodes.select(F.lit(0).cast("long").alias("k"), "_digest"), held.select(F.col("_digest").alias("d"), F.col("_payload").alias("_item")), all_pairs
+    if labels is None:
+        now = rest.withColumn("comp", F.col("_digest"))
+    else:
+        now = rest.join(labels, F.col("_digest") == F.col("node"), "left").select("k", "_digest", F.coalesce("label", "_digest").alias("comp"))
+    now = materialize(now, "rest")
+    mixed = now.groupBy(F.col("k").alias("k2")).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y").select("k2", "n")
+    now = materialize(now.join(materialize(mixed, "mixed"), F.col("k") == F.col("k2")).drop("k2"), "open")
+    cells = _cells(now.join(items, F.col("_digest") == F.col("d")).drop("d"), compare, block)
+    waiting, left = materialize_counted(cells.distinct().join(tested, ["a", "b"], "left_anti"), "waiting")
+    tries = 1
+    while left:
+        # One pair may connect two components: a growing share of their pairs is tried at a time, until none is left.
+        if labels is None:
+            named = waiting.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+        else:
+            one, two = (labels.select(F.col("node").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
+            named = waiting.join(one, F.col("a") == F.col("na"), "left").join(two, F.col("b") == F.col("nb"), "left")
+            named = named.select("a", "b", F.coalesce("la", "a").alias("ca"), F.coalesce("lb", "b").alias("cb")).where("ca != cb")
+        named = materialize(named, "named")
+        slot = F.pmod(F.xxhash64("a", "b"), F.lit(tries))
+        chosen = named.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"), slot.alias("slot")).agg(F.min(F.struct("a", "b")).alias("m")).select("m.a", "m.b")
+        chosen = materialize(chosen, "chosen")
+        verified(chosen)
+        waiting, left = materialize_counted(named.select("a", "b").join(chosen, ["a", "b"], "left_anti"), "waiting")
+        tries = min(tries * TRIED_MORE, 1 << 30)
+    return links, labels
+
 
 def with_classes(nodes: DataFrame, links: DataFrame | None, labels: DataFrame | None) -> DataFrame:
     """Per node (_digest, least, rows): _digest, class_id, class_size, n_links."""

@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 from brindle.llm import near_dedup as n
-from brindle.llm.links import connected_components
+from brindle.llm.links import connected_components, find_links
+from pyspark.sql import functions as F
 
 NONE = n.WordWeights(np.zeros(0, np.uint64), np.zeros(0))
 
@@ -75,3 +76,34 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(bytes([k]), bytes([k + 1])) for k in range(20)] + [(b"\x64", b"\x65")], "a binary, b binary")
     got = {bytes(r.node): bytes(r.label) for r in connected_components(links).collect()}
     assert set(got.values()) == {b"\x00", b"\x64"} and len(got) == 23
+
+
+def links_of(spark, nodes, enough, similar, **more):
+    """find_links over (number, keys, sig), with pairs that ``similar`` names as links."""
+    frame = spark.createDataFrame([(bytes([k]), keys, sig) for k, keys, sig in nodes], "_digest binary, _keys array<long>, _sig array<int>")
+
+    def verify(pairs):
+        ok = spark.createDataFrame([(bytes([min(p)]), bytes([max(p)])) for p in similar], "a binary, b binary")
+        return pairs.select("a", "b").join(ok, ["a", "b"], "left_semi")
+
+    links, labels = find_links(frame, lambda d: d.withColumn("_payload", F.lit(b"")), verify, enough, **more)
+    return set() if links is None else {(bytes(r.a)[0], bytes(r.b)[0]) for r in links.collect()}
+
+
+def test_rows_that_never_were_centres_meet(spark):
+    # One bucket, no two rows alike but the last pairs; the narrower keys show none of them.
+    nodes = [(k, [1], [k * 10 + j for j in range(4)]) for k in range(60)]
+    for a, b in ((3, 41), (17, 18), (22, 59)):
+        nodes[b] = (b, [1], [*nodes[a][2][:3], nodes[b][2][3]])
+    for block in (7, 1024):
+        none_shared = F.array(F.xxhash64("_digest"))
+        assert links_of(spark, nodes, 3, [(3, 41), (17, 18), (22, 59)], fine_keys=none_shared, block=block) == {(3, 41), (17, 18), (22, 59)}
+
+
+def test_all_close_pairs_of_two_components_are_tried(spark):
+    # Two chains, linked with each other by one pair of many that look alike.
+    left, right = list(range(0, 20)), list(range(20, 40))
+    nodes = [(k, [1], [1, 2, 3, k]) for k in left + right]
+    chains = [(k, k + 1) for k in range(39) if k != 19]
+    found = links_of(spark, nodes, 3, [*chains, (7, 33)], fine_keys=F.array(F.xxhash64("_digest")))
+    assert (7, 33) in found
