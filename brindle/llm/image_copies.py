@@ -1,10 +1,10 @@
 """Cropped and edited copies of images, by local descriptors.
 
 Corners are found at several scales; each gets the direction of its patch's centre of mass,
-and 128 comparisons of brightness at places turned by it. The four 32-bit quarters of a
-descriptor make the six tables, one per pair of quarters, that images are joined on: near
-descriptors agree in some pair. Images that share keys are compared by their descriptors' Hamming distances, and are
-copies if enough of the matches follow one shift, turn and scale.
+and 128 comparisons of brightness at places turned by it. Every image meets every other, in
+blocks: no table of parts of descriptors holds all pairs that differ in up to 20 of 128 bits
+and much fewer than all pairs of images. Images are copies if enough matches of mutually
+nearest descriptors follow one shift, turn and scale.
 """
 
 from __future__ import annotations
@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import materialize, ship
-from brindle.llm.links import find_links, with_classes
+from brindle.llm.links import links_of_all, with_classes
 
 #: Sides of the pyramid's levels, relative to the image; corners kept an image; longest side looked at.
 SCALES, CORNERS, LONGEST = (1.0, 0.75, 0.5), 40, 256
 RADIUS, TURNS = 7, 32
 #: Bits by which descriptors of one place may differ; matches that have to agree, and within how many pixels.
 NEAR_BITS, AGREEING, PIXELS = 20, 6, 3.0
-#: Shared pairs of quarters from which two images are compared.
-SHARED_KEYS = 3
+#: Images of a block, and of each side of what is compared at once.
+BLOCK, SLICE = 256, 32
 
 _rng = np.random.default_rng(7)
 _PAIRS = np.clip(_rng.normal(0, RADIUS / 2, (128, 2, 2)), -RADIUS + 1.5, RADIUS - 1.5)
@@ -152,7 +152,7 @@ def descriptors(pixels: np.ndarray | None) -> np.ndarray:
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> int:
-    """Most matches of descriptors that one shift, turn and scale explains."""
+    """Most matches of descriptors that one shift, turn and scale explains; 0 for fewer than AGREEING."""
     if len(a) < AGREEING or len(b) < AGREEING:
         return 0
     apart = _BITS[a["d"][:, None] ^ b["d"][None]].sum(2, dtype=int)
@@ -171,17 +171,35 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     same = (np.abs(np.log(scale[None] / scale[:, None])) < 0.5) & (np.abs(np.angle(np.exp(1j * (turn[None] - turn[:, None])))) < 0.5)
     # Matches at one place count once.
     best = close & same
-    places = [len({(round(z.real), round(z.imag)) for z in pa[row]}) for row in best]
-    return max(places)
-
-
-def _keys(found: np.ndarray) -> np.ndarray:
-    """Hashes of the pairs of quarters of each descriptor: near ones agree in some pair, and few others do."""
-    if not len(found):
-        return np.zeros(0, np.int64)
-    quarters = np.ascontiguousarray(found["d"]).view("<u4").astype(np.uint64)
-    pairs = [(quarters[:, i] * np.uint64(0x9E3779B97F4A7C15) ^ quarters[:, j] * np.uint64(0xC4CEB9FE1A85EC53)) + np.uint64(4 * i + j) for i in range(4) for j in range(i)]
-    return np.concatenate(pairs).view(np.int64)
+    places = [len({(round(z.real), round(z.imag)) for z in pa[row]}) for row in best[best.sum(1) >= AGREEING]]
+    most = max(places, default=0)
+    return most if most >= AGREEING else 0
+
+
+def copies(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Which pairs of images agree in AGREEING matches; those with fewer mutual nearest descriptors are ruled out at once."""
+    kind = descriptors(None).dtype
+    one, two = ([np.frombuffer(x, kind) for x in side] for side in (a, b))
+    signs = []
+    for side in (one, two):
+        # Images of fewer descriptors end in zeros, which are near to nothing.
+        most = max(map(len, side), default=0)
+        signs.append(np.zeros((len(side), most, 128), np.float32))
+        for k, x in enumerate(side):
+            signs[-1][k, : len(x)] = 2.0 * np.unpackbits(x["d"], axis=1) - 1
+    out = np.zeros((len(a), len(b)), bool)
+    m, n = signs[0].shape[1], signs[1].shape[1]
+    for at in range(0, len(a), SLICE):
+        left = signs[0][at : at + SLICE].reshape(-1, 128)
+        for start in range(0, len(b), SLICE):
+            right = signs[1][start : start + SLICE]
+            like = (left @ right.reshape(-1, 128).T).reshape(-1, m, len(right), n)
+            hit = (like >= 128 - 2 * NEAR_BITS) & (like == like.max(3)[..., None])
+            hit &= like == like.max(1)[:, None]
+            mutual = hit.any(3)
+            for i, j in zip(*np.nonzero(mutual.sum(1) >= AGREEING), strict=True):
+                out[at + i, start + j] = agreeing(one[at + i], two[start + j]) >= AGREEING
+    return out
 
 
 def _described(images: DataFrame, id_column: str, image: str) -> DataFrame:
@@ -191,13 +209,12 @@ def _described(images: DataFrame, id_column: str, image: str) -> DataFrame:
             for at in range(0, len(frame), 256):
                 part = frame.iloc[at : at + 256]
                 found = [descriptors(decode(x)) for x in part["_image"]]
-                keys = [_keys(d) for d in found]
-                yield pd.DataFrame({"_id": part["_id"], "_digest": part["_digest"], "_sig": [np.unique(k) for k in keys], "_payload": [d.tobytes() for d in found]})
+                yield pd.DataFrame({"_id": part["_id"], "_digest": part["_digest"], "_payload": [d.tobytes() for d in found]})
 
     kind = images.schema[id_column].dataType.simpleString()
     data = F.coalesce(F.col(image), F.lit(b""))
     rows = images.select(F.col(id_column).alias("_id"), F.unhex(F.md5(data)).alias("_digest"), data.alias("_image"))
-    return rows.mapInPandas(run, f"_id {kind}, _digest binary, _sig array<long>, _payload binary")
+    return rows.mapInPandas(run, f"_id {kind}, _digest binary, _payload binary")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -218,13 +235,9 @@ def find_copies(images: DataFrame, id_column: str = "image_id", image: str = "im
     """
     ship(images.sparkSession)
     rows = materialize(_described(images, id_column, image), "described")
-    nodes = materialize(rows.groupBy("_digest").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("_sig").alias("_sig"), F.first("_payload").alias("_payload")), "nodes")
-    links, labels = find_links(
-        nodes.where(F.size("_sig") > 0).select("_digest", "_sig", F.col("_sig").alias("_keys")),
-        lambda digests: nodes.join(digests, "_digest", "left_semi").select("_digest", "_payload"),
-        _verified,
-        SHARED_KEYS,
-    )
+    nodes = materialize(rows.groupBy("_digest").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("_payload").alias("_payload")), "nodes")
+    described = nodes.where(F.octet_length("_payload") > 0).select("_digest", "_payload")
+    links, labels = links_of_all(described, _verified, copies, BLOCK)
     out = materialize(with_classes(nodes, links, labels).withColumnRenamed("_digest", "d"), "classes")
     corners = (F.octet_length("_payload") / 32).cast("int")
     return rows.select("_id", "_digest", corners.alias("n_corners")).join(out, F.col("_digest") == F.col("d")).select(F.col("_id").alias(id_column), "class_id", "class_size", "n_links", "n_corners")

@@ -116,7 +116,6 @@ def find_links(
     verify: Callable[[DataFrame], DataFrame],
     enough: int,
     fine_keys: Column | None = None,
-    all_pairs: Callable[[list, list], np.ndarray] | None = None,
     block: int = BLOCK,
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (a, b) between nodes, and node, label of what they connect; None, None without links.
@@ -128,33 +127,19 @@ def find_links(
     narrower keys over _sig for the rounds after the first, where buckets hold little but
     rows that are alike; without them the rounds go on with the same keys. The rounds only
     spare work: after them, all pairs of a bucket of _keys that are not connected yet are
-    compared. ``all_pairs``: instead, all pairs of nodes are, whatever their keys; it gets
-    two lists of payloads and returns which pairs of them are to be verified.
+    compared.
     """
     members, any_shared = _shared(nodes.select("_digest", F.explode("_keys").alias("k")), "members")
-    if not any_shared and all_pairs is None:
+    if not any_shared:
         return None, None
     # A row that many others resemble lies in many large buckets.
     central = members.groupBy(F.col("_digest").alias("d")).agg(F.sum("n").alias("c"))
     members = materialize(members.join(central, F.col("_digest") == F.col("d")).select("k", "_digest", "c"), "members")
     buckets = members.select("k", "_digest")
     within = members.groupBy("_digest").agg(F.first("c").alias("c"))
-    sigs = nodes.join(within.withColumnRenamed("_digest", "d"), F.col("_digest") == F.col("d"), "inner" if all_pairs is None else "left").select("_digest", "_sig", "c")
-    sigs = materialize(sigs, "sigs")
+    sigs = materialize(nodes.join(within.withColumnRenamed("_digest", "d"), F.col("_digest") == F.col("d")).select("_digest", "_sig", "c"), "sigs")
     held = materialize(payloads(sigs.select("_digest")), "payloads")
     links = labels = tested = None
-
-    def verified(pairs: DataFrame) -> int:
-        """Add those of the pairs that are links, and what they connect; how many there are."""
-        nonlocal links, labels
-        one, two = (held.select(F.col("_digest").alias(f"d{x}"), F.col("_payload").alias(f"_payload_{x}")) for x in "ab")
-        met = pairs.join(one, F.col("a") == F.col("da")).join(two, F.col("b") == F.col("db"))
-        found, new = materialize_counted(verify(met.select("a", "b", "_payload_a", "_payload_b")), "links")
-        if new:
-            links = found if links is None else links.unionByName(found)
-            labels = connected_components(links)
-        return new
-
     turn = 0
     while True:
         if labels is None:
@@ -174,10 +159,10 @@ def find_links(
         pairs = materialize(pairs, "pairs")
         one, two = (sigs.select(F.col("_digest").alias(f"d{x}"), F.col("_sig").alias(f"s{x}")) for x in "ab")
         close = pairs.join(one, F.col("a") == F.col("da")).join(two, F.col("b") == F.col("db")).where(F.size(F.array_intersect("sa", "sb")) >= enough).select("a", "b")
-        if all_pairs is not None:
-            # Whom the keys kept apart, the payloads may still bring together.
-            pairs = close = materialize(close, "close")
-        new = verified(close)
+        found, new = materialize_counted(verify(_with_payloads(close, held)), "links")
+        if new:
+            links = found if links is None else links.unionByName(found)
+            labels = connected_components(links)
         tested = pairs if tested is None else tested.unionByName(pairs)
         # A first round without links is followed by one with the narrower keys.
         if not new and (turn or fine_keys is None):
@@ -187,11 +172,25 @@ def find_links(
             members = members.drop("n")
         turn += 1
 
-    # The rest, in full: what shares a bucket and is not connected.
-    if all_pairs is None:
-        rest, items, compare = buckets, sigs.select(F.col("_digest").alias("d"), F.col("_sig").alias("_item")), equal_items(enough)
-    else:
-        rest, items, compare = nodes.select(F.lit(0).cast("long").alias("k"), "_digest"), held.select(F.col("_digest").alias("d"), F.col("_payload").alias("_item")), all_pairs
+    items = sigs.select(F.col("_digest").alias("d"), F.col("_sig").alias("_item"))
+    return _meet_rest(buckets, items, equal_items(enough), held, verify, links, labels, tested, block)
+
+
+def links_of_all(held: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[list, list], np.ndarray], block: int = BLOCK) -> tuple[DataFrame | None, DataFrame | None]:
+    """As find_links, of all pairs of rows (_digest, _payload) that ``compare`` (two lists of payloads) doesn't rule out."""
+    everything = held.select(F.lit(0).cast("long").alias("k"), "_digest")
+    return _meet_rest(everything, held.select(F.col("_digest").alias("d"), F.col("_payload").alias("_item")), compare, held, verify, None, None, None, block)
+
+
+def _with_payloads(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    one, two = (held.select(F.col("_digest").alias(f"d{x}"), F.col("_payload").alias(f"_payload_{x}")) for x in "ab")
+    return pairs.join(one, F.col("a") == F.col("da")).join(two, F.col("b") == F.col("db")).select("a", "b", "_payload_a", "_payload_b")
+
+
+def _meet_rest(
+    rest: DataFrame, items: DataFrame, compare: Callable[[list, list], np.ndarray], held: DataFrame, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None, labels: DataFrame | None, tested: DataFrame | None, block: int
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Compare all pairs of rows (k, _digest) of a bucket that are not connected; links and labels with what that adds."""
     if labels is None:
         now = rest.withColumn("comp", F.col("_digest"))
     else:
@@ -199,8 +198,8 @@ def find_links(
     now = materialize(now, "rest")
     mixed = now.groupBy(F.col("k").alias("k2")).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y").select("k2", "n")
     now = materialize(now.join(materialize(mixed, "mixed"), F.col("k") == F.col("k2")).drop("k2"), "open")
-    cells = _cells(now.join(items, F.col("_digest") == F.col("d")).drop("d"), compare, block)
-    waiting, left = materialize_counted(cells.distinct().join(tested, ["a", "b"], "left_anti"), "waiting")
+    cells = _cells(now.join(items, F.col("_digest") == F.col("d")).drop("d"), compare, block).distinct()
+    waiting, left = materialize_counted(cells if tested is None else cells.join(tested, ["a", "b"], "left_anti"), "waiting")
     tries = 1
     while left:
         # One pair may connect two components: a growing share of their pairs is tried at a time, until none is left.
@@ -214,7 +213,10 @@ def find_links(
         slot = F.pmod(F.xxhash64("a", "b"), F.lit(tries))
         chosen = named.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"), slot.alias("slot")).agg(F.min(F.struct("a", "b")).alias("m")).select("m.a", "m.b")
         chosen = materialize(chosen, "chosen")
-        verified(chosen)
+        found, new = materialize_counted(verify(_with_payloads(chosen, held)), "links")
+        if new:
+            links = found if links is None else links.unionByName(found)
+            labels = connected_components(links)
         waiting, left = materialize_counted(named.select("a", "b").join(chosen, ["a", "b"], "left_anti"), "waiting")
         tries = min(tries * TRIED_MORE, 1 << 30)
     return links, labels

@@ -41,3 +41,23 @@ def test_decoders_agree():
 
 def test_empty_table(spark):
     assert m.find_copies(spark.createDataFrame([], "image_id long, image binary")).count() == 0
+
+
+def test_all_pairs_that_agree_are_links(spark, monkeypatch):
+    # Noise that leaves no pair of quarters of most descriptors whole; the same classes as all pairs by brute force.
+    rng = np.random.default_rng(5)
+    pictures = [picture(k) for k in range(6)]
+    pictures += [p + rng.normal(0, sd, p.shape) for p in pictures[:4] for sd in (12, 28)]
+    found = [m.descriptors(np.clip(np.rint(p), 0, 255)) for p in pictures]
+    agree = {(a, b) for b in range(len(found)) for a in range(b) if m.agreeing(found[a], found[b]) >= m.AGREEING}
+    met = m.copies([f.tobytes() for f in found], [f.tobytes() for f in found])
+    assert {(a, b) for b in range(len(found)) for a in range(b) if met[a, b]} == agree
+    label = list(range(len(found)))
+    for _ in found:
+        for a, b in agree:
+            label[a] = label[b] = min(label[a], label[b])
+    assert len(set(label)) == 6
+    rows = [(k, m.encode_pgm(p)) for k, p in enumerate(pictures)]
+    monkeypatch.setattr(m, "BLOCK", 5)
+    got = {r.image_id: r.class_id for r in m.find_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert [got[k] for k in range(len(rows))] == label
