@@ -41,6 +41,8 @@ _HEADINGS = frozenset(("h1", "h2"))
 
 #: Share of the largest fused ratio that a path has to reach.
 THRESHOLD = 0.1
+#: What being in an article multiplies a path's fused ratio by.
+ARTICLE = 4.0
 
 
 def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
@@ -168,7 +170,8 @@ def path_scores(blocks: list[tuple[str, str, int, bool, bool]]) -> dict[tuple[st
         path, bad, good = key
         # Blocks of one section stand or fall together: a heading is short, its paragraphs aren't.
         score = max(min(x, 2 * own), section[(_section(path), bad, good)])
-        fused[key] = 0.0 if bad else score
+        # In an article a path counts for more, but has to reach the threshold like any other.
+        fused[key] = 0.0 if bad else score * (ARTICLE if good else 1.0)
     return fused
 
 
@@ -178,12 +181,8 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     scores = path_scores(blocks)
-    if any(good and not bad for _, bad, good in scores):
-        # Where the page marks its article, the ratio of that section is every path's prior.
-        kept = {k for k in scores if k[2] and not k[1]}
-    else:
-        least = THRESHOLD * max(scores.values())
-        kept = {k for k, v in scores.items() if v >= least and v > 0}
+    least = THRESHOLD * max(scores.values())
+    kept = {k for k, v in scores.items() if v >= least and v > 0}
     return "\n".join(text for path, text, _, bad, good in blocks if (path, bad, good) in kept)
 
 

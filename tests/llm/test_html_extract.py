@@ -26,3 +26,12 @@ def test_defined_for_anything(spark):
 
 def test_empty_table(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_ratios_decide_in_marked_pages():
+    body = "".join(f"<p>Sentence number {k} of the text is long enough, has commas, and stops. So does its second one.</p>" for k in range(6))
+    links = "<div><ul>" + "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(8)) + "</ul></div>"
+    assert "Link" not in main_text(f"<body><article>{body}{links}</article></body>")
+    # The article is a teaser; the text is beside it.
+    got = main_text(f"<body><article><p>Read on.</p></article><div>{body}</div></body>")
+    assert "Sentence number 5" in got
