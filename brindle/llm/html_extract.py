@@ -43,30 +43,42 @@ _HEADINGS = frozenset(("h1", "h2"))
 THRESHOLD = 0.1
 #: What being in an article multiplies a path's fused ratio by.
 ARTICLE = 4.0
+#: And what a part of a longer name does, such as share in "share-price".
+PART_OF_NAME = 0.1
+PART, NAMED, HIDDEN = 1, 2, 3
 
 
-def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
+def _boilerplate(tag: str, attributes: str, inside: bool) -> int:
+    """What an element is by its names: 0 text, PART (a part of a longer name says so), NAMED furniture, or HIDDEN."""
     if tag in _FURNITURE:
-        return True
+        return NAMED
+    plain = NAMED if tag == "header" and not inside else 0
     if not attributes.strip() or tag in _ROOTS:
-        return tag == "header" and not inside
+        return plain
     words: set[str] = set()
+    whole: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
             words.update(x.lower() for x in _NAME_PARTS.findall(value))
+            whole.update(value.lower().split())
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return HIDDEN
     if inside:
         words.discard("header")
-    return bool(words & _FURNITURE_WORDS) or tag == "header" and not inside
+        whole.discard("header")
+    return NAMED if whole & _FURNITURE_WORDS else max(plain, PART if words & _FURNITURE_WORDS else 0)
 
 
-def text_blocks(page: str) -> list[tuple[str, str, int, bool, bool]]:
-    """Blocks in page order: path, text, characters of it in links, in furniture, in an article."""
-    out: list[tuple[str, str, int, bool, bool]] = []
-    # name, path, in furniture, in an article
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+def text_blocks(page: str) -> list[tuple[str, str, int, int, bool]]:
+    """Blocks in page order: path, text, characters of it in links, furniture (0, PART or more), in an article.
+
+    A name says nothing of an element that holds the largest article, or over half of the text.
+    """
+    out: list[tuple[str, str, int, tuple, tuple]] = []
+    # name, path, (number, kind) of the elements around that are furniture, numbers of the articles around
+    stack: list[tuple[str, str, tuple, tuple]] = [("", "", (), ())]
+    number = 0
     parts: list[str] = []
     linked, in_link, at, size = 0, False, 0, len(page)
 
@@ -74,8 +86,7 @@ def text_blocks(page: str) -> list[tuple[str, str, int, bool, bool]]:
         nonlocal linked
         if parts:
             if text := " ".join("".join(parts).split()):
-                name, path, bad, good = stack[-1]
-                out.append((path, text, min(linked, len(text)), bad, good))
+                out.append((stack[-1][1], text, min(linked, len(text)), *stack[-1][2:]))
             parts.clear()
         linked = 0
 
@@ -136,11 +147,23 @@ def text_blocks(page: str) -> list[tuple[str, str, int, bool, bool]]:
                         break
                 elif stack[k][0] in _SCOPES:
                     break
-        _, path, bad, good = stack[-1]
-        bad = bad or _boilerplate(tag, m[3], good)
-        stack.append((tag, f"{path}/{tag}", bad, good or tag in _CONTENT and not bad))
+        _, path, marks, articles = stack[-1]
+        number += 1
+        if kind := _boilerplate(tag, m[3], bool(articles)):
+            marks = (*marks, (number, kind))
+        stack.append((tag, f"{path}/{tag}", marks, (*articles, number) if tag in _CONTENT else articles))
     flush()
-    return out
+    sizes: dict[int, int] = {}
+    around: dict[int, tuple] = {}
+    for _, text, _, marks, articles in out:
+        for k in (*(k for k, _ in marks), *articles):
+            sizes[k] = sizes.get(k, 0) + len(text)
+        for k in articles:
+            around[k] = tuple(x for x in marks if x[0] < k)
+    largest = max(around, key=lambda k: (sizes[k], -k), default=None)
+    half = sum(len(x[1]) for x in out) / 2
+    holds = {k for k, _ in around.get(largest, ())} | {k for k, n in sizes.items() if n > half}
+    return [(path, text, linked, max((kind for k, kind in marks if kind == HIDDEN or k not in holds), default=0), bool(articles)) for path, text, linked, marks, articles in out]
 
 
 def _section(path: str) -> str:
@@ -148,9 +171,9 @@ def _section(path: str) -> str:
     return path.rpartition("/")[0]
 
 
-def path_scores(blocks: list[tuple[str, str, int, bool, bool]]) -> dict[tuple[str, bool, bool], float]:
+def path_scores(blocks: list[tuple[str, str, int, int, bool]]) -> dict[tuple[str, int, bool], float]:
     """Fused ratio per path, its prior included."""
-    totals: dict[tuple[str, bool, bool], list[float]] = {}
+    totals: dict[tuple[str, int, bool], list[float]] = {}
     for path, text, linked, bad, good in blocks:
         t = totals.setdefault((path, bad, good), [0, 0, 0, 0])
         t[0] += len(text)
@@ -161,7 +184,7 @@ def path_scores(blocks: list[tuple[str, str, int, bool, bool]]) -> dict[tuple[st
     # Text and punctuation a block, less what is in links.
     raw = [(t[0] - t[2]) / t[3] * (1 + t[1] / t[3]) for t in totals.values()]
     smooth = [(2 * raw[k] + raw[max(k - 1, 0)] + raw[min(k + 1, len(raw) - 1)]) / 4 for k in range(len(raw))]
-    section: dict[tuple[str, bool, bool], float] = {}
+    section: dict[tuple[str, int, bool], float] = {}
     for key, x in zip(keys, raw, strict=True):
         s = (_section(key[0]), *key[1:])
         section[s] = max(section.get(s, 0.0), x)
@@ -171,7 +194,7 @@ def path_scores(blocks: list[tuple[str, str, int, bool, bool]]) -> dict[tuple[st
         # Blocks of one section stand or fall together: a heading is short, its paragraphs aren't.
         score = max(min(x, 2 * own), section[(_section(path), bad, good)])
         # In an article a path counts for more, but has to reach the threshold like any other.
-        fused[key] = 0.0 if bad else score * (ARTICLE if good else 1.0)
+        fused[key] = 0.0 if bad > PART else score * (ARTICLE if good else 1.0) * (PART_OF_NAME if bad else 1.0)
     return fused
 
 

@@ -35,3 +35,13 @@ def test_ratios_decide_in_marked_pages():
     # The article is a teaser; the text is beside it.
     got = main_text(f"<body><article><p>Read on.</p></article><div>{body}</div></body>")
     assert "Sentence number 5" in got
+
+
+def test_names_of_wrappers_lose_no_text():
+    text = "A long enough sentence, with commas, and stops. It goes on, and on."
+    for start, end in (('<div class="layout has-sidebar">', "</div>"), ('<div class="page no-header">', "</div>"), ("<form>", "</form>"), ('<div class="sidebar">', "</div>")):
+        for article in (f"<article><p>{text}</p></article>", f"<div><p>{text}</p></div>"):
+            assert main_text(f"<body>{start}{article}{end}<div class=menu>Menu</div></body>") == text
+    # A part of a longer name alone doesn't drop a part of an article; a name does.
+    got = main_text(f'<body><article><p>{text}</p><div class="share-price"><p>{text} Shares fell, too.</p></div><div class="comments"><p>I say, {text}</p></div></article></body>')
+    assert got == f"{text}\n{text} Shares fell, too."
