@@ -624,10 +624,66 @@ def sample_rows(t):
 
 @query()
 def asof_nearest(t):
-    left, right = _asof_sides(t)
-    return left.join_asof(right, on="ts", by="user_id", strategy="nearest")
+    left, right = _whole_sides(t)
+    return left.join_asof(right, on="ts", by="user_id", strategy="nearest", allow_exact_matches=False)
 
 
 @query()
 def approximate_users(t):
     return t("events").group_by("event_type").agg(col("user_id").approx_n_unique().alias("users"))
+
+
+# -- over all events, where the queries above take some ids; no SQL: tested against brute force ------
+
+
+def _whole_sides(t):
+    # Of events of a user at one time, the one with the largest id is met.
+    e = t("events")
+    return e.select("event_id", "user_id", "ts"), e.group_by("user_id", "ts").agg(col("event_id").max().alias("seen"))
+
+
+@query()
+def asof_backward_by_whole(t):
+    left, right = _whole_sides(t)
+    return left.join_asof(right, on="ts", by="user_id", allow_exact_matches=False)
+
+
+@query()
+def asof_forward_by_whole(t):
+    left, right = _whole_sides(t)
+    return left.join_asof(right, on="ts", by="user_id", strategy="forward", allow_exact_matches=False)
+
+
+@query()
+def asof_tolerance_whole(t):
+    right = t("events").group_by("ts").agg(col("event_id").max().alias("seen"))
+    return t("events").select("event_id", "ts").join_asof(right, on="ts", tolerance="1m", allow_exact_matches=False).select("event_id", "ts", "seen")
+
+
+@query()
+def group_quantile_nearest_whole(t):
+    return t("events").group_by("event_type").agg(col("value").quantile(0.5, "nearest").alias("q"), b.len_().alias("n"))
+
+
+@query()
+def group_join_strings_whole(t):
+    return t("events").sort("ts", "event_id").group_by("user_id").agg(col("event_type").str.join(",").alias("path"))
+
+
+@query()
+def pivot_sum_whole(t):
+    return t("events").pivot("event_type", "user_id", "value", "sum").with_columns(*[col(c).round(2) for c in sorted(_event_types(t))])
+
+
+@query()
+def window_quartile_whole(t):
+    e = t("events").sort("event_id").with_row_index("i")
+    n = b.len_().over([])
+    big, size = n % 4, n // 4
+    cut = big * (size + 1)
+    return e.select("event_id", b.when(col("i") < cut).then(col("i") // (size + 1)).otherwise(big + (col("i") - cut) // size).alias("q"))
+
+
+@query()
+def group_lists_whole(t):
+    return t("events").sort("ts", "event_id").group_by("user_id").agg(col("event_id").implode().alias("ids"), col("event_id").tail(2).alias("newest"))

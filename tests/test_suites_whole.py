@@ -1,0 +1,61 @@
+from collections import defaultdict
+from datetime import datetime, timedelta
+
+import pytest
+from brindle.plans import suites
+
+START = datetime(2024, 1, 1)
+EVENTS = [(k, (k * 7) % 60, START + timedelta(seconds=(k * 37) % 500), "abc"[k % 3], float((k * 13) % 101)) for k in range(200)]
+
+
+@pytest.fixture(scope="module")
+def rows(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("events"))
+    spark.createDataFrame(EVENTS, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{folder}/events.parquet")
+    return lambda name: suites.queries()[name](spark, folder).collect()
+
+
+def by(column):
+    groups = defaultdict(list)
+    for e in sorted(EVENTS, key=lambda e: (e[2], e[0])):
+        groups[e[column]].append(e)
+    return groups
+
+
+def test_asof(rows):
+    for name, sign in (("asof_backward_by_whole", 1), ("asof_forward_by_whole", -1)):
+        want = {}
+        for e in EVENTS:
+            near = [(sign * (e[2] - x[2]), -x[0], x[0]) for x in EVENTS if x[1] == e[1] and sign * (e[2] - x[2]) > timedelta(0)]
+            want[e[0]] = min(near)[2] if near else None
+        assert {r.event_id: r.seen for r in rows(name)} == want
+    want = {}
+    for e in EVENTS:
+        near = [(e[2] - x[2], -x[0], x[0]) for x in EVENTS if timedelta(0) < e[2] - x[2] <= timedelta(minutes=1)]
+        want[e[0]] = min(near)[2] if near else None
+    assert {r.event_id: r.seen for r in rows("asof_tolerance_whole")} == want
+
+
+def test_groups(rows):
+    users = by(1)
+    assert {r.user_id: r.path for r in rows("group_join_strings_whole")} == {u: ",".join(e[3] for e in es) for u, es in users.items()}
+    assert {r.user_id: (list(r.ids), list(r.newest)) for r in rows("group_lists_whole")} == {u: ([e[0] for e in es], [e[0] for e in es][-2:]) for u, es in users.items()}
+    got = {r.user_id: r for r in rows("pivot_sum_whole")}
+    assert set(got) == set(users) and all(abs((got[u][k] or 0) - sum(e[4] for e in es if e[3] == k)) < 1e-6 for u, es in users.items() for k in "abc")
+    for r in rows("group_quantile_nearest_whole"):
+        values = sorted(e[4] for e in by(3)[r.event_type])
+        n = len(values)
+        assert r.n == n and r.q in (values[(n - 1) // 2], values[n // 2])
+
+
+def test_quartile(rows):
+    assert {r.event_id: r.q for r in rows("window_quartile_whole")} == {k: k // 50 for k in range(200)}
+
+
+def test_nearest(rows):
+    got = {r.event_id: r.seen for r in rows("asof_nearest")}
+    when = {e[0]: e[2] for e in EVENTS}
+    assert len(got) == len(EVENTS)
+    for e in EVENTS:
+        apart = [abs(e[2] - x[2]) for x in EVENTS if x[1] == e[1] and x[2] != e[2]]
+        assert got[e[0]] is None if not apart else abs(when[got[e[0]]] - e[2]) == min(apart)
