@@ -56,6 +56,21 @@ def feature_array(found: set[str]) -> np.ndarray:
     return np.unique(np.array([f for w in found for f in word_features(w)], np.int32))
 
 
+def packed(features: np.ndarray) -> bytes:
+    """Sorted features as bytes, at most WIDTH / 8 of them and one that names the form."""
+    if features.nbytes <= WIDTH // 8:
+        return b"\0" + features.tobytes()
+    bits = np.zeros(WIDTH, np.uint8)
+    bits[features] = 1
+    return b"\1" + np.packbits(bits).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if data[0] == 0:
+        return np.frombuffer(data, np.int32, offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1))).astype(np.int32)
+
+
 @dataclass
 class Model:
     """Weights of the features that matter, by hash, with the bias and the counts' scale."""
@@ -146,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     """Fit on up to ``sample_rows`` labelled rows, those with the smallest hashes of their ids.
 
     Ids whose labels differ count as toxic; null labels and ids teach nothing. A text reaches
-    the driver as the hashed features of its distinct words, at most ``_FIT_WORDS`` of them
-    (those with the smallest hashes), and those of its counterfactual if it has identity terms.
+    the driver as the hashed features of all its distinct words, a bitmap over WIDTH where
+    that is smaller, and those of its counterfactual if it has identity terms.
     """
     ship(docs.sparkSession)
     marks = labels.where(F.col(id_column).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_column).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
@@ -160,19 +175,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
                 part = frame.iloc[at : at + 512]
                 own, other = [], []
                 for text in part["_text"]:
-                    found = set(sorted(words(text), key=lambda w: (w not in _SWAPS, zlib.crc32(w.encode())))[:_FIT_WORDS])
+                    found = words(text)
                     twin = _swapped(found, zlib.crc32(" ".join(sorted(found)).encode()))
-                    own.append(feature_array(found).tobytes())
-                    other.append(None if twin is None else feature_array(twin).tobytes())
+                    own.append(packed(feature_array(found)))
+                    other.append(None if twin is None else packed(feature_array(twin)))
                 yield pd.DataFrame({"_doc": part["_doc"].to_numpy(), "_label": part["_label"].to_numpy(), "own": own, "other": other})
 
     kind = docs.schema[id_column].dataType.simpleString()
     got = rows.mapInPandas(run, f"_doc {kind}, _label int, own binary, other binary").groupBy("_doc").agg(F.min(F.struct("own", "_label", "other")).alias("x")).orderBy("_doc").select("x.own", "x._label", "x.other").collect()
-    return train([np.frombuffer(r[0], np.int32) for r in got], {k: np.frombuffer(r[2], np.int32) for k, r in enumerate(got) if r[2] is not None}, np.array([r[1] for r in got]))
-
-
-#: Distinct words of a labelled text that training looks at; scoring looks at all.
-_FIT_WORDS = 1_500
+    return train([unpacked(r[0]) for r in got], {k: unpacked(r[2]) for k, r in enumerate(got) if r[2] is not None}, np.array([r[1] for r in got]))
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

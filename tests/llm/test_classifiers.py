@@ -65,3 +65,17 @@ def test_nulls_repeats_and_empty(spark):
     assert len(t.score_documents(odd, t.Model({}, -1.0)).collect()) == 4
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert q.score_documents(empty, model).count() == 0 and q.score_documents(empty, q.fit(empty, labels)).count() == 0
+
+
+def test_long_texts_teach_all_their_words(spark, monkeypatch):
+    # More distinct words than any bound on them; the features that training gets are those of the whole texts.
+    def word(k):
+        return "x" + "".join(chr(97 + k // 26**j % 26) for j in range(4))
+
+    long = [" ".join(word(k * 7 + j) for j in range(n)) for k, n in enumerate((3, 4_000, 20_000))]
+    docs, labels = frames(spark, [(x, k % 2) for k, x in enumerate(long)], "toxic")
+    seen = {}
+    monkeypatch.setattr(t, "train", lambda rows, swapped, y: seen.update(rows=rows))
+    t.fit(docs, labels)
+    assert [r.tolist() for r in seen["rows"]] == [t.feature_array(t.words(x)).tolist() for x in long]
+    assert len(t.packed(t.feature_array(t.words(long[2])))) == t.WIDTH // 8 + 1
