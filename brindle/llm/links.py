@@ -1,30 +1,42 @@
 """Links between rows that share bucket keys, found without pairs of all rows of a bucket, and their components.
 
-Rows of a bucket are compared with its most central rows first, in rounds that connect most
-of what is alike. What is then left apart is met in full: the rows of a bucket are cut into
-blocks, every two blocks meet in a cell, and every pair of rows of different components is
-compared there. Every table is written between steps, keys that many rows share are only
-met by partial sums, by plain joins, which adaptive execution splits, or by cells, and
-nothing is gathered on the driver.
+First every row meets one row, the most central one of its largest bucket, which connects
+most of what is alike: as many pairs as rows. What then is of different components in one
+bucket is met in full, in cells: the rows outside the bucket's largest component are cut into
+blocks, each of which meets every block of the bucket in one group of rows. A cell decides
+its pairs on the whole payloads, by one matrix product, and gives only the links that
+connect components, so no table of pairs grows with the square of a bucket. Rows of one
+component never meet each other in a cell of their own. Every step is written; nothing is
+gathered on the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import materialize, materialize_counted, ship
 
-#: Rows of a bucket that others are compared with, a round after the first.
-CENTRES = 12
-#: Rows of a block of a bucket; two blocks meet in one group of rows of a task.
-BLOCK = 1024
-#: Pairs of rows tried between two components, in the first turn after the cells; so many times more each turn.
-TRIED_MORE = 16
+#: Rows of a block of a bucket, and their summed sizes (words of texts) where rows are large.
+BLOCK_ROWS, BLOCK_SIZE = 256, 200_000
+
+
+@dataclass
+class Measure:
+    """What makes two payloads a link; sent to the executors."""
+
+    def read(self, payload: bytes | str) -> object:
+        """The payload as linked() takes it."""
+        raise NotImplementedError
+
+    def linked(self, one: list, two: list) -> np.ndarray:
+        """Which of the read payloads of two lists are links."""
+        raise NotImplementedError
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -47,187 +59,155 @@ def connected_components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _shared(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Of rows (k, ..) those whose key others have too, with its number n, and how many they are."""
-    many = rows.groupBy(F.col("k").alias("k2")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def shared_members(members: DataFrame) -> tuple[DataFrame, int]:
+    """Of rows (k, node) those whose bucket k holds other nodes too, with its number n of them; and how many there are."""
+    many = members.groupBy(F.col("k").alias("k2")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     many = materialize(many, "buckets")
-    return materialize_counted(rows.join(many, F.col("k") == F.col("k2")).drop("k2"), name)
-
+    return materialize_counted(members.join(many, F.col("k") == F.col("k2")).select("k", "node", "n"), "members")
 
-def equal_items(enough: int) -> Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]:
-    """Which of two lists of arrays of one length agree at ``enough`` places."""
 
-    def compare(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-        x, y = np.stack(a), np.stack(b)
-        if len(a) * len(b) < 1000:
-            return (x[:, None] == y[None]).sum(2) >= enough
-        same = np.zeros((len(a), len(b)), np.int16)
-        for p, q in zip(x.T, y.T, strict=True):
-            same += p[:, None] == q[None]
-        return same >= enough
+def _centres(members: DataFrame) -> DataFrame:
+    """A pair (a, b) per node: itself and the most central node of its largest bucket, where that is another one."""
+    # A node that many others resemble lies in many large buckets.
+    own = members.groupBy("node").agg(F.sum("n").alias("c"), F.max(F.struct("n", "k"))["k"].alias("largest"))
+    own = materialize(own, "central")
+    ranked = members.select("k", "node").join(own.select(F.col("node").alias("node2"), "c"), F.col("node") == F.col("node2"))
+    centres = ranked.groupBy("k").agg(F.max(F.struct("c", "node"))["node"].alias("b"))
+    pairs = own.join(materialize(centres, "centres"), F.col("largest") == F.col("k")).where("node != b")
+    return materialize(pairs.select(F.col("node").alias("a"), "b"), "pairs")
 
-    return compare
 
+def _verified(pairs: DataFrame, held: DataFrame, measure: Measure) -> DataFrame:
+    """Of pairs (a, b) those that are links."""
 
-def _cells(rows: DataFrame, compare: Callable[[list, list], np.ndarray], block: int) -> DataFrame:
-    """Of rows (k, _digest, comp, n, _item), n those of a bucket k: the pairs (a, b) of a bucket, of different components, that compare() keeps."""
-    ship(rows.sparkSession)
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("_digest"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "_digest", "comp", "_item")
-
-    def met(own: np.ndarray, codes: np.ndarray, digests: np.ndarray, items: np.ndarray, i: int, j: int) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, other = None, None
+        for frame in frames:
+            kept = []
+            for b, x, y in zip(frame["b"], frame["_payload_a"], frame["_payload_b"], strict=True):
+                if b != last:
+                    last, other = b, measure.read(y)
+                kept.append(bool(measure.linked([measure.read(x)], [other])[0, 0]))
+            yield frame.loc[kept, ["a", "b"]]
+
+    one, two = (held.select(F.col("node").alias(f"n{x}"), F.col("_payload").alias(f"_payload_{x}")) for x in "ab")
+    met = pairs.join(one, F.col("a") == F.col("na")).join(two, F.col("b") == F.col("nb")).select("a", "b", "_payload_a", "_payload_b")
+    return met.mapInPandas(run, "a long, b long")
+
+
+def forest(comps: np.ndarray, linked: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:
+    """Of links (one[i], two[j]) for linked[i, j], as many as connect the components ``comps`` of the rows as all of them would."""
+    x, y = np.nonzero(linked)
+    if not len(x):
+        return []
+    x, y = one[x], two[y]
+    # One link of two components is enough.
+    low, high = np.minimum(comps[x], comps[y]), np.maximum(comps[x], comps[y])
+    _, first = np.unique(low.astype(np.int64) << 32 | high, return_index=True)
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.setdefault(c, c)) != c:
+            parent[c] = parent[up] = parent.setdefault(up, up)
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in zip(x[first].tolist(), y[first].tolist(), strict=True):
+        a, b = root(int(comps[i])), root(int(comps[j]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def _cells(members: DataFrame, held: DataFrame, labels: DataFrame | None, measure: Measure, rows: int, size: int) -> DataFrame:
+    """Links (a, b) that connect rows of different components in one bucket of members (k, node).
+
+    ``held``: node, _size, _payload.
+    """
+    ship(members.sparkSession)
+    sized = members.select("k", "node").join(held.select(F.col("node").alias("node2"), "_size"), F.col("node") == F.col("node2")).drop("node2")
+    if labels is None:
+        now = sized.withColumn("comp", F.col("node"))
+    else:
+        named = labels.select(F.col("node").alias("node3"), "label")
+        now = sized.join(named, F.col("node") == F.col("node3"), "left").select("k", "node", "_size", F.coalesce("label", "node").alias("comp"))
+    now = materialize(now, "met")
+    parts = now.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("_size").alias("s"))
+    mixed = parts.groupBy("k").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.max(F.struct("m", "s", "comp")).alias("main")).where("parts > 1")
+    blocks = lambda m, s: F.greatest(F.ceil(m / rows), F.ceil(s / size), F.lit(1)).cast("int")
+    # A bucket of one block is one cell; else the largest component's blocks only meet those of the others.
+    whole = blocks(F.col("m"), F.col("s")) == 1
+    mixed = mixed.select(
+        F.col("k").alias("k2"),
+        F.when(~whole, F.col("main.comp")).alias("main"),
+        F.when(whole, 1).otherwise(blocks(F.col("m") - F.col("main.m"), F.col("s") - F.col("main.s"))).alias("minor"),
+        F.when(whole, 0).otherwise(blocks(F.col("main.m"), F.col("main.s"))).alias("major"),
+    )
+    dealt = now.join(materialize(mixed, "mixed"), F.col("k") == F.col("k2"))
+    of_main = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
+    place = F.xxhash64("node")
+    dealt = dealt.withColumn("own", F.when(of_main, F.col("minor") + F.pmod(place, F.col("major"))).otherwise(F.pmod(place, F.col("minor"))).cast("int"))
+    last = F.when(of_main, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    dealt = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
+    full = dealt.join(held.select(F.col("node").alias("n2"), "_payload"), F.col("node") == F.col("n2")).drop("n2")
+
+    def met(cell: pd.DataFrame) -> list[tuple[int, int]]:
+        own, nodes = cell["own"].to_numpy(), cell["node"].to_numpy()
+        codes, _ = pd.factorize(cell["comp"])
+        i, j = int(cell["i"].iat[0]), int(cell["j"].iat[0])
         one, two = np.flatnonzero(own == i), np.flatnonzero(own == j)
         apart = codes[one][:, None] != codes[two][None]
-        if i == j:
-            apart = np.triu(apart, 1)
         if not apart.any():
-            return
-        x, y = np.nonzero(apart & compare(items[one].tolist(), items[two].tolist()))
-        for at in range(0, len(x), 100_000):
-            pairs = zip(digests[one[x[at : at + 100_000]]], digests[two[y[at : at + 100_000]]], strict=True)
-            yield pd.DataFrame([(u, v) if u < v else (v, u) for u, v in pairs], columns=["a", "b"])
+            return []
+        items = [measure.read(x) for x in cell["_payload"]]
+        linked = measure.linked([items[x] for x in one], [items[x] for x in two]) & apart
+        return [(min(nodes[x], nodes[y]), max(nodes[x], nodes[y])) for x, y in forest(codes, linked, one, two)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def cells(frame: pd.DataFrame, starts: list[int]) -> Iterator[pd.DataFrame]:
-            codes, _ = pd.factorize(frame["comp"])
-            own, i, j, digests, items = (frame[c].to_numpy() for c in ("own", "i", "j", "_digest", "_item"))
-            for x, y in zip(starts, starts[1:], strict=False):
-                yield from met(own[x:y], codes[x:y], digests[x:y], items[x:y], i[x], j[x])
-
-        held = None
+        rest = None
         for frame in frames:
-            if held is not None:
-                frame = pd.concat([held, frame], ignore_index=True)
+            if rest is not None and len(rest):
+                frame = pd.concat([rest, frame], ignore_index=True)
             key = frame[["k", "i", "j"]].to_numpy()
             starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
-            yield from cells(frame, starts)
-            held = frame.iloc[starts[-1] :]
-        if held is not None and len(held):
-            yield from cells(held, [0, len(held)])
-
-    return rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInPandas(run, "a binary, b binary")
-
-
-def find_links(
-    nodes: DataFrame,
-    payloads: Callable[[DataFrame], DataFrame],
-    verify: Callable[[DataFrame], DataFrame],
-    enough: int,
-    fine_keys: Column | None = None,
-    block: int = BLOCK,
-) -> tuple[DataFrame | None, DataFrame | None]:
+            # The last cell may go on in the next frame.
+            found = [pair for x, y in zip(starts, starts[1:], strict=False) for pair in met(frame.iloc[x:y])]
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+            rest = frame.iloc[starts[-1] :]
+        if rest is not None and len(rest) and (found := met(rest)):
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    return full.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInPandas(run, "a long, b long")
+
+
+def find_links(members: DataFrame, held: DataFrame, measure: Measure, rows: int = BLOCK_ROWS, size: int = BLOCK_SIZE) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (a, b) between nodes, and node, label of what they connect; None, None without links.
 
-    ``nodes``: _digest (binary, unique), _keys (array of long: its buckets), _sig (array: two
-    nodes with fewer than ``enough`` equal items aren't compared further). ``payloads``
-    gets a DataFrame of _digest and returns (_digest, _payload). ``verify`` gets (a, b,
-    _payload_a, _payload_b) and returns the pairs (a, b) that are links. ``fine_keys``: more,
-    narrower keys over _sig for the rounds after the first, where buckets hold little but
-    rows that are alike; without them the rounds go on with the same keys. The rounds only
-    spare work: after them, all pairs of a bucket of _keys that are not connected yet are
-    compared.
+    ``members``: k, node (long), n, as shared_members() gives. ``held``: node, _size, _payload.
+    Every two nodes of a bucket that are links end in one component; the links are
+    enough of them to connect it, not all.
     """
-    members, any_shared = _shared(nodes.select("_digest", F.explode("_keys").alias("k")), "members")
-    if not any_shared:
-        return None, None
-    # A row that many others resemble lies in many large buckets.
-    central = members.groupBy(F.col("_digest").alias("d")).agg(F.sum("n").alias("c"))
-    members = materialize(members.join(central, F.col("_digest") == F.col("d")).select("k", "_digest", "c"), "members")
-    buckets = members.select("k", "_digest")
-    within = members.groupBy("_digest").agg(F.first("c").alias("c"))
-    sigs = materialize(nodes.join(within.withColumnRenamed("_digest", "d"), F.col("_digest") == F.col("d")).select("_digest", "_sig", "c"), "sigs")
-    held = materialize(payloads(sigs.select("_digest")), "payloads")
-    links = labels = tested = None
-    turn = 0
-    while True:
-        if labels is None:
-            now = members.withColumn("comp", F.col("_digest"))
-        else:
-            now = members.join(labels, F.col("_digest") == F.col("node"), "left").select("k", "_digest", "c", F.coalesce("label", "_digest").alias("comp"))
-            now = materialize(now, "members")
-            mixed = now.groupBy(F.col("k").alias("k2")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("k2")
-            now = materialize(now.join(materialize(mixed, "mixed"), F.col("k") == F.col("k2")).drop("k2"), "open")
-        # First everything meets its bucket's most central row; what stays apart then meets one of each of several shares of the components.
-        slot = F.pmod(F.xxhash64("comp", F.lit(turn)), F.lit(CENTRES if turn else 1))
-        centres = now.groupBy(F.col("k").alias("k2"), slot.alias("slot")).agg(F.max(F.struct("c", F.col("_digest").alias("b"), F.col("comp").alias("other"))).alias("m"))
-        centres = materialize(centres.select("k2", "m.b", "m.other"), "centres")
-        pairs = now.join(centres, F.col("k") == F.col("k2")).where("comp != other").select(F.least("_digest", "b").alias("a"), F.greatest("_digest", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        one, two = (sigs.select(F.col("_digest").alias(f"d{x}"), F.col("_sig").alias(f"s{x}")) for x in "ab")
-        close = pairs.join(one, F.col("a") == F.col("da")).join(two, F.col("b") == F.col("db")).where(F.size(F.array_intersect("sa", "sb")) >= enough).select("a", "b")
-        found, new = materialize_counted(verify(_with_payloads(close, held)), "links")
-        if new:
-            links = found if links is None else links.unionByName(found)
-            labels = connected_components(links)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        # A first round without links is followed by one with the narrower keys.
-        if not new and (turn or fine_keys is None):
-            break
-        if not turn and fine_keys is not None:
-            members, _ = _shared(sigs.select("_digest", "c", F.explode(fine_keys).alias("k")), "fine")
-            members = members.drop("n")
-        turn += 1
-
-    items = sigs.select(F.col("_digest").alias("d"), F.col("_sig").alias("_item"))
-    return _meet_rest(buckets, items, equal_items(enough), held, verify, links, labels, tested, block)
-
-
-def links_of_all(held: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[list, list], np.ndarray], block: int = BLOCK) -> tuple[DataFrame | None, DataFrame | None]:
-    """As find_links, of all pairs of rows (_digest, _payload) that ``compare`` (two lists of payloads) doesn't rule out."""
-    everything = held.select(F.lit(0).cast("long").alias("k"), "_digest")
-    return _meet_rest(everything, held.select(F.col("_digest").alias("d"), F.col("_payload").alias("_item")), compare, held, verify, None, None, None, block)
-
-
-def _with_payloads(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    one, two = (held.select(F.col("_digest").alias(f"d{x}"), F.col("_payload").alias(f"_payload_{x}")) for x in "ab")
-    return pairs.join(one, F.col("a") == F.col("da")).join(two, F.col("b") == F.col("db")).select("a", "b", "_payload_a", "_payload_b")
-
-
-def _meet_rest(
-    rest: DataFrame, items: DataFrame, compare: Callable[[list, list], np.ndarray], held: DataFrame, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None, labels: DataFrame | None, tested: DataFrame | None, block: int
-) -> tuple[DataFrame | None, DataFrame | None]:
-    """Compare all pairs of rows (k, _digest) of a bucket that are not connected; links and labels with what that adds."""
-    if labels is None:
-        now = rest.withColumn("comp", F.col("_digest"))
-    else:
-        now = rest.join(labels, F.col("_digest") == F.col("node"), "left").select("k", "_digest", F.coalesce("label", "_digest").alias("comp"))
-    now = materialize(now, "rest")
-    mixed = now.groupBy(F.col("k").alias("k2")).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y").select("k2", "n")
-    now = materialize(now.join(materialize(mixed, "mixed"), F.col("k") == F.col("k2")).drop("k2"), "open")
-    cells = _cells(now.join(items, F.col("_digest") == F.col("d")).drop("d"), compare, block).distinct()
-    waiting, left = materialize_counted(cells if tested is None else cells.join(tested, ["a", "b"], "left_anti"), "waiting")
-    tries = 1
-    while left:
-        # One pair may connect two components: a growing share of their pairs is tried at a time, until none is left.
-        if labels is None:
-            named = waiting.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
-        else:
-            one, two = (labels.select(F.col("node").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
-            named = waiting.join(one, F.col("a") == F.col("na"), "left").join(two, F.col("b") == F.col("nb"), "left")
-            named = named.select("a", "b", F.coalesce("la", "a").alias("ca"), F.coalesce("lb", "b").alias("cb")).where("ca != cb")
-        named = materialize(named, "named")
-        slot = F.pmod(F.xxhash64("a", "b"), F.lit(tries))
-        chosen = named.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"), slot.alias("slot")).agg(F.min(F.struct("a", "b")).alias("m")).select("m.a", "m.b")
-        chosen = materialize(chosen, "chosen")
-        found, new = materialize_counted(verify(_with_payloads(chosen, held)), "links")
-        if new:
-            links = found if links is None else links.unionByName(found)
-            labels = connected_components(links)
-        waiting, left = materialize_counted(named.select("a", "b").join(chosen, ["a", "b"], "left_anti"), "waiting")
-        tries = min(tries * TRIED_MORE, 1 << 30)
-    return links, labels
+    ship(members.sparkSession)
+    links, some = materialize_counted(_verified(_centres(members), held, measure), "links")
+    labels = connected_components(links) if some else None
+    more, new = materialize_counted(_cells(members, held, labels, measure, rows, size), "more-links")
+    if new:
+        links = materialize(links.unionByName(more).distinct(), "all-links")
+        labels = connected_components(links)
+    return (links, labels) if some or new else (None, None)
 
 
 def with_classes(nodes: DataFrame, links: DataFrame | None, labels: DataFrame | None) -> DataFrame:
-    """Per node (_digest, least, rows): _digest, class_id, class_size, n_links."""
+    """Per node (node, least, rows): node, label, class_id, class_size, n_links."""
     if links is None or labels is None:
-        return nodes.select("_digest", F.col("least").alias("class_id"), F.col("rows").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+        return nodes.select("node", F.col("node").alias("label"), F.col("least").alias("class_id"), F.col("rows").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
     ends = links.select(F.explode(F.array("a", "b")).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_links"))
-    named = nodes.join(labels, F.col("_digest") == F.col("node"), "left").select("_digest", "least", "rows", F.coalesce("label", "_digest").alias("label"))
-    named = materialize(named.join(ends, F.col("_digest") == F.col("e"), "left").select("_digest", "least", "rows", "label", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    classes = materialize(named.groupBy(F.col("label").alias("l2")).agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size")), "classes")
-    return named.join(classes, F.col("label") == F.col("l2")).select("_digest", "class_id", "class_size", "n_links")
+    named = nodes.join(labels.withColumnRenamed("node", "node2"), F.col("node") == F.col("node2"), "left").select("node", "least", "rows", F.coalesce("label", "node").alias("label"))
+    named = named.join(ends, F.col("node") == F.col("e"), "left").select("node", "least", "rows", "label", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = materialize(named, "named")
+    classes = named.groupBy(F.col("label").alias("l2")).agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
+    return named.join(classes, F.col("label") == F.col("l2")).select("node", "label", "class_id", "class_size", "n_links")

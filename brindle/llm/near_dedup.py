@@ -1,12 +1,10 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles.
 
-A text is the multiset of its five-word shingles; a shingle weighs its count times the mean
-weight of its words, which falls with the share of all documents that have the word. 48
-consistent weighted samples make 16 bands of 3. Rows that share a band are candidates;
-samples pre-select them, and whole texts decide: a link needs a weighted (or plain) Jaccard
-similarity of 0.8. Rows are compared with the most central rows of a bucket first; then all
-pairs of a bucket are met that are not connected yet. Exact copies are one node from the
-start.
+A text is the multiset of its five-word shingles; a shingle weighs the mean weight of its
+words, which falls with the share of all documents that have the word, times its count. 48
+consistent weighted samples make 24 bands of 6. Rows that share a band are candidates, and
+whole texts decide: a link needs a weighted Jaccard similarity of 0.8. Exact copies are one
+node from the start.
 """
 
 from __future__ import annotations
@@ -21,21 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import SPACE_CHARS, SPACES, materialize, ship
-from brindle.llm.links import find_links, with_classes
+from brindle.llm.links import Measure, find_links, shared_members, with_classes
 
 WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS = 16, 3
-SAMPLES = BANDS * ROWS
-#: Words in fewer than this share of documents weigh most. At most (mean distinct words of a
-#: document) / FREQUENT words are in more, which bounds the table that is broadcast.
-FREQUENT = 1e-3
-#: Share of equal samples from which a candidate's whole texts are compared: 0.8 less over three
-#: standard deviations of the estimate.
-PRESELECT = 0.6
-#: Keys of the rounds after the first, of so many samples each. The keys draw on the same 48
-#: samples: of pairs of similarity 0.8, 2.5 % share none of them (1.2 % at 0.82, 0.4 % at 0.85;
-#: simulated). They only spare work, the bands decide what is compared in the end.
-FINE_KEYS, FINE_ROWS = 64, 9
+SAMPLES = 48
+#: A band is the values of BAND_ROWS samples, drawn by a fixed seed. Of pairs of similarity 0.8
+#: 1.3 % share no band, 0.6 % at 0.82, 0.2 % at 0.85 (simulated); at 0.5, 28 % share one.
+BANDS, BAND_ROWS = 24, 6
+#: Words in fewer than this share of documents weigh most; of those in more, so many of the
+#: most frequent ones have weights of their own, which bounds the table that is broadcast.
+FREQUENT, MOST_WORDS = 1e-3, 500_000
 
 _POOL = 1 << 16
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -99,13 +92,13 @@ class WordWeights:
         return out
 
 
-def shingles(words: np.ndarray, weights: WordWeights) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the distinct shingles, and their weights.
+def shingles(words: np.ndarray, weights: WordWeights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct shingles, their weights (times their counts), and their counts.
 
     A text of fewer than five words is one shingle.
     """
     if not len(words):
-        return np.zeros(0, np.uint64), np.zeros(0)
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
     n = min(WORDS, len(words))
     count = len(words) - n + 1
     hashes = np.full(count, n, np.uint64)
@@ -117,7 +110,7 @@ def shingles(words: np.ndarray, weights: WordWeights) -> tuple[np.ndarray, np.nd
     distinct, inverse, times = np.unique(hashes, return_inverse=True, return_counts=True)
     each = np.zeros(len(distinct))
     each[inverse] = mass / n
-    return distinct, each * times
+    return distinct, each * times, times
 
 
 _variates: dict[int, tuple] = {}
@@ -162,15 +155,65 @@ def signature(hashes: np.ndarray, weights: np.ndarray, block: int = 2048) -> np.
     return ((_mix(chosen) >> np.uint64(38)).astype(np.int64) | (column << 26)).astype(np.int32)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """Weighted and plain Jaccard similarity of two results of shingles()."""
+def elements(hashes: np.ndarray, weights: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The multiset of shingles as a sorted set: an element per occurrence, its weight that of the shingle."""
+    if not len(hashes) or times.max() == 1:
+        return hashes, weights
+    level = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    out = np.repeat(hashes, times)
+    out = np.where(level > 0, _mix(out + level.astype(np.uint64) * np.uint64(_BASE)), out)
+    order = np.argsort(out)
+    return out[order], np.repeat(weights / times, times)[order]
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two results of elements(): shared weight by all weight."""
     if not len(a[0]) or not len(b[0]):
-        return (1.0, 1.0) if len(a[0]) == len(b[0]) else (0.0, 0.0)
+        return 1.0 if len(a[0]) == len(b[0]) else 0.0
     at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
-    hit = b[0][at] == a[0]
-    least = np.minimum(a[1][hit], b[1][at[hit]]).sum()
-    both = int(hit.sum())
-    return float(least / (a[1].sum() + b[1].sum() - least)), both / (len(a[0]) + len(b[0]) - both)
+    both = a[1][b[0][at] == a[0]].sum()
+    return float(both / (a[1].sum() + b[1].sum() - both))
+
+
+def similarities(one: list[tuple], two: list[tuple], columns: int = 2048) -> np.ndarray:
+    """similarity() of all pairs of two lists: products of 0/1 matrices over the elements that more than one has."""
+    n, m = len(one), len(two)
+    if n * m <= 8:
+        return np.array([[similarity(a, b) for b in two] for a in one])
+    every = [*one, *two]
+    mass = np.array([x[1].sum() for x in every])
+    found, weight = (np.concatenate([x[k] for x in every]) for k in (0, 1))
+    row = np.repeat(np.arange(n + m), [len(x[0]) for x in every])
+    order = np.argsort(found, kind="stable")
+    found, weight, row = found[order], weight[order], row[order]
+    fresh = np.ones(len(found), bool)
+    fresh[1:] = found[1:] != found[:-1]
+    place = np.cumsum(fresh) - 1
+    often = np.bincount(place, minlength=1)[place] > 1 if len(place) else fresh
+    weight, row, place = weight[often], row[often], place[often]
+    place = np.cumsum(np.r_[True, place[1:] != place[:-1]]) - 1 if len(place) else place
+    both = np.zeros((n, m))
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        x, y = np.searchsorted(place, [low, low + columns])
+        has = np.zeros((n + m, columns))
+        has[row[x:y], place[x:y] - low] = np.sqrt(weight[x:y])
+        both += has[:n] @ has[n:].T
+    total = mass[:n, None] + mass[None, n:] - both
+    return np.where(total > 0, both / np.maximum(total, 1e-300), 1.0)
+
+
+@dataclass
+class Texts(Measure):
+    """Texts are linked by weighted similarity; ``weights`` is broadcast."""
+
+    weights: object
+
+    def read(self, payload: str) -> tuple[np.ndarray, np.ndarray]:
+        return elements(*shingles(word_hashes(payload), self.weights.value))
+
+    def linked(self, one: list, two: list) -> np.ndarray:
+        # Sums in another order differ in the last digits.
+        return similarities(one, two) >= THRESHOLD - 1e-9
 
 
 def _digest(text: Column) -> Column:
@@ -206,7 +249,8 @@ def word_weights(docs: DataFrame, text: str = "text") -> WordWeights:
     counts = docs.select(text).mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts.where("n > 1 or word is null"), "word-counts")
     total = counts.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = counts.where(F.col("word").isNotNull() & (F.col("n") > max(1.0, FREQUENT * total))).collect()
+    frequent = counts.where(F.col("word").isNotNull() & (F.col("n") > max(1.0, FREQUENT * total)))
+    found = frequent.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
     hashes = np.array([r["word"] for r in found], np.int64).view(np.uint64)
     share = np.array([r["n"] for r in found], np.float64) / max(total, 1)
     order = np.argsort(hashes)
@@ -214,67 +258,75 @@ def word_weights(docs: DataFrame, text: str = "text") -> WordWeights:
 
 
 def _signed(docs: DataFrame, weights, text: str, id_column: str) -> DataFrame:
-    """_id, _digest, _sig per row; a text without words has an empty _sig."""
+    """_id, _digest, _bands, _size (words) per row; a text without words has no bands."""
+    draw = np.random.default_rng(9)
+    bands = np.array([np.sort(draw.choice(SAMPLES, BAND_ROWS, replace=False)) for _ in range(BANDS)])
+
+    def keys(sig: np.ndarray) -> np.ndarray:
+        out = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for column in sig.astype(np.uint64)[bands].T:
+            out = _mix(out * np.uint64(_BASE) + column)
+        return out.view(np.int64)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame.columns = ["_id", "_digest", "_text"]
             for at in range(0, len(frame), 512):
                 part = frame.iloc[at : at + 512]
-                found = [shingles(word_hashes(t), weights.value) for t in part["_text"]]
-                yield pd.DataFrame({"_id": part["_id"], "_digest": part["_digest"], "_sig": [signature(*x) if len(x[0]) else np.zeros(0, np.int32) for x in found]})
+                found = [word_hashes(t) for t in part["_text"]]
+                signed = [keys(signature(*shingles(x, weights.value)[:2])) if len(x) else np.zeros(0, np.int64) for x in found]
+                yield pd.DataFrame({"_id": part["_id"], "_digest": part["_digest"], "_bands": signed, "_size": [len(x) for x in found]})
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("_id"), _digest(F.col(text)).alias("_digest"), F.col(text).alias("_text"))
-    return rows.mapInPandas(run, f"_id {kind}, _digest binary, _sig array<int>")
-
-
-def _verified(pairs: DataFrame, weights) -> DataFrame:
-    """Of pairs (a, b, _payload_a, _payload_b), those whose whole texts are similar."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, None
-        for frame in frames:
-            kept = []
-            for a, b, x, y in zip(frame["a"], frame["b"], frame["_payload_a"], frame["_payload_b"], strict=True):
-                if b != last:
-                    last, held = b, shingles(word_hashes(y), weights.value)
-                kept.append(max(similarity(shingles(word_hashes(x), weights.value), held)) >= THRESHOLD)
-            yield frame.loc[kept, ["a", "b"]]
-
-    return pairs.select("a", "b", "_payload_a", "_payload_b").mapInPandas(run, "a binary, b binary")
+    return rows.mapInPandas(run, f"_id {kind}, _digest binary, _bands array<long>, _size long")
 
 
-def _fine_keys() -> Column:
-    """Keys of FINE_ROWS samples each, drawn by a fixed seed."""
-    rng = np.random.default_rng(9)
-    chosen = [sorted(rng.choice(SAMPLES, FINE_ROWS, replace=False).tolist()) for _ in range(FINE_KEYS)]
-    return F.array(*[F.xxhash64(F.lit(k), *[F.element_at("_sig", j + 1) for j in own]) for k, own in enumerate(chosen)])
+def _classified(docs: DataFrame, text: str, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, _digest), and per distinct text its _digest, least id, class_id, class_size, n_links, and the class's label."""
+    spark = docs.sparkSession
+    weights = spark.sparkContext.broadcast(word_weights(docs, text))
+    rows = materialize(_signed(docs, weights, text, id_column), "signed")
+    # The number of a text is fixed by writing it.
+    nodes = rows.groupBy("_digest").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("_bands").alias("_bands"), F.max("_size").alias("_size"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members, some = shared_members(nodes.select(F.explode("_bands").alias("k"), "node"))
+    links = labels = None
+    if some:
+        wanted = members.select(F.col("node").alias("node2")).distinct()
+        wanted = materialize(nodes.join(wanted, F.col("node") == F.col("node2"), "left_semi").select(F.col("_digest").alias("d"), "least", "node", "_size"), "wanted")
+        # One row of a text, the one with its smallest id, so that copies don't meet; equal rows are dropped after.
+        source = docs.select(F.col(id_column).alias("_id"), _digest(F.col(text)).alias("_digest"), F.col(text).alias("_payload"))
+        held = source.join(wanted, (F.col("_digest") == F.col("d")) & F.col("_id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.first("_size").alias("_size"), F.first("_payload").alias("_payload"))
+        links, labels = find_links(members, materialize(held, "held"), Texts(weights))
+    classes = with_classes(nodes.select("node", "least", "rows"), links, labels)
+    names = nodes.select(F.col("node").alias("node2"), "_digest", "least")
+    return rows.select("_id", "_digest"), materialize(names.join(classes, F.col("node2") == F.col("node")).drop("node2", "node"), "classes")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Per row: its id, class_id, class_size and n_links.
 
     ``class_id`` is the smallest id of the rows that are connected by links, ``class_size``
-    their number, ``n_links`` the links found from or to the row's text (0 where only exact
-    copies exist). Null texts count as empty; texts without words are copies of each other.
-    Rows with null ids belong to classes too, but don't name them. Rows are kept as they are.
+    their number, ``n_links`` the links from or to the row's text among those that hold its
+    class together (0 where only exact copies exist). Null texts count as empty; texts without
+    words are copies of each other. Rows with null ids belong to classes too, but don't name
+    them; a class of nothing else has a null class_id. Rows are kept as they are, repeated ones too; columns
+    beside id and text are not looked at.
     """
-    spark = docs.sparkSession
-    weights = spark.sparkContext.broadcast(word_weights(docs, text))
-    rows = materialize(_signed(docs, weights, text, id_column), "signed")
-    nodes = rows.groupBy("_digest").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("_sig").alias("_sig"))
-    nodes = materialize(nodes, "nodes")
+    rows, classes = _classified(docs, text, id_column)
+    return rows.join(classes.withColumnRenamed("_digest", "d"), F.col("_digest") == F.col("d")).select(F.col("_id").alias(id_column), "class_id", "class_size", "n_links")
 
-    def texts(digests: DataFrame) -> DataFrame:
-        # One row of a text, the one with its smallest id, so that copies don't meet; equal rows are dropped after.
-        chosen = nodes.join(digests, "_digest", "left_semi").select(F.col("_digest").alias("d"), "least")
-        source = docs.select(F.col(id_column).alias("_id"), _digest(F.col(text)).alias("_digest"), F.col(text).alias("_text"))
-        found = source.join(chosen, (F.col("_digest") == F.col("d")) & F.col("_id").eqNullSafe(F.col("least"))).select("_digest", F.col("_text").alias("_payload"))
-        return found.dropDuplicates(["_digest"])
-
-    found = F.filter(F.array(*[F.xxhash64(F.lit(k), *[F.element_at("_sig", k * ROWS + j + 1) for j in range(ROWS)]) for k in range(BANDS)]), lambda x: x.isNotNull())
-    signed = nodes.where(F.size("_sig") > 0).select("_digest", "_sig", found.alias("_keys"))
-    links, labels = find_links(signed, texts, lambda pairs: _verified(pairs, weights), math.ceil(PRESELECT * SAMPLES), _fine_keys())
-    out = materialize(with_classes(nodes, links, labels).withColumnRenamed("_digest", "d"), "classes")
-    return rows.select("_id", "_digest").join(out, F.col("_digest") == F.col("d")).select(F.col("_id").alias(id_column), "class_id", "class_size", "n_links")
+
+def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """One row of each class of near-duplicates, whole: that with the smallest id (null last), ties by the text's digest.
+
+    Of equal rows of one id and text any one stays. Ids need not be unique or present: texts decide.
+    """
+    _, classes = _classified(docs, text, id_column)
+    first = classes.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("x"), F.col("least").alias("id"), F.col("_digest").alias("digest"))).alias("m"))
+    first = materialize(first.select(F.col("m.id").alias("_first"), F.col("m.digest").alias("_of")), "first")
+    # Whole rows as one column: their names may be anything.
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    found = source.join(first, (_digest(F.col("_row")[text]) == F.col("_of")) & F.col("_row")[id_column].eqNullSafe(F.col("_first")))
+    return found.dropDuplicates(["_of"]).select("_row.*")
