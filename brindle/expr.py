@@ -341,9 +341,7 @@ class Expr:
         def run(ctx, c):
             fill = None if fill_value is None else as_expr(fill_value).build(ctx)
             if ignore_nulls:
-                frame = ctx.ordered().rowsBetween(Window.unboundedPreceding, -1) if n > 0 else ctx.ordered().rowsBetween(1, Window.unboundedFollowing)
-                values = F.collect_list(c).over(frame)
-                out = F.try_element_at(values, F.lit(-n if n > 0 else -n))
+                out = _known_before(c, n).over(ctx.ordered())
                 return out if fill is None else F.coalesce(out, fill)
             out = F.lag(c, n).over(ctx.ordered()) if n >= 0 else F.lead(c, -n).over(ctx.ordered())
             if fill is None:
@@ -394,7 +392,8 @@ class Expr:
             raise ValueError("a rolling window is a fixed duration")
 
         def run(ctx, c):
-            t = temporal.micros(index.build(ctx))
+            at = index.build(ctx)
+            t = temporal.micros(at, ctx.dtype(at).simpleString())
             low = -size.micros + (0 if closed in ("left", "both") else 1)
             high = 0 if closed in ("right", "both") else -1
             w = Window.partitionBy(*ctx.partition).orderBy(t).rangeBetween(low, high)
@@ -512,6 +511,18 @@ class Expr:
     def field(self, name: str): return self._map(lambda c: c.getField(name)).alias(name)  # noqa: E704
 
 
+def _known_before(c: Column, n: int) -> Column:
+    """lag(c, n) IGNORE NULLS, which PySpark has no function for; ``n`` < 0 looks ahead."""
+    scala = _scala_functions()
+    return Column((scala.lag if n >= 0 else scala.lead)(c._jc, abs(n), None, True))
+
+
+def _scala_functions():
+    from pyspark import SparkContext
+
+    return SparkContext._active_spark_context._jvm.org.apache.spark.sql.functions
+
+
 def _with_nan(x: Column, c: Column, w, ctx: Context) -> Column:
     return F.when(F.count_if(F.isnan(c)).over(w) > 0, F.lit(numeric.NAN)).otherwise(x) if numeric.is_float(ctx.dtype(c)) else x
 
@@ -605,21 +616,34 @@ class Dt:
     def month_end(self): return self._typed(temporal.month_end)  # noqa: E704
     def days_in_month(self): return self.e._map(lambda c: F.dayofmonth(F.last_day(c)))  # noqa: E704
     def date(self): return self.e._map(lambda c: c.cast("date"))  # noqa: E704
-    def time(self): return self.e._map(temporal.time_of_day)  # noqa: E704
-    def nanosecond(self): return self.e._map(lambda c: temporal.microsecond(c) * 1000)  # noqa: E704
-    def epoch(self, unit: str = "us"): return self.e._map(lambda c: temporal.epoch(c, unit))  # noqa: E704
+    def time(self): return self._typed(temporal.time_of_day)  # noqa: E704
+    def millisecond(self): return self._typed(temporal.millisecond)  # noqa: E704
+    def microsecond(self): return self._typed(temporal.microsecond)  # noqa: E704
+    def nanosecond(self): return self._typed(temporal.nanosecond)  # noqa: E704
+    def epoch(self, unit: str = "us"): return self._typed(temporal.epoch, unit)  # noqa: E704
     def timestamp(self, unit: str = "us"): return self.epoch(unit)  # noqa: E704
-    def with_time_unit(self, unit: str): return self.e  # noqa: E704
+    def convert_time_zone(self, zone: str): return self._typed(temporal.convert_time_zone, zone)  # noqa: E704
+
+    def replace_time_zone(self, zone: str, ambiguous: str = "raise", non_existent: str = "raise"):
+        return self._typed(temporal.replace_time_zone, zone, ambiguous, non_existent)
+
+    def with_time_unit(self, unit: str):
+        """The same values: the unit is a label, and Spark holds whole microseconds under each."""
+        if unit not in ("ns", "us", "ms"):
+            raise ValueError(f"no time unit {unit!r}")
+        return self.e._map(lambda c: c)
+
     def total(self, unit: str): return self.e._map(lambda c: temporal.total(c, unit))  # noqa: E704
-    def combine(self, time): return self.e._map(lambda d, t: temporal.from_micros(F.unix_micros(d.cast("date").cast("timestamp")) + (t / 1000).cast("bigint"), "timestamp_ntz"), time)  # noqa: E704
+    def combine(self, time): return self.e._map(lambda d, t: temporal.from_micros(temporal.micros(d.cast("date"), "date") + F.floor(t / 1000), temporal.NAIVE), time)  # noqa: E704
 
     def replace(self, year=None, month=None, day=None, hour=None, minute=None, second=None):
         def run(ctx, c):
             pick = lambda v, f: F.lit(v) if v is not None else f(c)
             if self._kind(ctx, c) == "date":
                 return F.make_date(pick(year, F.year), pick(month, F.month), pick(day, F.dayofmonth))
-            seconds = (F.lit(second) if second is not None else F.second(c)).cast("decimal(16,6)") + (temporal.microsecond(c) / 1_000_000).cast("decimal(16,6)")
-            return F.make_timestamp(pick(year, F.year), pick(month, F.month), pick(day, F.dayofmonth), pick(hour, F.hour), pick(minute, F.minute), seconds).cast(self._kind(ctx, c))
+            kind = self._kind(ctx, c)
+            seconds = (F.lit(second) if second is not None else F.second(c)).cast("decimal(16,6)") + (temporal.microsecond(c, kind) / 1_000_000).cast("decimal(16,6)")
+            return (F.make_timestamp if kind == "timestamp" else F.make_timestamp_ntz)(pick(year, F.year), pick(month, F.month), pick(day, F.dayofmonth), pick(hour, F.hour), pick(minute, F.minute), seconds)
 
         return self.e._map(run, typed=True)
 
@@ -633,6 +657,7 @@ class Lst:
     def first(self): return self.get(0)  # noqa: E704
     def last(self): return self.get(-1)  # noqa: E704
     def contains(self, value): return self.e._map(lambda c: lists.contains(c, value))  # noqa: E704
+    def sum(self): return self.e._map(lambda ctx, c: lists.total(c, ctx.dtype(c)), typed=True)  # noqa: E704
 
 
 def _method(f: Callable[..., Column]):
@@ -654,12 +679,12 @@ for _name, _f in {
 }.items():
     setattr(Str, _name, _method(_f))
 for _name, _f in {
-    "year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second, "quarter": F.quarter, "ordinal_day": F.dayofyear, "week": F.weekofyear, "weekday": temporal.weekday, "iso_year": temporal.iso_year, "millisecond": temporal.millisecond, "microsecond": temporal.microsecond,
-    "century": temporal.century, "millennium": temporal.millennium, "is_leap_year": temporal.is_leap_year, "strftime": temporal.strftime, "is_business_day": temporal.is_business_day, "add_business_days": temporal.add_business_days, "replace_time_zone": temporal.replace_time_zone, "convert_time_zone": temporal.convert_time_zone,
+    "year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second, "quarter": F.quarter, "ordinal_day": F.dayofyear, "week": F.weekofyear, "weekday": temporal.weekday, "iso_year": temporal.iso_year,
+    "century": temporal.century, "millennium": temporal.millennium, "is_leap_year": temporal.is_leap_year, "strftime": temporal.strftime, "is_business_day": temporal.is_business_day, "add_business_days": temporal.add_business_days,
     **{f"total_{u}": (lambda c, _u=u: temporal.total(c, _u)) for u in ("days", "hours", "minutes", "seconds", "milliseconds")},
 }.items():
     setattr(Dt, _name, _method(_f))
-for _name, _f in {"len": lists.length, "get": lists.get, "join": lists.join, "sum": lists.total, "min": lists.smallest, "max": lists.largest, "mean": lists.mean}.items():
+for _name, _f in {"len": lists.length, "get": lists.get, "join": lists.join, "min": lists.smallest, "max": lists.largest, "mean": lists.mean}.items():
     setattr(Lst, _name, _method(_f))
 for _name in ("sqrt", "exp", "cbrt", "sin", "cos", "tan", "arcsin", "arccos", "arctan", "sinh", "cosh", "tanh", "arcsinh", "arccosh", "arctanh", "degrees", "radians"):
     _spark = getattr(F, {"arcsin": "asin", "arccos": "acos", "arctan": "atan", "arcsinh": "asinh", "arccosh": "acosh", "arctanh": "atanh"}.get(_name, _name))
@@ -800,7 +825,7 @@ def all_horizontal(*exprs) -> Expr: return _combine(numeric.all_horizontal, expr
 def arctan2(y, x) -> Expr: return _combine(lambda cs: F.atan2(*cs), [y, x])  # noqa: E704
 def date_(year, month, day) -> Expr: return _combine(lambda cs: F.make_date(*cs), [year, month, day], "date")  # noqa: E704
 def datetime_(year, month, day, hour=0, minute=0, second=0) -> Expr: return _combine(lambda cs: F.make_timestamp_ntz(*cs), [year, month, day, as_expr(hour), as_expr(minute), as_expr(second)], "datetime")  # noqa: E704
-def time_(hour=0, minute=0, second=0) -> Expr: return _combine(lambda cs: ((cs[0] * 3600 + cs[1] * 60 + cs[2]) * 1_000_000_000).cast("bigint"), [as_expr(hour), as_expr(minute), as_expr(second)], "time")  # noqa: E704
+def time_(hour=0, minute=0, second=0) -> Expr: return _combine(lambda cs: (cs[0] * 3600 + cs[1] * 60 + cs[2]).cast("bigint") * 1_000_000_000, [as_expr(hour), as_expr(minute), as_expr(second)], "time")  # noqa: E704
 def duration(days=0, hours=0, minutes=0, seconds=0) -> Expr: return _combine(lambda cs: F.make_dt_interval(*cs), [as_expr(days), as_expr(hours), as_expr(minutes), as_expr(seconds)], "duration")  # noqa: E704
 def business_day_count(start, end, week_mask=temporal.WEEKDAYS, holidays=()) -> Expr: return _combine(lambda cs: temporal.business_day_count(cs[0], cs[1], week_mask, list(holidays)), [start, end])  # noqa: E704
 

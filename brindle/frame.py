@@ -186,15 +186,18 @@ class Frame:
         return self.with_columns(*[col(c).cast(t, strict) for c, t in dtypes.items()])
 
     def with_row_index(self, name: str = "index", offset: int = 0) -> Frame:
-        """A number per row. Rows before each partition are counted once, so no task sees all rows."""
-        df = self._with_order()
+        """A number per row. Rows before each partition are counted once, so no task sees all rows.
+
+        Rows that a shuffle deals out are written first, so that both looks at them see the same partitions.
+        """
+        df = Frame(_fixed(self.df))._with_order()
         part = F.shiftrightunsigned(ORDER, 33)
         sizes = df.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
         starts = sizes.select("__p", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
         # One row per partition.
         out = df.join(F.broadcast(starts), part == F.col("__p"))
         inside = F.col(ORDER).bitwiseAND(F.lit((1 << 33) - 1))
-        return Frame(out.select((F.col("__s") + inside + offset).alias(name), *[f"`{c}`" for c in self.columns]))
+        return Frame(out.select((F.col("__s") + inside + offset).alias(name), *[F.col(f"`{c}`") for c in self.columns]))
 
     def pack_struct(self, name: str, columns: list[str]) -> Frame:
         self._known(columns)
@@ -587,18 +590,40 @@ def _writers():
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """Fix which rows are in which partition, where executors share a folder."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
+    """Fix which rows are in which partition, where executors share a folder (a local one only where none is set)."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given:
+            import atexit
+            import shutil
+            import tempfile
+
+            given = tempfile.mkdtemp(prefix="brindle-")
+            atexit.register(shutil.rmtree, given, True)
+        context.setCheckpointDir(given)
     return df.checkpoint()
 
 
+#: Operators that leave rows where a scan has put them.
+_IN_PLACE = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "Range", "Generate", "SubqueryAlias", "Relation", "RelationV2", "DataSourceV2ScanRelation", "ResolvedHint", "OneRowRelation"}
+
+
+def _fixed(df: DataFrame) -> DataFrame:
+    """The rows such that every look at them sees the same partitions: as they are if only scans feed them, else written."""
+    plans = [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.getClass().getSimpleName() not in _IN_PLACE:
+            return _written(df)
+        children = plan.children()
+        plans += [children.apply(k) for k in range(children.size())]
+    return df
+
+
 def _distance(a: Column, b: Column, t: T.DataType) -> Column:
     if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return temporal.micros(a) - temporal.micros(b)
+        return temporal.micros(a, t.simpleString()) - temporal.micros(b, t.simpleString())
     if isinstance(t, T.DateType):
         return F.datediff(a, b).cast("bigint") * 86_400_000_000
     return a - b
@@ -706,22 +731,23 @@ class TimeGroupBy:
         es = self.frame._expanded(_flat(exprs))
         df = self.frame._with_order()
         kind = df.schema[self.index].dataType.simpleString()
-        at = F.col(f"`{self.index}`").cast("timestamp")
+        own = temporal.NAIVE if kind == "date" else kind
+        at = F.col(f"`{self.index}`").cast(own)
         every, period, offset = map(temporal.interval, (self.every, self.period, self.offset))
         back = temporal.Interval(-offset.months, -offset.micros)
-        low = temporal.offset_by(temporal.truncate(temporal.offset_by(at, back), self.every), offset)
+        low = temporal.offset_by(temporal.truncate(temporal.offset_by(at, back, own), self.every, own), offset, own)
         # Windows that may hold the row: so many starts before its own one, one more for an end that is closed.
         unit = every.months * 30 * temporal._MICROS["d"] + every.micros
         reach = period.months * 31 * temporal._MICROS["d"] + period.micros
         count = -(-reach // unit) + 1
-        starts = F.array(*[temporal.offset_by(low, temporal.Interval(-k * every.months, -k * every.micros)) for k in range(count)])
-        df = df.withColumn("__start", F.explode(starts)).withColumn("__end", temporal.offset_by(F.col("__start"), period))
+        starts = F.array(*[temporal.offset_by(low, temporal.Interval(-k * every.months, -k * every.micros), own) for k in range(count)])
+        df = df.withColumn("__start", F.explode(starts)).withColumn("__end", temporal.offset_by(F.col("__start"), period, own))
         after = at >= F.col("__start") if self.closed in ("left", "both") else at > F.col("__start")
         before = at <= F.col("__end") if self.closed in ("right", "both") else at < F.col("__end")
         df = df.where(after & before)
         out = [e.build(Context(df, grouped=True, known=k)).alias(n) for n, e, k in es]
         shown = {"left": F.col("__start"), "right": F.col("__end"), "datapoint": F.col("__first")}[self.label]
-        grouped = df.groupBy(*self.by, "__start", "__end").agg(*out, F.min(self.index).cast("timestamp").alias("__first"))
+        grouped = df.groupBy(*self.by, "__start", "__end").agg(*out, F.min(at).alias("__first"))
         return Frame(grouped.orderBy(*self.by, "__start").select(*self.by, shown.cast(kind).alias(self.index), *[n for n, _, _ in es]))
 
 
@@ -737,7 +763,7 @@ class RollingGroupBy:
 
     def agg(self, *exprs) -> Frame:
         es = self.frame._expanded(_flat(exprs))
-        df = self.frame._with_order().withColumn("__t", temporal.micros(F.col(f"`{self.index}`")))
+        df = self.frame._with_order().withColumn("__t", temporal.micros(F.col(f"`{self.index}`"), self.frame.schema[self.index].simpleString()))
         low = self.offset.micros + (0 if self.closed in ("left", "both") else 1)
         high = self.offset.micros + self.period.micros - (0 if self.closed in ("right", "both") else 1)
         w = Window.partitionBy(*self.by).orderBy("__t").rangeBetween(low, high)
@@ -835,14 +861,11 @@ def _range(spark: SparkSession, start: str, end: str, every: str, name: str, kin
     i = temporal.interval(every)
     a, b = F.lit(start).cast(kind), F.lit(end).cast(kind)
     step = i.micros if not i.months else i.months * 28 * temporal._MICROS["d"] + i.micros
-    row = spark.range(1).select(F.floor((temporal.micros(b) - temporal.micros(a)) / step).alias("n")).first()
-    n = max(-1, row["n"])
-    df = spark.range(n + 1)
-    k = F.col("id").cast("int")
-    moved = F.add_months(a.cast("date"), k * i.months) if i.months else a.cast("date")
-    rest = temporal.micros(moved) + F.pmod(temporal.micros(a), F.lit(temporal._MICROS["d"])) + F.col("id") * i.micros
-    out = temporal.from_micros(rest, "timestamp").cast(kind)
-    return Frame(df.select(out.alias(name)).where(F.col(name) <= b))
+    row = spark.range(1).select(F.floor((temporal.micros(b, kind) - temporal.micros(a, kind)) / step).alias("n")).first()
+    df = spark.range(max(0, row["n"] + 1))
+    moved = F.add_months(a.cast("date"), F.col("id").cast("int") * i.months) if i.months else a.cast("date")
+    rest = temporal.micros(moved, "date") + temporal.clock(a, kind) + F.col("id") * i.micros
+    return Frame(df.select(temporal.from_micros(rest, kind).alias(name)).where(F.col(name) <= b))
 
 
 __all__ = ["Frame", "GroupBy", "GroupingSets", "RollingGroupBy", "Series", "TimeGroupBy", "as_type", "concat", "date_range", "datetime_range", "from_arrow"]

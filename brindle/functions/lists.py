@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from brindle.functions.numeric import is_integer
 
 
 def length(c: Column) -> Column:
@@ -22,14 +25,17 @@ def join(c: Column, separator: str) -> Column:
     return F.array_join(c, separator)
 
 
-def total(c: Column) -> Column:
-    """Sum of what isn't null; 0 for an empty list."""
-    return F.when(c.isNotNull(), F.coalesce(F.aggregate(c, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0))), F.lit(0.0)))
+def total(c: Column, dtype: T.DataType | None = None) -> Column:
+    """Sum of what isn't null, 0 for an empty list; integers add up as long, in which overflow raises."""
+    kind = "bigint" if dtype is not None and is_integer(dtype.elementType) else "double"
+    zero = F.lit(0).cast(kind)
+    return F.aggregate(c, zero, lambda a, x: a + F.coalesce(x.cast(kind), zero))
 
 
-def mean(c: Column) -> Column:
-    n = F.size(F.filter(c, lambda x: x.isNotNull()))
-    return F.when(n > 0, total(c) / n)
+def mean(c: Column, dtype: T.DataType | None = None) -> Column:
+    known = F.filter(c, lambda x: x.isNotNull())
+    n = F.size(known)
+    return F.when(n > 0, total(F.transform(known, lambda x: x.cast("double"))) / n)
 
 
 def smallest(c: Column) -> Column:

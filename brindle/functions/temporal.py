@@ -1,8 +1,10 @@
 """Dates, times and intervals.
 
 Intervals are texts such as ``1mo2d-3h``. A naive datetime is TIMESTAMP_NTZ, an instant is
-TIMESTAMP; a time of day and exact nanoseconds are long. Everything is built in but the
-business-day arithmetic, which is closed-form over weeks plus a bounded list of holidays.
+TIMESTAMP; a time of day and exact nanoseconds are long. ``kind`` names a column's type: naive
+datetimes never pass the session's zone, instants have calendar days and months in it.
+Everything is built in but the business-day arithmetic, which is closed-form over weeks plus
+a bounded list of holidays.
 """
 
 from __future__ import annotations
@@ -46,12 +48,30 @@ def interval(text: str) -> Interval:
     return Interval(months, micros)
 
 
-def micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
+NAIVE = "timestamp_ntz"
+
+
+def micros(c: Column, kind: str = "timestamp") -> Column:
+    """Microseconds since 1970: of an instant, or of what a naive value shows."""
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    return F.unix_date(c.cast("date")).cast("bigint") * _MICROS["d"] + clock(c, kind)
 
 
 def from_micros(c: Column, kind: str = "timestamp") -> Column:
-    return F.timestamp_micros(c.cast("bigint")).cast(kind)
+    c = c.cast("bigint")
+    if kind == "timestamp":
+        return F.timestamp_micros(c)
+    if kind == "date":
+        return F.date_from_unix_date(F.floor(c / _MICROS["d"]).cast("int"))
+    return F.lit("1970-01-01 00:00:00").cast(NAIVE) + F.expr("INTERVAL '0.000001' SECOND") * c
+
+
+def clock(c: Column, kind: str) -> Column:
+    """Microseconds since midnight."""
+    if kind == "date":
+        return F.lit(0).cast("bigint")
+    return (F.hour(c) * 60 + F.minute(c)).cast("bigint") * _MICROS["m"] + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
 
 
 def offset_by(c: Column, by: str | Interval, kind: str = "timestamp") -> Column:
@@ -59,10 +79,13 @@ def offset_by(c: Column, by: str | Interval, kind: str = "timestamp") -> Column:
     i = interval(by) if isinstance(by, str) else by
     moved = c
     if i.months:
-        whole = F.add_months(c.cast("date"), i.months)
-        moved = whole if kind == "date" else from_micros(micros(whole) + F.pmod(micros(c), F.lit(_MICROS["d"])), kind)
+        moved = F.add_months(c, i.months) if kind == "date" else c + F.make_ym_interval(F.lit(0), F.lit(i.months))
     if i.micros:
-        moved = F.date_add(moved, i.micros // _MICROS["d"]) if kind == "date" and i.micros % _MICROS["d"] == 0 else from_micros(micros(moved) + i.micros, kind)
+        if kind == "date":
+            if i.micros % _MICROS["d"]:
+                raise ValueError("a date moves by whole days")
+            return F.date_add(moved, i.micros // _MICROS["d"])
+        moved = from_micros(micros(moved, kind) + i.micros, kind)
     return moved
 
 
@@ -77,19 +100,25 @@ def truncate(c: Column, every: str, kind: str = "timestamp") -> Column:
         start = F.make_date(F.floor(number / 12).cast("int"), (F.pmod(number, F.lit(12)) + 1).cast("int"), F.lit(1))
         return start.cast(kind)
     # 1970-01-05 was a Monday.
-    origin = 4 * _MICROS["d"] if i.micros % _MICROS["w"] == 0 else 0
-    t = micros(c) - origin
-    return from_micros(t - F.pmod(t, F.lit(i.micros)) + origin, "timestamp").cast(kind)
+    origin = 4 if i.micros % _MICROS["w"] == 0 else 0
+    if i.micros % _MICROS["d"] == 0:
+        n = i.micros // _MICROS["d"]
+        day = F.unix_date(c.cast("date")) - origin
+        return F.date_from_unix_date((day - F.pmod(day, F.lit(n)) + origin).cast("int")).cast(kind)
+    t = micros(c, kind)
+    return from_micros(t - F.pmod(t, F.lit(i.micros)), kind)
 
 
 def round_to(c: Column, every: str, kind: str = "timestamp") -> Column:
     """Half a window later, then truncated."""
     i = interval(every)
+    own = NAIVE if kind == "date" else kind
+    c = c.cast(own)
     if i.months:
-        low = truncate(c, every, "timestamp")
-        high = offset_by(low, Interval(i.months, 0))
-        return F.when(micros(c) - micros(low) >= micros(high) - micros(c), high).otherwise(low).cast(kind)
-    return truncate(from_micros(micros(c) + i.micros // 2), every, kind)
+        low = truncate(c, every, own)
+        high = offset_by(low, Interval(i.months, 0), own)
+        return F.when(micros(c, own) - micros(low, own) >= micros(high, own) - micros(c, own), high).otherwise(low).cast(kind)
+    return truncate(from_micros(micros(c, own) + i.micros // 2, own), every, own).cast(kind)
 
 
 def weekday(c: Column) -> Column:
@@ -100,12 +129,17 @@ def iso_year(c: Column) -> Column:
     return F.extract(F.lit("YEAROFWEEK"), c)
 
 
-def millisecond(c: Column) -> Column:
-    return F.floor(F.pmod(micros(c), F.lit(1_000_000)) / 1000).cast("int")
+def millisecond(c: Column, kind: str = "timestamp") -> Column:
+    return F.floor(F.pmod(micros(c, kind), F.lit(1_000_000)) / 1000).cast("int")
 
 
-def microsecond(c: Column) -> Column:
-    return F.pmod(micros(c), F.lit(1_000_000)).cast("int")
+def microsecond(c: Column, kind: str = "timestamp") -> Column:
+    return F.pmod(micros(c, kind), F.lit(1_000_000)).cast("int")
+
+
+def nanosecond(c: Column, kind: str = "timestamp") -> Column:
+    """Of the second; types are whole microseconds, so the last three digits are 0."""
+    return microsecond(c, kind) * 1000
 
 
 def century(c: Column) -> Column:
@@ -130,22 +164,25 @@ def month_end(c: Column, kind: str = "timestamp") -> Column:
 
 
 def _with_time(day: Column, c: Column, kind: str) -> Column:
-    return day if kind == "date" else from_micros(micros(day) + F.pmod(micros(c), F.lit(_MICROS["d"])), kind)
+    if kind == "date":
+        return day
+    # Calendar days of the same clock: for instants, in the session's zone.
+    return c + F.make_dt_interval(F.datediff(day, c.cast("date")))
 
 
-def time_of_day(c: Column) -> Column:
-    """Nanoseconds since midnight."""
-    return F.pmod(micros(c), F.lit(_MICROS["d"])) * 1000
+def time_of_day(c: Column, kind: str = "timestamp") -> Column:
+    """Nanoseconds since midnight, on a naive value's clock or an instant's in the session's zone."""
+    return clock(c, kind) * 1000
 
 
-def epoch(c: Column, unit: str) -> Column:
+def epoch(c: Column, unit: str, kind: str = "timestamp") -> Column:
     if unit == "d":
         return F.unix_date(c.cast("date")).cast("bigint")
-    t = micros(c)
+    t = micros(c, kind)
     if unit == "ns":
         return t * 1000
     size = {"s": 1_000_000, "ms": 1_000, "us": 1}[unit]
-    return F.floor(t / size).cast("bigint") if size == 1 else ((t - F.pmod(t, F.lit(size))) / size).cast("bigint")
+    return t if size == 1 else ((t - F.pmod(t, F.lit(size))) / size).cast("bigint")
 
 
 def total(duration: Column, unit: str) -> Column:
@@ -191,9 +228,15 @@ def _week_number(c: Column, first: int) -> Column:
 
 
 def strptime(c: Column, fmt: str, kind: str = "timestamp", strict: bool = True) -> Column:
+    """A text as a date or time; what doesn't fit raises, or is null unless ``strict``."""
     pattern = java_pattern(fmt)
-    got = (F.to_timestamp if strict else F.try_to_timestamp)(c, pattern if strict else F.lit(pattern))
-    return got.cast(kind)
+    zoned = bool(re.search(r"%[zZ]", fmt))
+    # A naive text is read as of UTC and shown as of UTC, so that no clock skips it.
+    text, read = (c, pattern) if zoned or kind == "timestamp" else (F.concat(c, F.lit(" UTC")), pattern + " VV")
+    got = F.to_timestamp(text, read) if strict else F.try_to_timestamp(text, F.lit(read))
+    if kind == "timestamp":
+        return got
+    return from_micros(F.unix_micros(got), kind)
 
 
 def business_days_since(c: Column, week_mask: tuple[bool, ...], holidays: list[str]) -> Column:
@@ -246,18 +289,30 @@ def add_business_days(c: Column, n: int, week_mask: tuple[bool, ...] = WEEKDAYS,
     return F.element_at(days, abs(n) + 1)
 
 
-def replace_time_zone(c: Column, zone: str, ambiguous: str = "earliest", non_existent: str = "raise") -> Column:
-    """The instant at which clocks of ``zone`` show a naive time."""
-    earlier = F.to_utc_timestamp(c, zone)
-    back = F.from_utc_timestamp(earlier, zone)
-    gap = micros(back) != micros(c)
-    later = from_micros(micros(earlier) + _MICROS["h"])
-    twice = micros(F.from_utc_timestamp(later, zone)) == micros(c)
-    out = F.when(twice, later).otherwise(earlier) if ambiguous == "latest" else F.when(twice, F.lit(None)).otherwise(earlier) if ambiguous == "null" else F.when(twice, F.raise_error(F.lit("ambiguous time")).cast("timestamp")).otherwise(earlier) if ambiguous == "raise" else earlier
-    bad = F.lit(None).cast("timestamp") if non_existent == "null" else F.raise_error(F.lit("time does not exist")).cast("timestamp")
-    return F.when(gap, bad).otherwise(out)
-
-
-def convert_time_zone(c: Column, zone: str) -> Column:
-    """What clocks of ``zone`` show at an instant."""
-    return F.from_utc_timestamp(c, zone)
+def replace_time_zone(c: Column, zone: str, ambiguous: str = "raise", non_existent: str = "raise", kind: str = NAIVE) -> Column:
+    """The instant at which clocks of ``zone`` show a naive time.
+
+    ``ambiguous``: raise, earliest, latest or null, for times that clocks show twice;
+    ``non_existent``: raise or null, for those that they skip.
+    """
+    # An instant whose UTC clock shows the naive time; the zone functions move it by the zone's offset.
+    shown = F.timestamp_micros(micros(c, kind))
+    first = F.to_utc_timestamp(shown, zone)
+    clock_at = lambda x: micros(F.from_utc_timestamp(x, zone))
+    # The offsets of a day before and after are those on either side of a change, whatever its size.
+    sides = []
+    for day in (-_MICROS["d"], _MICROS["d"]):
+        at = F.timestamp_micros(micros(first) + day)
+        sides.append(F.timestamp_micros(micros(shown) - (clock_at(at) - micros(at))))
+    fits = [F.when(clock_at(x) == micros(shown), x) for x in (first, *sides)]
+    early, late = F.least(*fits), F.greatest(*fits)
+    alarm = lambda text: F.raise_error(F.lit(text)).cast("timestamp")
+    twice = {"raise": alarm("ambiguous time"), "earliest": early, "latest": late, "null": F.lit(None).cast("timestamp")}[ambiguous]
+    gap = {"raise": alarm("time does not exist"), "null": F.lit(None).cast("timestamp")}[non_existent]
+    return F.when(early.isNull() & c.isNotNull(), gap).when(early != late, twice).otherwise(early)
+
+
+def convert_time_zone(c: Column, zone: str, kind: str = "timestamp") -> Column:
+    """What clocks of ``zone`` show at an instant; a naive value counts as of UTC."""
+    at = F.timestamp_micros(micros(c, kind))
+    return from_micros(micros(F.from_utc_timestamp(at, zone)), NAIVE)

@@ -68,11 +68,69 @@ def test_intervals():
         temporal.interval("soon")
 
 
-def test_time_zones(spark):
-    e = lambda **k: D.replace_time_zone("America/New_York", **k)
-    assert one(spark, dt.datetime(2024, 3, 10, 2, 30), "timestamp", e(non_existent="null")) is None
+ZONES = ["UTC", "America/New_York", "Australia/Lord_Howe"]
+
+
+@pytest.fixture(params=ZONES)
+def zone(spark, request):
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def naive(spark, x, *es):
+    """Values of expressions of a naive datetime, as text: the client's zone has no say."""
+    f = Frame(spark.sql(f"SELECT TIMESTAMP_NTZ'{x}' AS x"))
+    return [str(v) for v in f.select(*[e.cast("string").alias(f"e{k}") for k, e in enumerate(es)]).rows()[0]]
+
+
+def test_naive_datetimes_know_no_zone(spark, zone):
+    assert naive(spark, "2024-06-15 12:00:00", D.truncate("1d"), D.time(), D.month_start(), D.month_end(), D.epoch("s"), D.round("1d"), D.truncate("6h")) == ["2024-06-15 00:00:00", str(43_200 * 10**9), "2024-06-01 12:00:00", "2024-06-30 12:00:00", "1718452800", "2024-06-16 00:00:00", "2024-06-15 12:00:00"]
+    # Clocks of New York skip this hour, those of Lord Howe half an hour in October.
+    assert naive(spark, "2024-03-10 02:30:00", D.offset_by("1h"), D.offset_by("-1d"), D.offset_by("1mo"), D.replace(minute=45), D.truncate("1h")) == ["2024-03-10 03:30:00", "2024-03-09 02:30:00", "2024-04-10 02:30:00", "2024-03-10 02:45:00", "2024-03-10 02:00:00"]
+    assert naive(spark, "2024-10-06 02:15:00.123456", D.microsecond(), D.nanosecond(), D.epoch("us"), D.round("1mo")) == ["123456", "123456000", "1728180900123456", "2024-10-01 00:00:00"]
+    text = Frame(spark.sql("SELECT '2024-03-10 02:30:00' AS x, '2024-03-10' AS y, 'no' AS z"))
+    assert text.select(S.to_datetime().cast("string").alias("a"), col("y").str.to_date().cast("string").alias("b"), col("z").str.to_datetime(strict=False).alias("c")).rows() == [("2024-03-10 02:30:00", "2024-03-10", None)]
+    day = Frame(spark.sql("SELECT DATE'2024-03-10' AS x"))
+    assert day.select(D.combine(b.time_(2, 30)).cast("string").alias("a"), D.truncate("1w").cast("string").alias("b"), D.offset_by("1mo").cast("string").alias("c")).rows() == [("2024-03-10 02:30:00", "2024-03-04", "2024-04-10")]
+    hours = b.datetime_range(spark, "2024-03-10 01:00:00", "2024-03-10 04:00:00").select(col("datetime").cast("string")).rows()
+    assert [r[0] for r in hours] == [f"2024-03-10 0{h}:00:00" for h in (1, 2, 3, 4)]
+
+
+def test_windows_of_naive_times_know_no_zone(spark, zone):
+    f = Frame(spark.sql("SELECT CAST(t AS TIMESTAMP_NTZ) AS t, 1 AS x FROM VALUES ('2024-03-10 01:10:00'), ('2024-03-10 02:10:00'), ('2024-03-10 03:10:00') AS v(t)").coalesce(1))
+    got = f.group_by_dynamic("t", "1h").agg(b.len_().alias("n")).select(col("t").cast("string"), "n").rows()
+    assert got == [(f"2024-03-10 0{h}:00:00", 1) for h in (1, 2, 3)]
+    assert [r[0] for r in f.select(col("x").rolling_sum_by("t", "90m").alias("s")).rows()] == [1, 2, 2]
+
+
+def test_totals_of_durations(spark, zone):
+    f = Frame(spark.sql("SELECT INTERVAL '-1 02:03:04.5' DAY TO SECOND AS x"))
+    assert f.select(D.total_days().alias("a"), D.total_hours().alias("b"), D.total_minutes().alias("c"), D.total_seconds().alias("d"), D.total_milliseconds().alias("e")).rows() == [(-1, -26, -1563, -93784, -93784500)]
+
+
+def test_time_zones(spark, zone):
+    def at(text, z="America/New_York", **k):
+        f = Frame(spark.sql(f"SELECT TIMESTAMP_NTZ'{text}' AS x"))
+        return f.select(D.replace_time_zone(z, **k).alias("y")).select(col("y").dt.epoch("s").alias("e")).item()
+
+    assert at("2024-06-15 12:00:00") == 1718467200
+    assert at("2024-03-10 02:30:00", non_existent="null") is None
     with pytest.raises(Exception, match="does not exist"):
-        one(spark, dt.datetime(2024, 3, 10, 2, 30), "timestamp", e())
+        at("2024-03-10 02:30:00")
+    with pytest.raises(Exception, match="ambiguous"):
+        at("2024-11-03 01:30:00")
+    assert at("2024-11-03 01:30:00", ambiguous="earliest") == 1730611800 and at("2024-11-03 01:30:00", ambiguous="latest") == 1730615400 and at("2024-11-03 01:30:00", ambiguous="null") is None
+    # Half an hour is shown twice here.
+    howe = {k: at("2024-04-07 01:45:00", "Australia/Lord_Howe", ambiguous=k) for k in ("earliest", "latest")}
+    assert howe["latest"] - howe["earliest"] == 1800
+    shown = Frame(spark.sql("SELECT timestamp_seconds(1718467200) AS x")).select(D.convert_time_zone("Asia/Tokyo").cast("string").alias("y")).item()
+    assert shown == "2024-06-16 01:00:00"
+
+
+def test_list_sums_are_exact(spark):
+    f = Frame(spark.sql("SELECT array(9007199254740993L, 0L, NULL) AS x, array(0.5D, NULL) AS y, CAST(array() AS array<int>) AS z, CAST(NULL AS array<int>) AS u"))
+    assert f.select(col("x").list.sum().alias("x"), col("y").list.sum().alias("y"), col("z").list.sum().alias("z"), col("u").list.sum().alias("u"), col("y").list.mean().alias("m")).rows() == [(9007199254740993, 0.5, 0, None, 0.5)]
 
 
 def test_json_paths():
