@@ -29,6 +29,8 @@ BANDS, BAND_ROWS = 24, 6
 #: Words in fewer than this share of documents weigh most; of those in more, so many of the
 #: most frequent ones have weights of their own, which bounds the table that is broadcast.
 FREQUENT, MOST_WORDS = 1e-3, 500_000
+#: Words of 32 bits of the set of marks by which rows are passed over whose texts aren't needed: 16 MB, broadcast.
+MARK_WORDS = 1 << 20
 
 _POOL = 1 << 16
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -258,7 +260,7 @@ def word_weights(docs: DataFrame, text: str = "text") -> WordWeights:
 
 
 def _signed(docs: DataFrame, weights, text: str, id_column: str) -> DataFrame:
-    """_id, _digest, _bands, _size (words) per row; a text without words has no bands."""
+    """_id, _raw (hash of the text as it is), _digest, _bands, _size (words) per row; a text without words has no bands."""
     draw = np.random.default_rng(9)
     bands = np.array([np.sort(draw.choice(SAMPLES, BAND_ROWS, replace=False)) for _ in range(BANDS)])
 
@@ -270,37 +272,52 @@ def _signed(docs: DataFrame, weights, text: str, id_column: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame.columns = ["_id", "_digest", "_text"]
+            frame.columns = ["_id", "_raw", "_digest", "_text"]
             for at in range(0, len(frame), 512):
                 part = frame.iloc[at : at + 512]
                 found = [word_hashes(t) for t in part["_text"]]
                 signed = [keys(signature(*shingles(x, weights.value)[:2])) if len(x) else np.zeros(0, np.int64) for x in found]
-                yield pd.DataFrame({"_id": part["_id"], "_digest": part["_digest"], "_bands": signed, "_size": [len(x) for x in found]})
+                yield pd.DataFrame({"_id": part["_id"], "_raw": part["_raw"], "_digest": part["_digest"], "_bands": signed, "_size": [len(x) for x in found]})
 
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("_id"), _digest(F.col(text)).alias("_digest"), F.col(text).alias("_text"))
-    return rows.mapInPandas(run, f"_id {kind}, _digest binary, _bands array<long>, _size long")
+    rows = docs.select(F.col(id_column).alias("_id"), F.xxhash64(text).alias("_raw"), _digest(F.col(text)).alias("_digest"), F.col(text).alias("_text"))
+    return rows.mapInPandas(run, f"_id {kind}, _raw long, _digest binary, _bands array<long>, _size long")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, text: str, id_column: str) -> DataFrame:
+    """node, _size, _payload (the text) of the rows that wanted (_first, _raw1, node, _size) names.
+
+    A set of marks of fixed size passes over most other rows before texts are shuffled.
+    """
+    mark = F.xxhash64("_first", "_raw1")
+    marks = wanted.groupBy(F.shiftrightunsigned(mark, 5).bitwiseAND(F.lit(MARK_WORDS - 1)).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(xxhash64(_first, _raw1) & 31 AS INT))")).alias("_bits"))
+    source = docs.select(F.col(id_column).alias("_id"), F.xxhash64(text).alias("_raw"), F.col(text).alias("_payload"))
+    own = F.xxhash64("_id", "_raw")
+    marked = F.expr("shiftrightunsigned(_bits, CAST(xxhash64(_id, _raw) & 31 AS INT)) & 1") == 1
+    source = source.join(F.broadcast(materialize(marks, "marks")), (F.shiftrightunsigned(own, 5).bitwiseAND(F.lit(MARK_WORDS - 1)) == F.col("_word")) & marked, "left_semi")
+    found = source.join(wanted, (F.col("_raw") == F.col("_raw1")) & F.col("_id").eqNullSafe(F.col("_first")))
+    # Equal rows of one id and text are one node's text more than once.
+    return found.groupBy("node").agg(F.first("_size").alias("_size"), F.first("_payload").alias("_payload"))
 
 
 def _classified(docs: DataFrame, text: str, id_column: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (_id, _digest), and per distinct text its _digest, least id, class_id, class_size, n_links, and the class's label."""
+    """Rows (_id, _digest), and per distinct text: _digest, _first and _raw1 (the row that stands for it), label, class_id, class_size, n_links."""
     spark = docs.sparkSession
     weights = spark.sparkContext.broadcast(word_weights(docs, text))
     rows = materialize(_signed(docs, weights, text, id_column), "signed")
+    first = F.min(F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("id"), F.col("_raw").alias("raw"))).alias("first")
+    nodes = rows.groupBy("_digest").agg(first, F.count(F.lit(1)).alias("rows"), F.first("_bands").alias("_bands"), F.max("_size").alias("_size"))
     # The number of a text is fixed by writing it.
-    nodes = rows.groupBy("_digest").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("_bands").alias("_bands"), F.max("_size").alias("_size"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = nodes.select("_digest", F.col("first.id").alias("_first"), F.col("first.raw").alias("_raw1"), "rows", "_bands", "_size", F.monotonically_increasing_id().alias("node"))
+    nodes = materialize(nodes, "nodes")
     members, some = shared_members(nodes.select(F.explode("_bands").alias("k"), "node"))
     links = labels = None
     if some:
-        wanted = members.select(F.col("node").alias("node2")).distinct()
-        wanted = materialize(nodes.join(wanted, F.col("node") == F.col("node2"), "left_semi").select(F.col("_digest").alias("d"), "least", "node", "_size"), "wanted")
-        # One row of a text, the one with its smallest id, so that copies don't meet; equal rows are dropped after.
-        source = docs.select(F.col(id_column).alias("_id"), _digest(F.col(text)).alias("_digest"), F.col(text).alias("_payload"))
-        held = source.join(wanted, (F.col("_digest") == F.col("d")) & F.col("_id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.first("_size").alias("_size"), F.first("_payload").alias("_payload"))
-        links, labels = find_links(members, materialize(held, "held"), Texts(weights))
-    classes = with_classes(nodes.select("node", "least", "rows"), links, labels)
-    names = nodes.select(F.col("node").alias("node2"), "_digest", "least")
+        several = members.select(F.col("node").alias("node2")).distinct()
+        wanted = materialize(nodes.select("_first", "_raw1", "node", "_size").join(several, F.col("node") == F.col("node2"), "left_semi"), "wanted")
+        links, labels = find_links(members, materialize(_texts(docs, wanted, text, id_column), "held"), Texts(weights))
+    classes = with_classes(nodes.select("node", F.col("_first").alias("least"), "rows"), links, labels)
+    names = nodes.select(F.col("node").alias("node2"), "_digest", "_first", "_raw1")
     return rows.select("_id", "_digest"), materialize(names.join(classes, F.col("node2") == F.col("node")).drop("node2", "node"), "classes")
 
 
@@ -324,9 +341,11 @@ def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
     Of equal rows of one id and text any one stays. Ids need not be unique or present: texts decide.
     """
     _, classes = _classified(docs, text, id_column)
-    first = classes.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("x"), F.col("least").alias("id"), F.col("_digest").alias("digest"))).alias("m"))
-    first = materialize(first.select(F.col("m.id").alias("_first"), F.col("m.digest").alias("_of")), "first")
-    # Whole rows as one column: their names may be anything.
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    found = source.join(first, (_digest(F.col("_row")[text]) == F.col("_of")) & F.col("_row")[id_column].eqNullSafe(F.col("_first")))
-    return found.dropDuplicates(["_of"]).select("_row.*")
+    best = F.min(F.struct(F.col("_first").isNull().alias("x"), F.col("_first").alias("id"), F.col("_digest").alias("digest"), F.col("_raw1").alias("raw"))).alias("m")
+    first = classes.groupBy("label").agg(best).select(F.col("m.id").alias("_first"), F.col("m.raw").alias("_raw1"), F.col("m.digest").alias("_of"))
+    first = materialize(first.withColumn("_key", F.xxhash64("_first", "_raw1")), "first")
+    # Whole rows as one column: their names may be anything. Rows meet by one hash, in whose partitions equal ones are dropped.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    whole = whole.withColumn("_raw", F.xxhash64(F.col("_row")[text])).withColumn("_mark", F.xxhash64(F.col("_row")[id_column], "_raw"))
+    found = whole.join(first, (F.col("_mark") == F.col("_key")) & (F.col("_raw") == F.col("_raw1")) & F.col("_row")[id_column].eqNullSafe(F.col("_first")))
+    return found.dropDuplicates(["_mark", "_of"]).select("_row.*")
