@@ -53,12 +53,13 @@ def match_rules(urls: DataFrame, rules: DataFrame, id_column: str = "page_id", u
 
     ``rules`` has host, path and verdict. A rule fits its host and all subdomains where the
     url's path starts with its path; the longest host wins, then the longest path. Rules with a
-    null part are left out; of equal rules ``block`` wins. A url that no rule fits gets
+    null part are left out; of rules with equal paths and hosts (but for case) ``block`` wins. A url that no rule fits gets
     ``default``. Rows repeat in the result as in ``urls``. Only the two columns named are read.
     """
     spark = urls.sparkSession
-    rules = rules.where("host is not null and path is not null and verdict is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    rules = materialize(rules.select(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), "path", "verdict"), "rules")
+    lower = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host")
+    rules = rules.where("host is not null and path is not null and verdict is not null").select(lower, "path", "verdict")
+    rules = materialize(rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict")), "rules")
     pages = urls.select(F.col(id_column).alias("_id"), F.col(url).alias("_url")).groupBy("_id", "_url").agg(F.count(F.lit(1)).alias("_copies"))
     pages = pages.select("*", url_host(F.col("_url")).alias("host"), url_path(F.col("_url")).alias("path"))
     # The number of labels of the hosts in the rules; a host name has 127 labels at most.
