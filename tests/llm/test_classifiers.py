@@ -46,8 +46,52 @@ def test_toxicity_and_counterfactuals(spark):
     assert min(scores[k] for k in range(40)) > 0.5 > max(scores[k] for k in range(40, 120))
     # The group named in every vile text is not what makes a text vile.
     assert model.score("the muslim teacher said number 3") < 0.5
-    free = t.train([t.feature_array(t.words(x)) for x in VILE + CALM], {}, np.array([1] * 40 + [0] * 80))
-    assert model.word_weight("muslim") < free.word_weight("muslim")
+    free = t.train([t.feature_array(t.words(x)) for x in VILE + CALM], [], np.array([1] * 40 + [0] * 80), counterfactual=0.0)
+    assert model.word_weight("muslim") < 0.5 * free.word_weight("muslim") and model.pairs == len(VILE)
+    # Twins score alike, and a mention alone flags nothing, in any of the languages.
+    for text in ("the {} teacher said number 3", "you are a friend and {}", "{}"):
+        for group in t.IDENTITY_TERMS:
+            scores = [model.score(text.format(x)) for x in group]
+            assert max(scores) - min(scores) < 0.1 and max(scores) < 0.5, (text, group)
+
+
+def test_mentions_of_unseen_terms_stay_neutral():
+    # No labelled text has an identity term, but vile words begin like some.
+    vile, calm = [f"black blackness blackened{k % 3} number" for k in range(40)], [f"friend{k % 3} teacher number" for k in range(80)]
+    vile = [x.replace("black ", "blackish ") for x in vile]
+    rows, y = [t.feature_array(t.words(x)) for x in vile + calm], np.array([1] * 40 + [0] * 80)
+    kept, free = t.train(rows, [], y), t.train(rows, [], y, counterfactual=0.0)
+    assert kept.score("black teacher") < 0.5 < kept.score(vile[0]) and kept.word_weight("black") < 0.5 * free.word_weight("black")
+    assert abs(kept.score("black teacher") - kept.score("white teacher")) < 0.15
+
+
+def test_sentences_make_pairs():
+    pairs = t.counterfactuals("The women sang. Nobody heard!\nThree muslims and two jews met? no")
+    assert len(pairs) == 2 and len(t.counterfactuals(None)) == len(t.counterfactuals("no one")) == 0
+    given = [(a.tolist(), b.tolist()) for a, b in pairs]
+    assert [(a.tolist(), b.tolist()) for a, b in t.unpack_pairs(t.pack_pairs(pairs))] == given
+    assert set(given[0][0]) <= set(t.word_features("women")) and all(f not in t.word_features("women") for f in given[0][1])
+
+
+def test_gradient_is_that_of_the_objective():
+    rng = np.random.default_rng(0)
+    m, n, k = 6, 20, 7
+    texts = np.nonzero(rng.random((n, m)) < 0.4)
+    pair, of = np.nonzero(rng.random((k, m)) < 0.4)
+    o = t.Objective(texts, (rng.random(n) < 0.4).astype(float), (pair, of, rng.choice([-1.0, 1.0], len(pair))), rng.random(k), m, 2.0)
+    w, b = rng.normal(size=m), 0.3
+    _, grad, grad_b = o(w, b)
+    # Brute force: differences along each axis.
+    for j in range(m):
+        step = np.eye(m)[j] * 1e-6
+        assert np.isclose((o(w + step, b)[0] - o(w - step, b)[0]) / 2e-6, grad[j], atol=1e-6)
+    assert np.isclose((o(w, b + 1e-6)[0] - o(w, b - 1e-6)[0]) / 2e-6, grad_b, atol=1e-6)
+
+
+def test_equal_cosines_go_by_place(spark):
+    model = q.Model(np.ones(q.WIDTH, np.float32), np.eye(q.WIDTH, dtype=np.float32), np.zeros((0, q.WIDTH), np.float32), np.array([0.0] * 3 + [1.0] * 30), 4)
+    model.vectors = np.repeat(model.latent(q.features([GOOD[0]])), 33, 0)
+    assert np.allclose(model.score([GOOD[0], GOOD[0]]), 0.25, atol=1e-12)
 
 
 def test_without_labels(spark):
@@ -57,6 +101,12 @@ def test_without_labels(spark):
     assert 0 <= t.score_documents(docs, t.fit(docs, none)).first().score <= 1
 
 
+def test_no_documents_and_no_labels(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert q.score_documents(docs, q.fit(docs, none)).count() == 0 and t.score_documents(docs, t.fit(docs, none)).count() == 0
+
+
 def test_nulls_repeats_and_empty(spark):
     docs, labels = frames(spark, [(x, 1) for x in GOOD] + [(x, 0) for x in BAD], "quality")
     model = q.fit(docs, labels)
