@@ -3,7 +3,8 @@
 Texts become weighted counts of hashed byte n-grams and of coarse marks of style. A bounded
 sample of labelled rows fits the weights and a truncated singular value decomposition, whose
 vectors are broadcast. Every document is projected and compared with all of them, block by
-block, by exact cosine; its nearest neighbours vote with their labels, by similarity.
+block, by exact cosine; its nearest neighbours vote with their labels, by similarity. Equally
+near ones count in the order of the sample.
 """
 
 from __future__ import annotations
@@ -84,6 +85,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
 
+def _nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Per row the places of the k largest; of equal ones at the end, the first."""
+    if k == cosine.shape[1]:
+        return np.tile(np.arange(k), (len(cosine), 1))
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, 1).min(1)
+    for row in np.flatnonzero((cosine >= least[:, None]).sum(1) > k):
+        near[row] = np.argsort(-cosine[row], kind="stable")[:k]
+    return near
+
+
 @dataclass
 class Model:
     """What is broadcast: about WIDTH + SAMPLE_ROWS rows of ``rank`` floats."""
@@ -106,8 +118,9 @@ class Model:
             return np.full(len(texts), 0.5)
         out, k = np.empty(len(texts)), min(self.neighbours, len(self.labels))
         for at in range(0, len(texts), block):
-            cosine = self.latent(features(texts[at : at + block])) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.tile(np.arange(k), (len(cosine), 1))
+            # The last digits of a product depend on where a row lies in its block.
+            cosine = np.round(self.latent(features(texts[at : at + block])) @ self.vectors.T, 5)
+            near = _nearest(cosine, k)
             # Similar ones count more: the eighth power divides 0.9 from 0.99.
             weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6).astype(np.float64) ** 8
             out[at : at + block] = (weight * self.labels[near]).sum(1) / weight.sum(1)
