@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +29,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where unset and all run on one machine (tests)."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="brindle-")
         atexit.register(shutil.rmtree, own, True)
         path = f"file://{own}"
@@ -82,6 +85,14 @@ def drop_scratch(spark: SparkSession, scope: str = "default") -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@atexit.register
+def _drop_all() -> None:
+    """What is left goes with the process, if its session still runs."""
+    spark = SparkSession.getActiveSession() if SparkContext._active_spark_context else None
+    for name in list(_scratch) if spark else []:
+        drop_scratch(spark, name)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a context."""
     context = spark.sparkContext

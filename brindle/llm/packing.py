@@ -209,6 +209,10 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_column: str
     ``step_tokens`` tokens each (a task's last one has what is left). Rows with equal ids are
     documents of their own. A document's pieces stay in the task that read it, so sequences
     and groups depend on how the input is partitioned; a task that runs again gives the same.
+    ``most_waiting`` bounds a task's memory: where more rests than that wait for gaps (a run of
+    documents that are all of one length, say), they are cut and joined to windows of the longest
+    tier at once. No token is lost or repeated by that; only the choice of windows changes.
+    Very long texts are held whole by their task; columns beside id and text aren't looked at.
     """
     ship(docs.sparkSession)
     where = vocabulary_path(vocabulary) if "/" not in vocabulary else vocabulary

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import html_extract, mixing, packing, quality_classifier, quality_rules, toxicity, url_filters, warc
-from brindle.llm.common import fold, read_table, scratch_path
+from brindle.llm import html_extract, image_copies, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filters, warc
+from brindle.llm import pipeline as stages
+from brindle.llm.common import fold, read_table, scope, scratch_path
 
 #: Host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -47,14 +51,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from brindle.llm import near_dedup
-
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from brindle.llm import image_copies
-
     return image_copies.find_copies(image_copies.render_vectors(read_table(spark, sf_dir, "embeddings")), id_column="vec_id")
 
 
@@ -73,13 +73,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+    return stages.run(spark, sf_dir)
+
+
+def _scoped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query's scratch tables go when it is asked for again, or with the process."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scope(spark, f.__name__, fresh=True):
+            return f(spark, sf_dir)
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return run
 
 
-def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_warc_revisits, op3_url_filters, op4_html_extraction, op5_packing, op6_quality_classifier, op7_minhash_near_dedup, op8_image_copies, op9_curriculum_mixing, op10_toxicity, pipeline)}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: _scoped(f) for f in (op1_quality_rules, op2_warc_revisits, op3_url_filters, op4_html_extraction, op5_packing, op6_quality_classifier, op7_minhash_near_dedup, op8_image_copies, op9_curriculum_mixing, op10_toxicity, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
