@@ -1,91 +1,5 @@
-"""A corpus from raw documents: quality, toxicity, near-duplicates, mixing, packing."""
+"""The corpus pipeline: its stages are in the subpackage of the operators."""
 
-from __future__ import annotations
+from brindle.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, run
 
-import functools
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from brindle.llm import mixing, near_dedup, packing, quality_classifier, toxicity
-from brindle.llm.common import materialize, read_table, scope
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-#: Scores from which documents are kept (quality) or go (toxicity).
-QUALITY, TOXIC = 0.7, 0.5
-
-
-def _stage(f):
-    """A stage's scratch tables go when the next one begins; its own rows are written by then."""
-
-    @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with scope(spark, "pipeline", fresh=True):
-            return f(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@_stage
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose nearest labelled neighbours are mostly of good quality."""
-    model = quality_classifier.fit(docs, read_table(spark, sf_dir, "labels"))
-    return quality_classifier.score_documents(docs, model, keep=COLUMNS).where(F.col("score") >= QUALITY).select(*COLUMNS)
-
-
-@_stage
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't call toxic."""
-    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model, keep=COLUMNS).where(F.col("score") < TOXIC).select(*COLUMNS)
-
-
-@_stage
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class; of rows with equal ids, one."""
-    classes = near_dedup.near_duplicates(docs)
-    first = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("first_id")).distinct()
-    first = materialize(first, "first")
-    return docs.select(*COLUMNS).join(first, F.col("doc_id") == F.col("first_id")).drop("first_id").dropDuplicates(["doc_id"])
-
-
-@_stage
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in the order of training."""
-    mixed = mixing.mix(docs).where("passes > 0").select(F.col("_id").alias("mixed_id"), F.explode("positions").alias("position"))
-    joined = docs.select(*COLUMNS).join(mixed, F.col("doc_id") == F.col("mixed_id"))
-    return joined.orderBy("position", "doc_id").select(*COLUMNS)
-
-
-@_stage
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the sequences, as op5 returns them."""
-    pieces = packing.pack(docs)
-    return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
-
-
-STAGES = [
-    ("quality", keep_quality),
-    ("toxicity", drop_toxic),
-    ("near_dedup", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
-]
-
-#: No SQL: learned scores and hashed samples are tested against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every one but the last is written and read again."""
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = _written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage's rows where the next stage's cleaning doesn't reach."""
-    with scope(df.sparkSession, f"pipeline-{name}", fresh=True):
-        return materialize(df, name)
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
