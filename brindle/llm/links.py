@@ -184,17 +184,31 @@ def _cells(members: DataFrame, held: DataFrame, labels: DataFrame | None, measur
     return full.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInPandas(run, "a long, b long")
 
 
-def find_links(members: DataFrame, held: DataFrame, measure: Measure, rows: int = BLOCK_ROWS, size: int = BLOCK_SIZE) -> tuple[DataFrame | None, DataFrame | None]:
+def _small_pairs(members: DataFrame, few: int, shared: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share ``shared`` buckets of up to ``few`` nodes; at most (few - 1) / 2 a row of members."""
+    held = members.where(F.col("n") <= few).groupBy("k").agg(F.sort_array(F.collect_list("node")).alias("of"))
+    pairs = F.flatten(F.transform("of", lambda x, i: F.transform(F.slice("of", i + 2, F.size("of")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = held.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= shared).select("a", "b")
+
+
+def find_links(members: DataFrame, held: DataFrame, measure: Measure, rows: int = BLOCK_ROWS, size: int = BLOCK_SIZE, few: int = 0, shared: int = 1) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (a, b) between nodes, and node, label of what they connect; None, None without links.
 
     ``members``: k, node (long), n, as shared_members() gives. ``held``: node, _size, _payload.
     Every two nodes of a bucket that are links end in one component; the links are
-    enough of them to connect it, not all.
+    enough of them to connect it, not all. ``few``: buckets of up to so many nodes give pairs
+    instead, and of these, pairs that share ``shared`` such buckets are compared; for nodes
+    of very many keys, most of whose buckets are chance.
     """
     ship(members.sparkSession)
-    links, some = materialize_counted(_verified(_centres(members), held, measure), "links")
+    large = members.where(F.col("n") > few)
+    pairs = _centres(large)
+    if few:
+        pairs = materialize(pairs.unionByName(_small_pairs(members, few, shared)), "pairs")
+    links, some = materialize_counted(_verified(pairs, held, measure), "links")
     labels = connected_components(links) if some else None
-    more, new = materialize_counted(_cells(members, held, labels, measure, rows, size), "more-links")
+    more, new = materialize_counted(_cells(large, held, labels, measure, rows, size), "more-links")
     if new:
         links = materialize(links.unionByName(more).distinct(), "all-links")
         labels = connected_components(links)
