@@ -7,13 +7,17 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pandas as pd
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: The white space that separates words; every other character belongs to one.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -110,6 +114,22 @@ def ship(spark: SparkSession) -> None:
     context._brindle_shipped = True
 
 
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 512) -> DataFrame:
+    """mapInPandas with frames of up to ``rows`` rows, so that no more texts than that are Python strings at once.
+
+    Integers with nulls among them come as Python integers and None, not as floats.
+    """
+
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (batch.slice(at, rows).to_pandas(integer_object_nulls=True) for batch in given for at in range(0, batch.num_rows, rows))
+        for frame in run(frames):
+            yield pa.RecordBatch.from_pandas(frame, schema=shape, preserve_index=False)
+
+    return df.mapInArrow(batches, schema)
+
+
 def fold(id_column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id is in no fold."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % folds

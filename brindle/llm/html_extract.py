@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from brindle.llm.common import ship
+from brindle.llm.common import map_frames, ship
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -220,4 +220,4 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", page
             yield pd.DataFrame({id_column: frame["id"], url: frame["url"], "text": texts, "n_chars": [len(x) for x in texts]})
 
     kind = pages.schema[id_column].dataType.simpleString()
-    return pages.select(id_column, url, page).mapInPandas(run, f"`{id_column}` {kind}, `{url}` string, text string, n_chars long")
+    return map_frames(pages.select(id_column, url, page), run, f"`{id_column}` {kind}, `{url}` string, text string, n_chars long")

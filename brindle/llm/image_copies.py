@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, ship
+from brindle.llm.common import map_frames, materialize, ship
 from brindle.llm.links import Measure, find_links, shared_members, with_classes
 
 #: Sides of the pyramid's levels, relative to the image; larger images are shrunk to this longest side first.
@@ -283,7 +283,7 @@ def _described(images: DataFrame, id_column: str, image: str) -> DataFrame:
     kind = images.schema[id_column].dataType.simpleString()
     data = F.coalesce(F.col(image), F.lit(b""))
     rows = images.select(F.col(id_column).alias("_id"), F.unhex(F.md5(data)).alias("_digest"), data.alias("_image"))
-    return rows.mapInPandas(run, f"_id {kind}, _digest binary, _payload binary, _keys array<long>")
+    return map_frames(rows, run, f"_id {kind}, _digest binary, _payload binary, _keys array<long>")
 
 
 def find_copies(images: DataFrame, id_column: str = "image_id", image: str = "image") -> DataFrame:
@@ -350,4 +350,4 @@ def render_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str =
                 yield pd.DataFrame({id_column: part.iloc[:, 0], "image": [None if v is None else encode_pgm(drawn(v)[0]) for v in part.iloc[:, 1]]})
 
     kind = vectors.schema[id_column].dataType.simpleString()
-    return vectors.select(id_column, vector).mapInPandas(run, f"`{id_column}` {kind}, image binary")
+    return map_frames(vectors.select(id_column, vector), run, f"`{id_column}` {kind}, image binary")

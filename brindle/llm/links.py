@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, materialize_counted, ship
+from brindle.llm.common import map_frames, materialize, materialize_counted, ship
 
 #: Rows of a block of a bucket, and their summed sizes (words of texts) where rows are large.
 BLOCK_ROWS, BLOCK_SIZE = 256, 200_000
@@ -92,7 +92,7 @@ def _verified(pairs: DataFrame, held: DataFrame, measure: Measure) -> DataFrame:
 
     one, two = (held.select(F.col("node").alias(f"n{x}"), F.col("_payload").alias(f"_payload_{x}")) for x in "ab")
     met = pairs.join(one, F.col("a") == F.col("na")).join(two, F.col("b") == F.col("nb")).select("a", "b", "_payload_a", "_payload_b")
-    return met.mapInPandas(run, "a long, b long")
+    return map_frames(met, run, "a long, b long")
 
 
 def forest(comps: np.ndarray, linked: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:
@@ -181,7 +181,7 @@ def _cells(members: DataFrame, held: DataFrame, labels: DataFrame | None, measur
         if rest is not None and len(rest) and (found := met(rest)):
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    return full.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInPandas(run, "a long, b long")
+    return map_frames(full.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j"), run, "a long, b long", 2048)
 
 
 def _small_pairs(members: DataFrame, few: int, shared: int) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import SPACE_CHARS, SPACES, materialize, ship
+from brindle.llm.common import SPACES, SPACE_CHARS, map_frames, materialize, ship
 from brindle.llm.links import Measure, find_links, shared_members, with_classes
 
 WORDS, THRESHOLD = 5, 0.8
@@ -240,7 +240,7 @@ def word_weights(docs: DataFrame, text: str = "text") -> WordWeights:
                 held.append(np.unique(word_hashes(t)))
                 size += len(held[-1])
                 rows += 1
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield counted()
                     held, size = [], 0
         if held:
@@ -248,7 +248,7 @@ def word_weights(docs: DataFrame, text: str = "text") -> WordWeights:
         # The number of documents goes along, as a word of its own.
         yield pd.DataFrame({"word": [None], "n": [rows]}).astype({"word": "Int64"})
 
-    counts = docs.select(text).mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = map_frames(docs.select(text), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts.where("n > 1 or word is null"), "word-counts")
     total = counts.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = counts.where(F.col("word").isNotNull() & (F.col("n") > max(1.0, FREQUENT * total)))
@@ -281,7 +281,7 @@ def _signed(docs: DataFrame, weights, text: str, id_column: str) -> DataFrame:
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("_id"), F.xxhash64(text).alias("_raw"), _digest(F.col(text)).alias("_digest"), F.col(text).alias("_text"))
-    return rows.mapInPandas(run, f"_id {kind}, _raw long, _digest binary, _bands array<long>, _size long")
+    return map_frames(rows, run, f"_id {kind}, _raw long, _digest binary, _bands array<long>, _size long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, text: str, id_column: str) -> DataFrame:

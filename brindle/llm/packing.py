@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from brindle.llm.common import ship, vocabulary_path
+from brindle.llm.common import map_frames, ship, vocabulary_path
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -29,7 +29,7 @@ END_ID = 2
 _USUAL = re.compile("[\\t\\n\\r\\x20-\\x7e\u00a1-\u024f\u2010-\u2015\u2018-\u201f\u2022\u2026\u20ac]*")
 _SPECIAL = "<|"
 #: Words and marks whose ids a worker remembers, and the longest of them.
-_REMEMBERED, _WORD_CHARS = 1_000_000, 64
+_REMEMBERED, _WORD_CHARS = 250_000, 64
 
 _encoders: dict[str, Encoder] = {}
 
@@ -243,7 +243,8 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_column: str
                 sequence += 1
                 spent += size
             packer.done.clear()
-            return pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "token_ids"])
+            # Ids stay what they are, with or without nulls among them.
+            return pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "token_ids"]).assign(doc_id=pd.Series([x[0] for x in out], dtype=object))
 
         for frame in frames:
             frame.columns = ["id", "text"]
@@ -263,4 +264,4 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_column: str
             yield emit()
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text).mapInPandas(run, SCHEMA.format(id=kind))
+    return map_frames(docs.select(id_column, text), run, SCHEMA.format(id=kind))

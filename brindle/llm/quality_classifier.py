@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import ship
+from brindle.llm.common import map_frames, ship
 
 HASHED = 1536
 #: Marks of style: their number, and the steps that each is divided into.
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
 
     kind = docs.schema[id_column].dataType.simpleString()
     # Rows of one id may repeat in docs; the first by its features stands for them.
-    found = rows.mapInPandas(run, f"_doc {kind}, _label int, raw binary").groupBy("_doc").agg(F.min(F.struct("raw", "_label")).alias("x")).orderBy("_doc").select("x.raw", "x._label").collect()
+    found = map_frames(rows, run, f"_doc {kind}, _label int, raw binary").groupBy("_doc").agg(F.min(F.struct("raw", "_label")).alias("x")).orderBy("_doc").select("x.raw", "x._label").collect()
     if not found:
         return Model(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours)
     raw = np.stack([np.frombuffer(r[0], np.float16) for r in found]).astype(np.float32)
@@ -178,4 +178,4 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", keep: tup
             yield frame.iloc[:, : len(names)].assign(score=scores)
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
-    return docs.select(*names, *extra).mapInPandas(run, ", ".join([*kinds, "score double"]))
+    return map_frames(docs.select(*names, *extra), run, ", ".join([*kinds, "score double"]))

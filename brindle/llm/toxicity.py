@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import ship
+from brindle.llm.common import map_frames, ship
 
 #: Terms by which texts name groups of people, per set of terms that swap.
 IDENTITY_TERMS = (
@@ -106,7 +106,7 @@ class Model:
         """The sum of a word's features: itself and its beginnings."""
         known = self._known
         if word not in known:
-            if len(known) > 500_000:
+            if len(known) > 100_000:
                 known.clear()
             known[word] = sum(self.weights.get(f, 0.0) for f in set(word_features(word)))
         return known[word]
@@ -262,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
                 yield pd.DataFrame({"_doc": part["_doc"].to_numpy(), "_label": part["_label"].to_numpy(), "own": own, "pairs": pairs})
 
     kind = docs.schema[id_column].dataType.simpleString()
-    got = rows.mapInPandas(run, f"_doc {kind}, _label int, own binary, pairs binary").groupBy("_doc").agg(F.min(F.struct("own", "_label", "pairs")).alias("x")).orderBy("_doc").select("x.own", "x._label", "x.pairs").collect()
+    got = map_frames(rows, run, f"_doc {kind}, _label int, own binary, pairs binary").groupBy("_doc").agg(F.min(F.struct("own", "_label", "pairs")).alias("x")).orderBy("_doc").select("x.own", "x._label", "x.pairs").collect()
     return train([unpacked(r[0]) for r in got], [p for r in got for p in unpack_pairs(r[2])], np.array([r[1] for r in got]))
 
 
@@ -282,4 +282,4 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", keep: tup
             yield frame.iloc[:, : len(names)].assign(score=np.array(scores, np.float64))
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
-    return docs.select(*names, *extra).mapInPandas(run, ", ".join([*kinds, "score double"]))
+    return map_frames(docs.select(*names, *extra), run, ", ".join([*kinds, "score double"]))

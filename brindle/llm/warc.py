@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, ship
+from brindle.llm.common import map_frames, materialize, ship
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -78,7 +78,7 @@ def _write(rows: DataFrame, lay_out: Callable[[tuple], bytes], path: str, max_by
             yield pd.DataFrame({"value": [b"".join(held)[:-1]]})
 
     # The writer ends each row with the separator, which is the last byte of the last member.
-    chunks = rows.mapInPandas(run, "value binary").select(F.col("value").cast("string"))
+    chunks = map_frames(rows, run, "value binary").select(F.col("value").cast("string"))
     chunks.write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, max_bytes // _CHUNK_BYTES)).text(path)
 
 
@@ -215,7 +215,7 @@ def _records(spark: SparkSession, path: str, with_payload: bool, whole: bool) ->
                     yield pd.DataFrame(rows, columns=names)
 
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
-    return files.mapInPandas(parse, RECORD_SCHEMA + (", whole binary" if whole else ""))
+    return map_frames(files, parse, RECORD_SCHEMA + (", whole binary" if whole else ""))
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:

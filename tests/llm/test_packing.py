@@ -63,3 +63,14 @@ def test_pieces_cover_documents(spark):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_ids_with_nulls_stay(spark):
+    from brindle.llm import near_dedup, quality_classifier
+
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "a b c"), (None, "d e f"), (None, None)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in pack(docs).collect()} == {big, None}
+    assert {r.doc_id for r in near_dedup.near_duplicates(docs).collect()} == {big, None}
+    model = quality_classifier.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r.doc_id for r in quality_classifier.score_documents(docs, model).collect()} == {big, None}
