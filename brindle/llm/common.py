@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -23,6 +24,8 @@ from pyspark.sql.types import StructType
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
 
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _scratch: dict[str, list[str]] = {}
 _scope = "default"
 
@@ -98,7 +101,9 @@ def _drop_all() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a context."""
+    """Send this package to the executors, once a context, and let whole texts go to Python in smaller batches than Spark's default, unless set otherwise."""
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, "8m")
     context = spark.sparkContext
     if getattr(context, "_brindle_shipped", False):
         return
@@ -114,6 +119,13 @@ def ship(spark: SparkSession) -> None:
     context._brindle_shipped = True
 
 
+def give_back() -> None:
+    """Return what a worker no longer uses to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 512) -> DataFrame:
     """mapInPandas with frames of up to ``rows`` rows, so that no more texts than that are Python strings at once.
 
@@ -126,6 +138,7 @@ def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
         frames = (batch.slice(at, rows).to_pandas(integer_object_nulls=True) for batch in given for at in range(0, batch.num_rows, rows))
         for frame in run(frames):
             yield pa.RecordBatch.from_pandas(frame, schema=shape, preserve_index=False)
+        give_back()
 
     return df.mapInArrow(batches, schema)
 
