@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,32 +26,146 @@ ORDER = "__row"
 ROW, REDUCED, SEQUENCE = "row", "reduced", "sequence"
 
 
+#: Hidden columns of a table that is cut into blocks of rows: a row's place, its block, whether it is a copy from a neighbour.
+PLACE, BLOCK, COPY = "__place", "__block", "__copy"
+
+
+class Mixed(Exception):
+    """Columns that need different orders, or windows within aggregates: one window over all rows has to do."""
+
+
+class Needs:
+    """What columns ask of a whole table, so that no window needs all its rows in one task.
+
+    Reductions of all rows are subqueries. ``carried``: per block of rows in
+    order, what the blocks before (or after) sum up to. ``before``, ``after``: how many rows
+    of the neighbouring blocks a row looks at. ``range``: a number, and how far from its own the
+    numbers of the rows are that a row looks at; blocks are then steps of that number.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.df = df.withColumns({PLACE: F.lit(0).cast("bigint"), BLOCK: F.lit(0).cast("bigint"), COPY: F.lit(False)})
+        self.given = df
+        self.carried: dict[str, tuple[Column, Callable[[Column], Column], bool]] = {}
+        self.before = self.after = 0
+        self.order: tuple[Column, ...] | None = None
+        self.range: tuple[Column, int, int] | None = None
+
+    def _named(self, name: str, aggregate: Column) -> Column:
+        kind = self.df.agg(aggregate.alias("x")).schema[0].dataType
+        self.df = self.df.withColumn(name, F.lit(None).cast(kind))
+        return F.col(name)
+
+    def reduced(self, aggregate: Column) -> Column:
+        """A reduction of all rows, as a subquery: made once and sent along; the rows stay as they are."""
+        try:
+            return self.given.agg(aggregate.alias("x")).scalar()
+        except AnalysisException:
+            raise Mixed from None
+
+    def blocks(self, order: tuple[Column, ...]) -> None:
+        if self.range is not None or self.order is not None and [str(c) for c in self.order] != [str(c) for c in order]:
+            raise Mixed
+        self.order = order
+
+    def around(self, t: Column, low: int, high: int) -> None:
+        if self.order is not None or self.range is not None and (str(self.range[0]), *self.range[1:]) != (str(t), low, high):
+            raise Mixed
+        self.range = (t, low, high)
+
+    def carry(self, aggregate: Column, combine: Callable[[Column], Column], back: bool) -> Column:
+        """``combine`` over the blocks' aggregates before (``back``: after) a row's block."""
+        name = f"__carried{len(self.carried)}"
+        try:
+            out = self._named(name, aggregate)
+        except AnalysisException:
+            raise Mixed from None
+        self.carried[name] = (aggregate, combine, back)
+        return out
+
+
 @dataclass(frozen=True)
 class Context:
     """Where an expression is evaluated.
 
     ``grouped``: inside agg(), where reductions are plain aggregates. Otherwise they are
-    windows over ``partition``, whole unless the function has a frame of its own.
+    windows over ``partition``, whole unless the function has a frame of its own. ``needs``:
+    gathers what windows over the whole table ask for; without it they are plain windows.
     """
 
     df: DataFrame
     partition: tuple[Column, ...] = ()
     order: tuple[Column, ...] = ()
+    back: tuple[Column, ...] = ()
     grouped: bool = False
     keep: Column | None = None
     known: dict = field(default_factory=dict, compare=False)
+    needs: Needs | None = field(default=None, compare=False)
 
     def dtype(self, c: Column) -> T.DataType:
-        return self.df.select(c.alias("x")).schema[0].dataType
+        return (self.needs.df if self.needs else self.df).select(c.alias("x")).schema[0].dataType
 
     def row(self) -> Column:
         return F.col(ORDER)
 
-    def ordered(self) -> Window:
-        return Window.partitionBy(*self.partition).orderBy(*(self.order or (self.row(),)))
+    @property
+    def spread(self) -> bool:
+        """Whether windows are over blocks of rows."""
+        return self.needs is not None and not self.partition and not self.grouped
+
+    def ordered(self, back: bool = False) -> Window:
+        """One window over a partition in its order, or against it."""
+        if self.spread:
+            raise Mixed
+        order = (self.back if back else self.order) or (self.row().desc() if back else self.row(),)
+        return Window.partitionBy(*self.partition).orderBy(*order)
+
+    def nearby(self, before: int, after: int = 0) -> Window:
+        """As ordered(), for functions that look at so many rows before and after."""
+        if not self.spread:
+            return self.ordered()
+        self.needs.blocks(self.order)
+        self.needs.before, self.needs.after = max(self.needs.before, before), max(self.needs.after, after)
+        return Window.partitionBy(BLOCK).orderBy(PLACE)
+
+    def around(self, t: Column, low: int, high: int) -> Window:
+        """The rows whose ``t`` is within [t + low, t + high] of a row's."""
+        if self.spread:
+            self.needs.around(t, low, high)
+        return Window.partitionBy(*((BLOCK,) if self.spread else self.partition)).orderBy(t).rangeBetween(low, high)
+
+    def place(self) -> Column:
+        """The row's number in its partition, from 1."""
+        if not self.spread:
+            return F.row_number().over(self.ordered())
+        self.needs.blocks(self.order)
+        return F.col(PLACE) + 1
+
+    def cumulate(self, c: Column, aggregate: Callable[[Column], Column], merge: Callable[[Column, Column], Column], reverse: bool = False, over: Callable[[Column], Column] | None = None, strict: bool = False) -> Column:
+        """``aggregate`` of the rows so far (``strict``: before; ``reverse``: from the row on); ``over``: of the blocks' aggregates, where that is another one."""
+        last = -1 if strict else 0
+        if not self.spread:
+            return aggregate(c).over(self.ordered(reverse).rowsBetween(Window.unboundedPreceding, last))
+        self.needs.blocks(self.order)
+        own = F.when(~F.col(COPY), c)
+        here = aggregate(own).over(Window.partitionBy(BLOCK).orderBy(F.col(PLACE).desc() if reverse else F.col(PLACE)).rowsBetween(Window.unboundedPreceding, last))
+        carried = self.needs.carry(aggregate(c), over or aggregate, reverse)
+        return F.when(carried.isNull(), here).when(here.isNull(), carried).otherwise(merge(carried, here))
+
+    def known_value(self, c: Column, ahead: bool = False, strict: bool = False) -> Column:
+        """The last value so far that isn't null (``ahead``: the next one)."""
+        if not self.spread:
+            return F.last(c, True).over(self.ordered(ahead).rowsBetween(Window.unboundedPreceding, -1 if strict else 0))
+        place = F.col(PLACE)
+        self.needs.blocks(self.order)
+        here = F.last(F.when(~F.col(COPY), c), True).over(Window.partitionBy(BLOCK).orderBy(place.desc() if ahead else place).rowsBetween(Window.unboundedPreceding, -1 if strict else 0))
+        carried = self.needs.carry((F.min_by if ahead else F.max_by)(c, F.when(c.isNotNull(), place)), lambda x: F.last(x, True), ahead)
+        return F.coalesce(here, carried)
 
     def reduce(self, aggregate: Column) -> Column:
-        return aggregate if self.grouped else aggregate.over(Window.partitionBy(*self.partition))
+        if self.grouped:
+            return aggregate
+        return self.needs.reduced(aggregate) if self.spread else aggregate.over(Window.partitionBy(*self.partition))
 
 
 class Expr:
@@ -307,7 +422,8 @@ class Expr:
         def build(ctx: Context) -> Column:
             by = tuple(k.build(ctx) for k in keys)
             way = tuple(_sort_key(o.build(ctx), descending, nulls_last) for o in orders)
-            return self.build(replace(ctx, partition=by, order=(*way, ctx.row()) if way else (), grouped=False))
+            back = tuple(_sort_key(o.build(ctx), not descending, not nulls_last) for o in orders)
+            return self.build(replace(ctx, partition=by, order=(*way, ctx.row()) if way else (), back=(*back, ctx.row().desc()) if way else (), grouped=False))
 
         out = self._looking(Expr(build, self.name, ROW, self.ordered or bool(orders), self.expand))
         if mapping_strategy == "explode":
@@ -323,8 +439,19 @@ class Expr:
 
     def rank(self, method: str = "average", descending: bool = False) -> Expr:
         def run(ctx, c):
+            key = c.desc_nulls_last() if descending else c.asc_nulls_last()
+            if ctx.spread and method != "dense":
+                # In order of the values, equal ones are neighbours: their places are their ranks.
+                own = replace(ctx, order=(key, ctx.row()))
+                place = own.place()
+                if method == "ordinal":
+                    return F.when(c.isNotNull(), place)
+                equal = Window.partitionBy(c, COPY)
+                low, high = F.min(place).over(equal), F.max(place).over(equal)
+                return F.when(c.isNotNull(), low if method == "min" else high if method == "max" else (low + high) / 2)
+            if ctx.spread:
+                raise Mixed
             w = Window.partitionBy(*ctx.partition, c.isNull())
-            key = c.desc() if descending else c.asc()
             if method == "ordinal":
                 out = F.row_number().over(w.orderBy(key, ctx.row()))
             elif method == "dense":
@@ -341,39 +468,40 @@ class Expr:
         def run(ctx, c):
             fill = None if fill_value is None else as_expr(fill_value).build(ctx)
             if ignore_nulls:
-                out = _known_before(c, n).over(ctx.ordered())
+                if abs(n) == 1:
+                    out = ctx.known_value(F.when(c.isNotNull(), F.struct(c.alias("v"))), n < 0, True)["v"]
+                else:
+                    out = _known_before(c, n).over(ctx.ordered())
                 return out if fill is None else F.coalesce(out, fill)
-            out = F.lag(c, n).over(ctx.ordered()) if n >= 0 else F.lead(c, -n).over(ctx.ordered())
+            out = _beside(c, n, ctx)
             if fill is None:
                 return out
-            place = F.row_number().over(ctx.ordered())
-            rows = F.count(F.lit(1)).over(Window.partitionBy(*ctx.partition))
+            place, rows = ctx.place(), ctx.reduce(F.count(F.lit(1)))
             return F.when(place <= n if n >= 0 else place > rows + n, fill).otherwise(out)
 
         return self._window(run)
 
-    def diff(self, n: int = 1): return self._window(lambda ctx, c: c - (F.lag(c, n) if n >= 0 else F.lead(c, -n)).over(ctx.ordered()))  # noqa: E704
-    def pct_change(self, n: int = 1): return self._window(lambda ctx, c: numeric.true_divide(c, (F.lag(c, n) if n >= 0 else F.lead(c, -n)).over(ctx.ordered())) - 1)  # noqa: E704
+    def diff(self, n: int = 1): return self._window(lambda ctx, c: c - _beside(c, n, ctx))  # noqa: E704
+    def pct_change(self, n: int = 1): return self._window(lambda ctx, c: numeric.true_divide(c, _beside(c, n, ctx)) - 1)  # noqa: E704
 
-    def _cumulative(self, f, reverse: bool, masked: bool = True) -> Expr:
+    def _cumulative(self, f, merge, reverse: bool, masked: bool = True, typed=lambda ctx, c: c, over=None) -> Expr:
         def run(ctx, c):
-            w = ctx.ordered().rowsBetween(0, Window.unboundedFollowing) if reverse else ctx.ordered().rowsBetween(Window.unboundedPreceding, 0)
-            x = f(ctx, c).over(w)
+            x = ctx.cumulate(typed(ctx, c), f, merge, reverse, over)
             return F.when(c.isNotNull(), x) if masked else x
 
         return self._window(run)
 
-    def cum_sum(self, reverse: bool = False): return self._cumulative(lambda ctx, c: F.sum(c), reverse)  # noqa: E704
-    def cum_prod(self, reverse: bool = False): return self._cumulative(lambda ctx, c: F.product(c.cast("double")), reverse)  # noqa: E704
-    def cum_min(self, reverse: bool = False): return self._cumulative(lambda ctx, c: F.min(F.nanvl(c, F.lit(None)) if numeric.is_float(ctx.dtype(c)) else c), reverse)  # noqa: E704
-    def cum_max(self, reverse: bool = False): return self._cumulative(lambda ctx, c: F.max(F.nanvl(c, F.lit(None)) if numeric.is_float(ctx.dtype(c)) else c), reverse)  # noqa: E704
-    def cum_count(self, reverse: bool = False): return self._cumulative(lambda ctx, c: F.count(c), reverse, masked=False)  # noqa: E704
+    def cum_sum(self, reverse: bool = False): return self._cumulative(F.sum, lambda a, b: a + b, reverse)  # noqa: E704
+    def cum_prod(self, reverse: bool = False): return self._cumulative(F.product, lambda a, b: a * b, reverse, typed=lambda ctx, c: c.cast("double"))  # noqa: E704
+    def cum_min(self, reverse: bool = False): return self._cumulative(F.min, F.least, reverse, typed=_without_nan)  # noqa: E704
+    def cum_max(self, reverse: bool = False): return self._cumulative(F.max, F.greatest, reverse, typed=_without_nan)  # noqa: E704
+    def cum_count(self, reverse: bool = False): return self._cumulative(F.count, lambda a, b: a + b, reverse, masked=False, over=F.sum)  # noqa: E704
 
     def _rolling(self, f, window: int, min_samples: int | None) -> Expr:
         least = window if min_samples is None else min_samples
 
         def run(ctx, c):
-            w = ctx.ordered().rowsBetween(-(window - 1), 0)
+            w = ctx.nearby(window - 1).rowsBetween(-(window - 1), 0)
             return F.when(F.count(c).over(w) >= least, f(ctx, c, w))
 
         return self._window(run)
@@ -396,7 +524,7 @@ class Expr:
             t = temporal.micros(at, ctx.dtype(at).simpleString())
             low = -size.micros + (0 if closed in ("left", "both") else 1)
             high = 0 if closed in ("right", "both") else -1
-            w = Window.partitionBy(*ctx.partition).orderBy(t).rangeBetween(low, high)
+            w = ctx.around(t, low, high)
             return F.when(F.count(c).over(w) >= min_samples, f(ctx, c, w))
 
         return Expr(lambda ctx: run(ctx, self.build(ctx)), self.name, ROW, True, self.expand)
@@ -408,8 +536,8 @@ class Expr:
     def rolling_var_by(self, by, window: str, closed: str = "right", min_samples: int = 1, ddof: int = 1): return self._rolling_by(lambda ctx, c, w: _spread(c, w, ddof, False), by, window, closed, min_samples)  # noqa: E704
     def rolling_std_by(self, by, window: str, closed: str = "right", min_samples: int = 1, ddof: int = 1): return self._rolling_by(lambda ctx, c, w: _spread(c, w, ddof, True), by, window, closed, min_samples)  # noqa: E704
 
-    def forward_fill(self, limit: int | None = None): return self._window(lambda ctx, c: F.last(c, True).over(ctx.ordered().rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0)))  # noqa: E704
-    def backward_fill(self, limit: int | None = None): return self._window(lambda ctx, c: F.first(c, True).over(ctx.ordered().rowsBetween(0, Window.unboundedFollowing if limit is None else limit)))  # noqa: E704
+    def forward_fill(self, limit: int | None = None): return self._window(lambda ctx, c: ctx.known_value(c) if limit is None else F.last(c, True).over(ctx.nearby(limit).rowsBetween(-limit, 0)))  # noqa: E704
+    def backward_fill(self, limit: int | None = None): return self._window(lambda ctx, c: ctx.known_value(c, True) if limit is None else F.first(c, True).over(ctx.nearby(0, limit).rowsBetween(0, limit)))  # noqa: E704
 
     def interpolate(self, method: str = "linear") -> Expr:
         return self._interpolated(method, None)
@@ -419,15 +547,14 @@ class Expr:
 
     def _interpolated(self, method: str, by: Expr | None) -> Expr:
         def run(ctx, c):
-            place = F.row_number().over(ctx.ordered()).cast("double") if by is None else by.build(ctx).cast("double")
+            if by is None:
+                place = ctx.place().cast("double")
+            else:
+                place = by.build(ctx).cast("double")
+                ctx = replace(ctx, order=(place.asc_nulls_first(), ctx.row()), back=(place.desc_nulls_last(), ctx.row().desc()))
             known = F.when(c.isNotNull(), F.struct(place.alias("x"), c.alias("v")))
-            w = ctx.ordered() if by is None else Window.partitionBy(*ctx.partition).orderBy(place)
-            a = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-            b = F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-            if method == "nearest":
-                return F.when(place - a["x"] < b["x"] - place, a["v"]).otherwise(F.when(a.isNotNull(), b["v"]))
-            step = (place - a["x"]) / F.when(b["x"] != a["x"], b["x"] - a["x"])
-            return F.coalesce(c.cast("double"), a["v"] + step * (b["v"] - a["v"]))
+            a, b = ctx.known_value(known), ctx.known_value(known, True)
+            return _between(c, place, a, b, method)
 
         return self._window(run)
 
@@ -490,15 +617,16 @@ class Expr:
     def bottom_k_by(self, by, k: int): return self._sequence(lambda a: F.transform(F.slice(_sorted_stable(a, False), F.lit(1), F.lit(k)), lambda x: x["v"]), as_expr(col(by) if isinstance(by, str) else by))  # noqa: E704
 
     def value_counts(self, sort: bool = False, normalize: bool = False) -> Expr:
+        """Structs value, count (or proportion) in order of first appearance, or most frequent first."""
+
         def f(a):
             n = F.size(a)
-            held = F.transform(F.array_distinct(a), lambda d: F.struct(d.alias("value"), F.size(F.filter(a, lambda x: x.eqNullSafe(d))).alias("count")))
-            held = F.array_sort(held, lambda x, y: y["count"] - x["count"]) if sort else held
-            return F.transform(held, lambda x: F.struct(x["value"].alias("value"), (x["count"] / n).alias("proportion"))) if normalize else held
+            held = F.array_sort(reductions.value_runs(a), (lambda x, y: F.when(y["n"] != x["n"], y["n"] - x["n"]).otherwise(x["i"] - y["i"])) if sort else (lambda x, y: x["i"] - y["i"]))
+            return F.transform(held, lambda x: F.struct(x["v"].alias("value"), (x["n"] / n).alias("proportion") if normalize else x["n"].alias("count")))
 
         return self._sequence(f)
 
-    def unique_counts(self): return self._sequence(lambda a: F.transform(F.array_distinct(a), lambda d: F.size(F.filter(a, lambda x: x.eqNullSafe(d)))))  # noqa: E704
+    def unique_counts(self): return self._sequence(lambda a: F.transform(F.array_sort(reductions.value_runs(a), lambda x, y: x["i"] - y["i"]), lambda x: x["n"]))  # noqa: E704
 
     # -- namespaces ----------------------------------------------------------------------
 
@@ -511,6 +639,23 @@ class Expr:
     def field(self, name: str): return self._map(lambda c: c.getField(name)).alias(name)  # noqa: E704
 
 
+def _beside(c: Column, n: int, ctx: Context) -> Column:
+    """The value ``n`` rows before (after, if negative)."""
+    return F.lag(c, n).over(ctx.nearby(n)) if n >= 0 else F.lead(c, -n).over(ctx.nearby(0, -n))
+
+
+def _without_nan(ctx: Context, c: Column) -> Column:
+    return F.nanvl(c, F.lit(None)) if numeric.is_float(ctx.dtype(c)) else c
+
+
+def _between(c: Column, place: Column, a: Column, b: Column, method: str) -> Column:
+    """A value at ``place`` between the known ones (x, v) before and after it."""
+    if method == "nearest":
+        return F.when(place - a["x"] < b["x"] - place, a["v"]).otherwise(F.when(a.isNotNull(), b["v"]))
+    step = (place - a["x"]) / F.when(b["x"] != a["x"], b["x"] - a["x"])
+    return F.coalesce(c.cast("double"), a["v"] + step * (b["v"] - a["v"]))
+
+
 def _known_before(c: Column, n: int) -> Column:
     """lag(c, n) IGNORE NULLS, which PySpark has no function for; ``n`` < 0 looks ahead."""
     scala = _scala_functions()
@@ -806,7 +951,7 @@ def len_() -> Expr:
 
 def int_range(stop: Expr | int | None = None) -> Expr:
     """0, 1, .. within the partition."""
-    return Expr(lambda ctx: (F.row_number().over(ctx.ordered()) - 1).cast("bigint"), "int_range", ROW, True)
+    return Expr(lambda ctx: (ctx.place() - 1).cast("bigint"), "int_range", ROW, True)
 
 
 def coalesce(*exprs) -> Expr: return _combine(lambda cs: F.coalesce(*cs), exprs)  # noqa: E704

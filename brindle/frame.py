@@ -6,6 +6,7 @@ is added only when an operation looks at the order, so filters and projections r
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -17,8 +18,8 @@ from brindle import expr as ex
 from brindle.expr import ORDER, REDUCED, ROW, SEQUENCE, Context, Expr, as_type, col
 from brindle.functions import numeric, temporal
 
-#: Up to so many rows, one side of an as-of join or an index list is sent to every task.
-SMALL_ROWS = 100_000
+#: Rows of a block of a table whose windows need its rows in order.
+BLOCK_ROWS = 1 << 18
 
 
 def _listed(x: object) -> list:
@@ -111,6 +112,63 @@ class Frame:
                 out.append((shown, e, {"selected": name}))
         return out
 
+    def _built(self, es: list[tuple[str, Expr, dict]], order: bool = False) -> tuple[DataFrame, dict[str, Column]]:
+        """The columns of expressions, by name, and the table that has what they read.
+
+        Reductions and windows over the whole table never are windows without a key: totals are
+        subqueries, and rows in order are cut into blocks that get the sums of the blocks before
+        them and copies of the neighbouring rows that they look at.
+        """
+        df = self._with_order() if order or self._needs_order(es) else self.df
+        if any(e.windowed and not e.literal for _, e, _ in es):
+            needs = ex.Needs(df)
+            try:
+                built = {n: e.build(Context(df, known=k, needs=needs)) for n, e, k in es}
+                return self._met(df, needs), built
+            except ex.Mixed:
+                pass
+        return df, {n: e.build(Context(df, known=k)) for n, e, k in es}
+
+    def _met(self, df: DataFrame, needs: ex.Needs) -> DataFrame:
+        """The table with the columns that ``needs`` asks for."""
+        if needs.order is not None:
+            sorted_rows = df.orderBy(*needs.order) if needs.order else df.drop(ORDER)
+            df = Frame(sorted_rows).with_row_index(ex.PLACE).df
+            if not needs.order:
+                df = df.withColumn(ORDER, F.col(ex.PLACE))
+        if needs.range is not None:
+            t, low, high = needs.range
+            step = F.lit(64 * max(1, high - low)).cast("bigint")
+            number = lambda x: F.floor(x / step).cast("bigint")
+            into = F.when(t.isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(number(t - high), number(t - low)))
+            df = df.withColumn(ex.BLOCK, F.explode(F.when(t.isNull(), into).otherwise(F.array_union(into, F.array(number(t))))))
+            return df.withColumn(ex.COPY, ~F.col(ex.BLOCK).eqNullSafe(number(t)))
+        if needs.order is None:
+            return df
+        size = max(BLOCK_ROWS, 8 * (needs.before + needs.after))
+        place, block = F.col(ex.PLACE), F.floor(F.col(ex.PLACE) / size).cast("bigint")
+        if needs.carried:
+            sums = df.groupBy(block.alias("__of")).agg(*[a.alias(n) for n, (a, _, _) in needs.carried.items()])
+            w = {back: Window.orderBy(F.desc("__of") if back else F.col("__of")).rowsBetween(Window.unboundedPreceding, -1) for back in (False, True)}
+            # One row per block.
+            sums = sums.select("__of", *[over(F.col(n)).over(w[back]).alias(n) for n, (_, over, back) in needs.carried.items()])
+            df = df.join(F.broadcast(sums), block == F.col("__of")).drop("__of")
+        copies = [F.struct(block.alias("b"), F.lit(False).alias("c"))]
+        if needs.before:
+            copies.append(F.when(place % size >= size - needs.before, F.struct((block + 1).alias("b"), F.lit(True).alias("c"))))
+        if needs.after:
+            copies.append(F.when((place % size < needs.after) & (block > 0), F.struct((block - 1).alias("b"), F.lit(True).alias("c"))))
+        df = df.withColumn("__into", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull()))) if len(copies) > 1 else df.withColumn("__into", copies[0])
+        return df.withColumns({ex.BLOCK: F.col("__into.b"), ex.COPY: F.col("__into.c")}).drop("__into").repartitionByRange(ex.BLOCK)
+
+    def _own(self, df: DataFrame, names: list[str]) -> Frame:
+        """The columns ``names`` of the rows that aren't copies, in order where blocks were cut from it."""
+        if ex.COPY in df.columns:
+            df = df.where(~F.col(ex.COPY))
+            if ex.PLACE in df.columns:
+                df = df.sortWithinPartitions(ex.BLOCK, ex.PLACE)
+        return Frame(df.select(*[F.col(f"`{n}`") for n in names]))
+
     def _needs_order(self, exprs: list[tuple[str, Expr, dict]]) -> bool:
         return any(e.ordered for _, e, _ in exprs)
 
@@ -139,8 +197,14 @@ class Frame:
             return Frame(df.agg(*[e.build(Context(df, grouped=True, known=k)).alias(n) for n, e, k in es]))
         if es and all(e.shape == SEQUENCE for _, e, _ in es):
             lists = df.agg(*[e.build(Context(df, grouped=True, known=k)).alias(n) for n, e, k in es])
-            return Frame(lists).explode([n for n, _, _ in es])
-        return Frame(df.select(*[e.build(Context(df, known=k)).alias(n) for n, e, k in es]))
+            some = [F.size(F.col(f"`{n}`")) > 0 for n, _, _ in es]
+            return Frame(lists.where(functools.reduce(lambda x, y: x | y, some))).explode([n for n, _, _ in es])
+        if not any(e.windowed for _, e, _ in es):
+            return Frame(df.select(*[e.build(Context(df, known=k)).alias(n) for n, e, k in es]))
+        df, built = self._built(es)
+        hidden = {f"__out{i}": c for i, c in enumerate(built.values())}
+        own = self._own(df.withColumns(hidden), list(hidden))
+        return Frame(own.df.toDF(*built))
 
     def _exploded(self, es: list[tuple[str, Expr, dict]]) -> Frame:
         """over(.., mapping_strategy='explode'): each partition's lists as rows, partitions as they first appear."""
@@ -159,8 +223,11 @@ class Frame:
         """Columns added or replaced; all see the original table."""
         es = self._expanded([*_flat(exprs), *[ex.as_expr(v).alias(k) for k, v in named.items()]])
         self._checked([n for n, _, _ in es])
-        df = self._with_order() if self._needs_order(es) else self.df
-        return Frame(df.withColumns({n: e.build(Context(df, known=k)) for n, e, k in es}).drop(ORDER))
+        df, built = self._built(es)
+        hidden = {n: f"__out{i}" for i, n in enumerate(built)}
+        names = list(dict.fromkeys([*self.columns, *built]))
+        out = self._own(df.withColumns({hidden[n]: c for n, c in built.items()}), [hidden.get(n, n) for n in names])
+        return Frame(out.df.toDF(*names))
 
     def with_column(self, series: Series) -> Frame: return self.hstack(series.frame)  # noqa: E704
 
@@ -223,11 +290,12 @@ class Frame:
             df = df.where(p.build(Context(df, known=k)))
         rest = [p for p in ps if p not in plain]
         if rest:
-            ctx = Frame(df)._with_order()
-            df = ctx.withColumns({n: p.build(Context(ctx, known=k)) for n, p, k in rest})
-            for n, _, _ in rest:
+            names = df.columns
+            df, built = Frame(df)._built(rest, True)
+            df = df.withColumns(built)
+            for n in built:
                 df = df.where(F.col(n))
-            df = df.drop(ORDER, *[n for n, _, _ in rest])
+            return self._own(df, names)
         return Frame(df)
 
     def slice(self, offset: int, length: int | None = None) -> Frame:
@@ -671,8 +739,11 @@ class GroupBy:
         ctx = lambda k: Context(df, grouped=True, known=k)
         # A bare column in a group is the list of its values.
         out = [(e.build(ctx(k)) if e.shape != ROW or e.literal else e.implode().build(ctx(k))).alias(n) for n, e, k in es]
-        grouped = df.groupBy(*keys).agg(*out, *([F.min(ORDER).alias(ORDER)] if self.maintain_order else []))
-        return Frame(grouped.orderBy(ORDER).drop(ORDER) if self.maintain_order else grouped)
+        # Keys go by other names meanwhile: a value may have a key's name.
+        named = [n for n, _, _ in self.frame._expanded(self.keys)]
+        grouped = df.groupBy(*[k.alias(f"__key{i}") for i, k in enumerate(keys)]).agg(*out, *([F.min(ORDER).alias(ORDER)] if self.maintain_order else []))
+        grouped = grouped.orderBy(ORDER).drop(ORDER) if self.maintain_order else grouped
+        return Frame(grouped.toDF(*named, *[n for n, _, _ in es]))
 
     def _each(self, f: Callable[[Expr], Expr]) -> Frame:
         names = {n for n, _, _ in self.frame._expanded(self.keys)}

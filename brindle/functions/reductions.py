@@ -99,16 +99,26 @@ def ordered_list(c: Column, order: Column, keep: Column | None = None, w: Wrap =
     return F.transform(F.sort_array(w(F.collect_list(F.when(keep, held) if keep is not None else held))), lambda x: x["v"])
 
 
-def mode(c: Column, w: Wrap = plain) -> Column:
-    """All most frequent values, ascending, null among them.
+def value_runs(values: Column) -> Column:
+    """Per distinct value of a list, null among them: v, its count n and its first place i, by value.
 
-    In sorted values a run of the most frequent length ends wherever the value that many
-    places back is the same; the longest such length is found by halving.
+    Equal values are neighbours once sorted; a run ends where the next one begins. n log n.
     """
-    values = F.sort_array(w(F.collect_list(F.struct(c.alias("v")))))
-    starts = F.filter(F.transform(values, lambda x, i: F.struct(x["v"].alias("v"), i.alias("i"), F.array_position(values, x).alias("first"))), lambda s: s["first"] == s["i"] + 1)
-    ends = F.concat(F.slice(F.transform(starts, lambda s: s["i"]), F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(F.size(values)))
-    runs = F.zip_with(starts, ends, lambda s, e: F.struct((e - s["i"]).alias("n"), s["v"].alias("v")))
+    placed = F.sort_array(F.transform(values, lambda x, i: F.struct(x.alias("v"), i.alias("i"))))
+    count = F.size(placed)
+    shifted = F.concat(F.array(F.lit(None).cast("int")), F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1))))
+    before = F.concat(F.slice(placed, F.lit(1), F.least(count, F.lit(1))), F.slice(placed, F.lit(1), F.greatest(count - 1, F.lit(0))))
+    zipped = F.arrays_zip(placed.alias("x"), before.alias("b"), F.slice(shifted, F.lit(1), count).alias("k"))
+    starts = F.filter(zipped, lambda z: z["k"].isNull() | ~z["x"]["v"].eqNullSafe(z["b"]["v"]))
+    starts = F.transform(starts, lambda z: F.struct(F.coalesce(z["k"], F.lit(0)).alias("at"), z["x"]["v"].alias("v"), z["x"]["i"].alias("i")))
+    ends = F.concat(F.transform(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), lambda z: z["at"]), F.array(count))
+    runs = F.zip_with(starts, ends, lambda z, end: F.struct((end - z["at"]).alias("n"), z["v"].alias("v"), z["i"].alias("i")))
+    return F.when(count > 0, runs).otherwise(F.slice(runs, F.lit(1), F.lit(0)))
+
+
+def mode(c: Column, w: Wrap = plain) -> Column:
+    """All most frequent values, ascending, null among them."""
+    runs = value_runs(F.transform(w(F.collect_list(F.struct(c.alias("v")))), lambda x: x["v"]))
     most = F.array_max(F.transform(runs, lambda r: r["n"]))
     return F.transform(F.filter(runs, lambda r: r["n"] == most), lambda r: r["v"])
 
