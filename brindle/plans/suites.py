@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +18,34 @@ from brindle import Frame, col
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
+class Tables:
+    """A function from a table's name to the table, with where the tables are and a folder for what a query writes."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, name: str) -> Frame:
+        return Frame(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+
+    def scratch(self, name: str) -> str:
+        """A new path in the folder that spark.checkpoint.dir names, or in a local one where none is set."""
+        at = self.spark.conf.get("spark.checkpoint.dir", None) or f"file://{_local_folder()}"
+        return f"{at.rstrip('/')}/brindle-queries/{name}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _local_folder() -> str:
+    at = tempfile.mkdtemp(prefix="brindle-")
+    atexit.register(shutil.rmtree, at, True)
+    return at
+
+
 def query(sql: str | None = None):
-    """Register a query under its function's name; it gets a function from a table's name to the table."""
+    """Register a query under its function's name; it gets the Tables."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: Frame(spark.read.parquet(f"{sf_dir}/{name}.parquet"))).df
+            return f(Tables(spark, sf_dir)).df
 
         run.__name__ = f.__name__
         _QUERIES[f.__name__] = (run, sql)
@@ -110,11 +137,11 @@ def large_orders(t):
 
 
 @query("""SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)
-    AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1""")
+    AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') GROUP BY 1""")
 def idle_customers(t):
     c = t("customer")
     mean = c.filter(col("c_acctbal") > 0.0).select(col("c_acctbal").mean().alias("m"))
-    return c.join(mean, how="cross").filter(col("c_acctbal") > col("m")).join(t("orders"), left_on="c_custkey", right_on="o_custkey", how="anti").group_by("c_nationkey").agg(b.len_().alias("n"), col("c_acctbal").sum().round(2).alias("bal"))
+    return c.join(mean, how="cross").filter(col("c_acctbal") > col("m")).join(t("orders").filter(col("o_orderpriority") == "1-URGENT"), left_on="c_custkey", right_on="o_custkey", how="anti").group_by("c_nationkey").agg(b.len_().alias("n"), col("c_acctbal").sum().round(2).alias("bal"))
 
 
 # -- joins -----------------------------------------------------------------------------------
@@ -148,9 +175,9 @@ def join_semi(t):
     return t("supplier").join(t("lineitem").filter(col("l_quantity") > 49.0), left_on="s_suppkey", right_on="l_suppkey", how="semi").select("s_suppkey", "s_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def join_anti(t):
-    return t("customer").join(t("orders"), left_on="c_custkey", right_on="o_custkey", how="anti").select("c_custkey")
+    return t("customer").join(t("orders").filter(col("o_orderpriority") == "1-URGENT"), left_on="c_custkey", right_on="o_custkey", how="anti").select("c_custkey")
 
 
 @query("SELECT a.r_name AS r_name, z.r_name AS r_name_right FROM region a, region z WHERE a.r_regionkey < z.r_regionkey")
@@ -163,32 +190,39 @@ def join_cross_filter(t):
 
 
 def _asof_sides(t):
+    # Of events of a user at one time, the one with the largest id is met.
     e = t("events")
-    left = e.filter(col("event_id") % 7 == 0).select("event_id", "user_id", "ts")
-    right = e.filter(col("event_id") % 7 == 3).select(col("event_id").alias("seen"), "user_id", "ts")
-    return left, right
+    return e.select("event_id", "user_id", "ts"), e.group_by("user_id", "ts").agg(col("event_id").max().alias("seen"))
 
 
-@query("""SELECT l.event_id, l.user_id, l.ts, r.seen FROM (SELECT event_id, user_id, ts FROM events WHERE event_id % 7 = 0) l
-    ASOF LEFT JOIN (SELECT event_id AS seen, user_id, ts FROM events WHERE event_id % 7 = 3) r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+@query("""SELECT l.event_id, l.user_id, l.ts, r.seen FROM events l
+    ASOF LEFT JOIN (SELECT max(event_id) AS seen, user_id, ts FROM events GROUP BY user_id, ts) r ON l.user_id = r.user_id AND l.ts > r.ts""")
 def asof_backward_by(t):
     left, right = _asof_sides(t)
-    return left.join_asof(right, on="ts", by="user_id")
+    return left.join_asof(right, on="ts", by="user_id", allow_exact_matches=False)
 
 
-@query("""SELECT l.event_id, l.user_id, l.ts, r.seen FROM (SELECT event_id, user_id, ts FROM events WHERE event_id % 7 = 0) l
-    ASOF LEFT JOIN (SELECT event_id AS seen, user_id, ts FROM events WHERE event_id % 7 = 3) r ON l.user_id = r.user_id AND l.ts < r.ts""")
+@query("""SELECT l.event_id, l.user_id, l.ts, r.seen FROM events l
+    ASOF LEFT JOIN (SELECT max(event_id) AS seen, user_id, ts FROM events GROUP BY user_id, ts) r ON l.user_id = r.user_id AND l.ts < r.ts""")
 def asof_forward_by(t):
     left, right = _asof_sides(t)
     return left.join_asof(right, on="ts", by="user_id", strategy="forward", allow_exact_matches=False)
 
 
-@query("""SELECT l.event_id, l.ts, CASE WHEN date_diff('microsecond', r.rts, l.ts) <= 60000000 THEN r.seen END AS seen FROM (SELECT event_id, ts FROM events WHERE event_id % 7 = 0) l
-    ASOF LEFT JOIN (SELECT max(event_id) AS seen, ts AS rts FROM events WHERE event_id % 7 = 3 GROUP BY ts) r ON l.ts >= r.rts""")
+@query("""SELECT l.event_id, l.ts, CASE WHEN date_diff('microsecond', r.rts, l.ts) <= 60000000 THEN r.seen END AS seen FROM events l
+    ASOF LEFT JOIN (SELECT max(event_id) AS seen, ts AS rts FROM events GROUP BY ts) r ON l.ts > r.rts""")
 def asof_tolerance(t):
+    right = t("events").group_by("ts").agg(col("event_id").max().alias("seen"))
+    return t("events").select("event_id", "ts").join_asof(right, on="ts", tolerance="1m", allow_exact_matches=False).select("event_id", "ts", "seen")
+
+
+@query("""WITH r AS (SELECT max(event_id) AS seen, user_id, ts FROM events GROUP BY user_id, ts),
+    b AS (SELECT l.event_id, l.user_id, l.ts, r.seen AS bs, r.ts AS bt FROM events l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts > r.ts),
+    f AS (SELECT l.event_id, r.seen AS fs, r.ts AS ft FROM events l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts < r.ts)
+    SELECT event_id, user_id, ts, CASE WHEN bs IS NULL THEN fs WHEN fs IS NULL THEN bs WHEN date_diff('microsecond', bt, ts) < date_diff('microsecond', ts, ft) THEN bs ELSE fs END AS seen FROM b JOIN f USING (event_id)""")
+def asof_nearest(t):
     left, right = _asof_sides(t)
-    right = right.group_by("ts").agg(col("seen").max())
-    return left.select("event_id", "ts").join_asof(right, on="ts", tolerance="1m").select("event_id", "ts", "seen")
+    return left.join_asof(right, on="ts", by="user_id", strategy="nearest", allow_exact_matches=False)
 
 
 # -- groups -------------------------------------------------------------------------------------
@@ -216,10 +250,11 @@ def group_statistics(t):
     return t("events").group_by("event_type").agg(b.len_().alias("n"), col("user_id").n_unique().alias("users"), v.mean().round(6).alias("mean"), v.min().alias("low"), v.max().alias("high"), v.std().round(6).alias("std"), v.var(0).round(4).alias("var0"), v.median().round(6).alias("med"), v.quantile(0.9, "linear").round(6).alias("p90"), (v > 99.0).any().alias("over99"), (v >= 0.0).all().alias("positive"))
 
 
-@query("SELECT event_type, quantile_disc(value, 0.5) AS q FROM events WHERE user_id < 20 GROUP BY 1 HAVING count(*) % 2 = 1")
+@query("""SELECT event_type, v[floor((n - 1) * 0.3 + 0.5)::INT + 1] AS near, v[floor((n - 1) * 0.3)::INT + 1] AS low, v[ceil((n - 1) * 0.3)::INT + 1] AS high, round((v[floor((n - 1) * 0.3)::INT + 1] + v[ceil((n - 1) * 0.3)::INT + 1]) / 2, 6) AS mid
+    FROM (SELECT event_type, list(value ORDER BY value) AS v, count(*) AS n FROM events GROUP BY 1)""")
 def group_quantile_nearest(t):
-    rows = t("events").filter(col("user_id") < 20).group_by("event_type").agg(col("value").quantile(0.5, "nearest").alias("q"), b.len_().alias("n"))
-    return rows.filter(col("n") % 2 == 1).drop("n")
+    v = col("value")
+    return t("events").group_by("event_type").agg(v.quantile(0.3, "nearest").alias("near"), v.quantile(0.3, "lower").alias("low"), v.quantile(0.3, "higher").alias("high"), v.quantile(0.3, "midpoint").round(6).alias("mid"))
 
 
 @query("""SELECT user_id, arg_min(event_id, ts) AS first_event, arg_max(event_id, ts) AS last_event, arg_max(event_type, value) AS top_type, arg_min(event_type, value) AS low_type FROM events GROUP BY 1""")
@@ -227,9 +262,9 @@ def group_first_last(t):
     return t("events").sort("ts").group_by("user_id").agg(col("event_id").first().alias("first_event"), col("event_id").last().alias("last_event"), col("event_type").max_by("value").alias("top_type"), col("event_type").min_by("value").alias("low_type"))
 
 
-@query("""SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS path FROM events WHERE user_id < 50 GROUP BY 1""")
+@query("""SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS path FROM events GROUP BY 1""")
 def group_join_strings(t):
-    return t("events").filter(col("user_id") < 50).sort("ts", "event_id").group_by("user_id").agg(col("event_type").str.join(",").alias("path"))
+    return t("events").sort("ts", "event_id").group_by("user_id").agg(col("event_type").str.join(",").alias("path"))
 
 
 @query("""SELECT user_id, list(value ORDER BY value DESC)[1:3] AS top FROM events GROUP BY 1""")
@@ -263,13 +298,12 @@ def group_head(t):
     return t("events").sort("ts", "event_id").group_by("user_id").head(2).select("event_id", "user_id", "ts")
 
 
-@query("PIVOT (SELECT user_id, event_type, value FROM events WHERE user_id < 30) ON event_type USING round(sum(value), 2) GROUP BY user_id")
-def pivot_sum(t):
-    return Frame(t("events").filter(col("user_id") < 30).pivot("event_type", "user_id", "value", "sum").df).with_columns(*[col(c).round(2) for c in sorted(_event_types(t))])
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
-def _event_types(t) -> list[str]:
-    return [r[0] for r in t("events").df.select("event_type").distinct().collect()]
+@query("SELECT user_id, " + ", ".join(f"round(sum(value) FILTER (event_type = '{k}'), 2) AS {k}" for k in EVENT_TYPES) + " FROM events GROUP BY 1")
+def pivot_sum(t):
+    return t("events").pivot("event_type", "user_id", "value", "sum", EVENT_TYPES).with_columns(*[col(c).round(2) for c in EVENT_TYPES])
 
 
 @query("SELECT s_suppkey, 'a' AS variable, s_acctbal AS value FROM supplier UNION ALL SELECT s_suppkey, 'b', round(s_acctbal * 2, 2) FROM supplier")
@@ -316,9 +350,9 @@ def window_forward_fill(t):
     return e.select("event_id", col("x").forward_fill().over("user_id", order_by=["ts", "event_id"]).alias("f"))
 
 
-@query("SELECT event_id, ntile(4) OVER (ORDER BY event_id) - 1 AS q FROM events WHERE user_id < 40")
+@query("SELECT event_id, ntile(4) OVER (ORDER BY event_id) - 1 AS q FROM events")
 def window_quartile(t):
-    e = t("events").filter(col("user_id") < 40).sort("event_id").with_row_index("i")
+    e = t("events").sort("event_id").with_row_index("i")
     n = b.len_().over([])
     big, size = n % 4, n // 4
     cut = big * (size + 1)
@@ -530,9 +564,9 @@ def group_moments(t):
     return t("events").group_by("event_type").agg(col("value").skew().round(6).alias("skew"), col("value").kurtosis().round(6).alias("kurt"))
 
 
-@query("SELECT user_id, list(event_id ORDER BY ts, event_id) AS ids, list(event_id ORDER BY value, ts) AS by_value, (list(event_id ORDER BY ts, event_id))[-2:] AS newest FROM events WHERE user_id < 40 GROUP BY 1")
+@query("SELECT user_id, list(event_id ORDER BY ts, event_id) AS ids, list(event_id ORDER BY value, ts, event_id) AS by_value, (list(event_id ORDER BY ts, event_id))[-2:] AS newest FROM events GROUP BY 1")
 def group_lists(t):
-    e = t("events").filter(col("user_id") < 40).sort("ts", "event_id")
+    e = t("events").sort("ts", "event_id")
     return e.group_by("user_id").agg(col("event_id").implode().alias("ids"), col("event_id").sort_by("value").alias("by_value"), col("event_id").tail(2).alias("newest"))
 
 
@@ -622,68 +656,6 @@ def sample_rows(t):
     return t("orders").sort("o_orderkey").sample(100, seed=3)
 
 
-@query()
-def asof_nearest(t):
-    left, right = _whole_sides(t)
-    return left.join_asof(right, on="ts", by="user_id", strategy="nearest", allow_exact_matches=False)
-
-
 @query()
 def approximate_users(t):
     return t("events").group_by("event_type").agg(col("user_id").approx_n_unique().alias("users"))
-
-
-# -- over all events, where the queries above take some ids; no SQL: tested against brute force ------
-
-
-def _whole_sides(t):
-    # Of events of a user at one time, the one with the largest id is met.
-    e = t("events")
-    return e.select("event_id", "user_id", "ts"), e.group_by("user_id", "ts").agg(col("event_id").max().alias("seen"))
-
-
-@query()
-def asof_backward_by_whole(t):
-    left, right = _whole_sides(t)
-    return left.join_asof(right, on="ts", by="user_id", allow_exact_matches=False)
-
-
-@query()
-def asof_forward_by_whole(t):
-    left, right = _whole_sides(t)
-    return left.join_asof(right, on="ts", by="user_id", strategy="forward", allow_exact_matches=False)
-
-
-@query()
-def asof_tolerance_whole(t):
-    right = t("events").group_by("ts").agg(col("event_id").max().alias("seen"))
-    return t("events").select("event_id", "ts").join_asof(right, on="ts", tolerance="1m", allow_exact_matches=False).select("event_id", "ts", "seen")
-
-
-@query()
-def group_quantile_nearest_whole(t):
-    return t("events").group_by("event_type").agg(col("value").quantile(0.5, "nearest").alias("q"), b.len_().alias("n"))
-
-
-@query()
-def group_join_strings_whole(t):
-    return t("events").sort("ts", "event_id").group_by("user_id").agg(col("event_type").str.join(",").alias("path"))
-
-
-@query()
-def pivot_sum_whole(t):
-    return t("events").pivot("event_type", "user_id", "value", "sum").with_columns(*[col(c).round(2) for c in sorted(_event_types(t))])
-
-
-@query()
-def window_quartile_whole(t):
-    e = t("events").sort("event_id").with_row_index("i")
-    n = b.len_().over([])
-    big, size = n % 4, n // 4
-    cut = big * (size + 1)
-    return e.select("event_id", b.when(col("i") < cut).then(col("i") // (size + 1)).otherwise(big + (col("i") - cut) // size).alias("q"))
-
-
-@query()
-def group_lists_whole(t):
-    return t("events").sort("ts", "event_id").group_by("user_id").agg(col("event_id").implode().alias("ids"), col("event_id").tail(2).alias("newest"))
