@@ -905,7 +905,7 @@ Series.is_chunked = lambda self: self.n_chunks() > 1
 Series.rechunk = lambda self: Series(Frame(self.frame.df.coalesce(1)))
 Series.geometry_type = lambda self: Series(Frame(self.frame.df.select(_geo().geometry_type(F.col(self.name)).alias(self.name))))
 Series.bounding_box = lambda self: Series(Frame(self.frame.df.select(_geo().bounding_box(F.col(self.name)).alias(self.name))))
-Series.total_bounds = lambda self: tuple(_geo().total_bounds(self.frame.df, self.name).first())
+Series.total_bounds = lambda self: _geo().bounds(self.frame.df, self.name)
 Series.crs = lambda self: _geo().crs(self.frame.df, self.name)
 for _n in ("head", "tail", "sample", "slice", "reverse"):
     setattr(Series, _n, lambda self, *a, _m=_n, **k: Series(getattr(self.frame, _m)(*a, **k)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,6 +104,21 @@ def bounding_box(c: Column) -> Column:
     return run(c)
 
 
+class GeometryBounds(NamedTuple):
+    """The box around all geometries of a column."""
+
+    min_x: float
+    min_y: float
+    max_x: float
+    max_y: float
+
+
+def bounds(df: DataFrame, column: str) -> GeometryBounds | None:
+    """total_bounds() as one value; None where no geometry has a point."""
+    row = total_bounds(df, column).first()
+    return None if row is None or row[0] is None else GeometryBounds(*row)
+
+
 def total_bounds(df: DataFrame, column: str) -> DataFrame:
     box = df.select(bounding_box(F.col(column)).alias("b"))
     return box.agg(*[(F.min if k.startswith("min") else F.max)(f"b.{k}").alias(k) for k in ("min_x", "min_y", "max_x", "max_y")])

@@ -10,16 +10,19 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from brindle.expr import as_type
-from brindle.frame import Frame
+from brindle.frame import Frame, Series
+from brindle.functions import temporal
+from brindle.sources.paths import fetched, resolve_paths
 
 _INT, _FLOAT = re.compile(r"[+-]?\d+"), re.compile(r"[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|nan)", re.I)
 _DATE, _DATETIME = re.compile(r"\d{4}-\d\d-\d\d"), re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?")
@@ -51,6 +54,78 @@ def as_schema(schema: object) -> T.StructType:
     return T.StructType([T.StructField(n, as_type(t)) for n, t in pairs])
 
 
+@dataclass
+class CsvField:
+    """A field of a CSV file: its name and type, whether it may be null, and for times the format of its text.
+
+    ``time_zone``: the text's clock, for fields that become instants. A field that may not be
+    null raises where it is.
+    """
+
+    name: str
+    dtype: object
+    nullable: bool = True
+    format: str = ""
+    time_zone: str = ""
+
+    @staticmethod
+    def int64(name: str, nullable: bool = True) -> CsvField: return CsvField(name, "int64", nullable)  # noqa: E704
+    @staticmethod
+    def float64(name: str, nullable: bool = True) -> CsvField: return CsvField(name, "float64", nullable)  # noqa: E704
+    @staticmethod
+    def bool(name: str, nullable: bool = True) -> CsvField: return CsvField(name, "bool", nullable)  # noqa: E704
+    @staticmethod
+    def string(name: str, nullable: bool = True) -> CsvField: return CsvField(name, "string", nullable)  # noqa: E704
+    @staticmethod
+    def categorical(name: str, nullable: bool = True) -> CsvField: return CsvField(name, "categorical", nullable)  # noqa: E704
+    @staticmethod
+    def date(name: str, format: str = "", nullable: bool = True) -> CsvField: return CsvField(name, "date", nullable, format)  # noqa: E704
+    @staticmethod
+    def datetime(name: str, format: str = "", nullable: bool = True, time_zone: str = "") -> CsvField: return CsvField(name, "datetime", nullable, format, time_zone)  # noqa: E704
+
+    def read(self) -> T.DataType:
+        """The type that the file is read as."""
+        return T.StringType() if self.format or self.time_zone else as_type(self.dtype)
+
+    def column(self, strict: bool) -> Column:
+        c, t = F.col(f"`{self.name}`"), as_type(self.dtype)
+        if self.format or self.time_zone:
+            kind = "date" if isinstance(t, T.DateType) else temporal.NAIVE
+            c = temporal.strptime(c, self.format or "%Y-%m-%d %H:%M:%S", kind, strict)
+            if self.time_zone:
+                c = temporal.replace_time_zone(c, self.time_zone)
+        if not self.nullable:
+            c = F.coalesce(c, F.raise_error(F.lit(f"null in {self.name}")).cast(T.TimestampType() if self.time_zone else t))
+        return c.alias(self.name)
+
+
+class CsvSchema(list):
+    """The fields of a CSV file, by position: CsvFields or (name, type) pairs."""
+
+    def __init__(self, fields: Iterable[CsvField | tuple[str, object]]):
+        super().__init__(f if isinstance(f, CsvField) else CsvField(*f) for f in fields)
+
+    def struct(self) -> T.StructType:
+        return T.StructType([T.StructField(f.name, f.read()) for f in self])
+
+
+@dataclass
+class CsvOptions:
+    """What read_csv() takes by keyword, to be kept and passed on."""
+
+    has_header: bool = True
+    separator: str = ","
+    quote_char: str = '"'
+    comment_prefix: str = ""
+    skip_rows: int = 0
+    null_value: str = ""
+    ignore_errors: bool = False
+    encoding: str = "UTF-8"
+
+    def read(self, spark: SparkSession, path: str | list[str], schema: object | None = None) -> Frame:
+        return read_csv(spark, path, schema, **vars(self))
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -76,17 +151,36 @@ def read_csv(
     options = {"sep": separator, "quote": quote_char, "escape": quote_char, "nullValue": null_value, "emptyValue": "", "encoding": encoding, "multiLine": multi_line, "mode": "PERMISSIVE" if ignore_errors else "FAILFAST"}
     if comment_prefix:
         options["comment"] = comment_prefix
+    if isinstance(schema, CsvSchema):
+        keywords = {"has_header": has_header, "separator": separator, "quote_char": quote_char, "comment_prefix": comment_prefix, "skip_rows": skip_rows, "null_value": null_value, "ignore_errors": ignore_errors, "multi_line": multi_line, "encoding": encoding}
+        return Frame(read_csv(spark, path, schema.struct(), **keywords).df.select(*[f.column(not ignore_errors) for f in schema]))
     if skip_rows:
         return _read_csv_lines(spark, _skipped(spark, path, skip_rows), schema, has_header, options, infer_schema_length, try_parse_dates)
     if schema is None:
         loose = options | {"mode": "PERMISSIVE"}
         rows = spark.read.options(**loose).option("header", has_header).csv(path)
         rows = rows if has_header else rows.toDF(*[f"column_{k + 1}" for k in range(len(rows.columns))])
-        sample = (rows if infer_schema_length < 0 else rows.limit(infer_schema_length)).collect()
-        schema = T.StructType([T.StructField(c, infer_text_type([r[k] for r in sample], try_parse_dates)) for k, c in enumerate(rows.columns)])
+        if infer_schema_length < 0:
+            schema = _inferred_from_all(rows, try_parse_dates)
+        else:
+            sample = rows.limit(infer_schema_length).collect()
+            schema = T.StructType([T.StructField(c, infer_text_type([r[k] for r in sample], try_parse_dates)) for k, c in enumerate(rows.columns)])
     return Frame(spark.read.options(**options).option("header", has_header).option("enforceSchema", True).schema(as_schema(schema)).csv(path))
 
 
+def _inferred_from_all(rows: DataFrame, dates: bool) -> T.StructType:
+    """infer_text_type() of all rows, by one pass of counts: of the tests that a column's values all meet, the first."""
+    tests = {"bool": "true|false", "int": _INT.pattern, "float": f"(?i:{_FLOAT.pattern})", "date": _DATE.pattern, "time": _DATETIME.pattern}
+    kinds = {"bool": T.BooleanType(), "int": T.LongType(), "float": T.DoubleType(), "date": T.DateType(), "time": T.TimestampNTZType()}
+    parts = []
+    for k, c in enumerate(rows.columns):
+        v = F.col(f"`{c}`")
+        parts += [F.count(v).alias(f"n{k}"), *[F.count_if(F.regexp_like(v, F.lit(f"^(?:{p})$")) & (v.try_cast("bigint").isNotNull() if t == "int" else F.lit(True))).alias(f"{t}{k}") for t, p in tests.items()]]
+    found = rows.agg(*parts).first()
+    allowed = [t for t in tests if dates or t not in ("date", "time")]
+    return T.StructType([T.StructField(c, next((kinds[t] for t in allowed if found[f"n{k}"] and found[f"{t}{k}"] == found[f"n{k}"]), T.StringType())) for k, c in enumerate(rows.columns)])
+
+
 def _skipped(spark: SparkSession, path: str | list[str], n: int) -> DataFrame:
     """Lines without the first n of each file; only a file's first block is numbered."""
     lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").withColumn("m", F.monotonically_increasing_id())
@@ -148,10 +242,11 @@ def read_parquet(
 ) -> Frame:
     """Parquet files and trees. ``missing_columns='insert'`` and ``extra_columns`` merge the files' schemas.
 
-    ``row_groups`` picks groups of one local file, in order and with repeats.
+    ``row_groups`` picks groups of one file, in order and with repeats.
     """
     if row_groups is not None:
-        table = pa.concat_tables([pq.ParquetFile(path).read_row_group(k, columns) for k in row_groups])
+        with fetched(spark, path) as local:
+            table = pa.concat_tables([pq.ParquetFile(local).read_row_group(k, columns) for k in row_groups])
         return Frame(spark.createDataFrame(table))
     reader = spark.read.option("mergeSchema", missing_columns == "insert" or extra_columns != "raise")
     if not hive_partitioning:
@@ -166,7 +261,8 @@ def read_parquet(
 
 def row_group_statistics(spark: SparkSession, path: str) -> Frame:
     """From a file's footer: row_group, column, num_rows, min, max, null_count, compressed_size."""
-    meta = pq.ParquetFile(path).metadata
+    with fetched(spark, path) as local:
+        meta = pq.ParquetFile(local).metadata
     rows = []
     for g in range(meta.num_row_groups):
         for c in range(meta.num_columns):
@@ -240,16 +336,103 @@ def read_json(spark: SparkSession, path: str, schema: object | None = None) -> F
     return Frame((reader.schema(as_schema(schema)) if schema is not None else reader).json(path))
 
 
-def read_dataset(spark: SparkSession, paths: list[str], kind: str = "parquet", union_by_name: bool = False, include_file_paths: str | None = None, **options) -> Frame:
-    """Many files as one table, in the order of their sorted paths."""
-    paths = sorted(paths)
-    if kind == "csv":
-        frames = [read_csv(spark, p, **options) for p in paths]
-        df = frames[0].df
+@dataclass
+class DatasetOptions:
+    """How files become one table.
+
+    ``missing_columns``: raise, or insert nulls for what a file lacks; ``extra_columns``:
+    raise, ignore, or insert them for all. ``hive_partitioning``: columns from key=value
+    folders, typed by ``hive_schema`` (else text).
+    """
+
+    hive_partitioning: bool = False
+    hive_schema: dict = field(default_factory=dict)
+    include_file_paths: str = ""
+    missing_columns: str = "raise"
+    extra_columns: str = "raise"
+    union_by_name: bool = False
+
+
+def align_dataset_frame(frame: Frame, schema: T.StructType, options: DatasetOptions) -> Frame:
+    """A file's table with the columns and types of the dataset's schema; what the options don't allow raises."""
+    own = frame.schema
+    _check_columns(list(own), schema.names, options)
+    return Frame(frame.df.select(*[(F.col(f"`{f.name}`") if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]))
+
+
+def read_dataset(spark: SparkSession, paths: str | list[str], kind: str = "parquet", options: DatasetOptions | None = None, schema: object | None = None, glob: bool = True, **keywords) -> Frame:
+    """Files named by paths, folders and patterns as one table, in order of their paths.
+
+    ``kind``: parquet, csv, ndjson or ipc. Files of one schema are one scan; where schemas differ
+    and the options allow it, each file is read by its own and aligned.
+    """
+    options = options or DatasetOptions()
+    # Spark's readers take paths as patterns: what was found is meant as it is.
+    found = resolve_paths(spark, paths, glob)
+    files = [re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in found]
+    loose = DatasetOptions(missing_columns="insert" if options.union_by_name else options.missing_columns, extra_columns="insert" if options.union_by_name else options.extra_columns)
+    if kind == "parquet":
+        return _with_paths(_parquet_files(spark, files, loose), options)
+    read = {"csv": read_csv, "ndjson": read_ndjson, "ipc": scan_ipc}[kind]
+    if schema is not None and kind != "ipc" and not isinstance(schema, CsvSchema):
+        return _with_paths(read(spark, files, schema=schema, **keywords).df, options)
+    given = {"schema": schema} if schema is not None and kind != "ipc" else {}
+    frames = [read(spark, f, **given, **keywords) for f in files]
+    wanted = frames[0].df.schema
+    if loose.extra_columns == "insert":
         for f in frames[1:]:
-            df = df.unionByName(f.df, allowMissingColumns=True) if union_by_name else df.union(f.df)
-        return Frame(df.withColumn(include_file_paths, F.input_file_name()) if include_file_paths else df)
-    return read_parquet(spark, paths, missing_columns="insert" if union_by_name else "raise", include_file_paths=include_file_paths, **options)
+            wanted = T.StructType([*wanted.fields, *[x for x in f.df.schema.fields if x.name not in wanted.names]])
+    aligned = [align_dataset_frame(f, wanted, loose) for f in frames]
+    if options.include_file_paths or options.hive_partitioning:
+        # A path is a constant of its file.
+        aligned = [Frame(f.df.select("*", *_of_path(F.lit(path), _keys_of([path], options), options))) for f, path in zip(aligned, found, strict=True)]
+    out = aligned[0].df
+    for f in aligned[1:]:
+        out = out.unionByName(f.df)
+    return Frame(out)
+
+
+def _parquet_files(spark: SparkSession, files: list[str], options: DatasetOptions) -> DataFrame:
+    """One scan of all files; those whose columns differ in a way that the options don't allow raise."""
+    if options.missing_columns == "insert" and options.extra_columns == "insert":
+        return spark.read.option("mergeSchema", True).parquet(*files)
+    schemas = [spark.read.parquet(f).schema for f in files]
+    merged = spark.read.option("mergeSchema", True).parquet(*files).schema if options.extra_columns == "insert" else schemas[0]
+    for own in schemas:
+        _check_columns(own.names, merged.names, options)
+    return spark.read.schema(merged).parquet(*files)
+
+
+def _check_columns(own: list[str], wanted: list[str], options: DatasetOptions) -> None:
+    missing, extra = [c for c in wanted if c not in own], [c for c in own if c not in wanted]
+    if missing and options.missing_columns != "insert":
+        raise ValueError(f"a file lacks {missing}")
+    if extra and options.extra_columns != "ignore":
+        raise ValueError(f"a file has {extra} beside the others' columns")
+
+
+def _keys_of(paths: list[str], options: DatasetOptions) -> dict:
+    """Names and types of the columns that key=value folders give, in order."""
+    if not options.hive_partitioning:
+        return {}
+    found = dict.fromkeys(k for path in paths for k in re.findall(r"/([^/=]+)=[^/]*(?=/)", path))
+    return {k: options.hive_schema.get(k, "string") for k in [*options.hive_schema, *found]}
+
+
+def _of_path(at: Column, keys: dict, options: DatasetOptions) -> list[Column]:
+    """The columns that a file's path gives."""
+    value = lambda k: F.nullif(F.url_decode(F.regexp_extract(at, f"/{re.escape(k)}=([^/]*)/", 1)), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    out = [value(k).cast(as_type(t)).alias(k) for k, t in keys.items()]
+    return [*out, at.alias(options.include_file_paths)] if options.include_file_paths else out
+
+
+def _with_paths(df: DataFrame, options: DatasetOptions) -> Frame:
+    """A scan with the columns that its files' paths give, in place of ones of the same names."""
+    if not (options.include_file_paths or options.hive_partitioning):
+        return Frame(df)
+    keys = _keys_of(df.inputFiles(), options)
+    own = [c for c in df.columns if c not in keys and c != options.include_file_paths]
+    return Frame(df.select(*[F.col(f"`{c}`") for c in own], *_of_path(F.col("_metadata.file_path"), keys, options)))
 
 
 class _Batch(InputPartition):
@@ -271,7 +454,7 @@ class _IpcReader(DataSourceReader):
 
 
 class ArrowIpc(DataSource):
-    """Arrow IPC files, a task per record batch; executors must see the path."""
+    """An Arrow IPC file that all executors see, a task per record batch."""
 
     @classmethod
     def name(cls) -> str:
@@ -288,26 +471,63 @@ class ArrowIpc(DataSource):
 
 
 def scan_ipc(spark: SparkSession, path: str) -> Frame:
-    spark.dataSource.register(ArrowIpc)
-    return Frame(spark.read.format("arrow_ipc").load(path))
+    """Arrow IPC files in any store that Spark reads: a file a task, its batches one at a time.
+
+    A local file in local mode is mapped, a task per record batch.
+    """
+    local = path.removeprefix("file://") if path.startswith("file:///") else path
+    if spark.sparkContext.master.startswith("local[") and "://" not in local:
+        spark.dataSource.register(ArrowIpc)
+        return Frame(spark.read.format("arrow_ipc").load(local))
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    schema = from_arrow_schema(read_ipc_schema(path, spark))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            for data in given.column("content"):
+                f = pa.ipc.open_file(data.as_buffer())
+                for k in range(f.num_record_batches):
+                    yield f.get_batch(k)
+
+    return Frame(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema))
 
 
 def read_ipc(spark: SparkSession, path: str, columns: list[str] | None = None, n_rows: int | None = None) -> Frame:
-    with pa.memory_map(path) as f:
+    with fetched(spark, path) as local, pa.memory_map(local) as f:
         table = pa.ipc.open_file(f).read_all()
-    table = table if columns is None else table.select(columns)
-    return Frame(spark.createDataFrame(table if n_rows is None else table.slice(0, n_rows)))
+        table = table if columns is None else table.select(columns)
+        return Frame(spark.createDataFrame(table if n_rows is None else table.slice(0, n_rows)))
 
 
 def read_ipc_stream(spark: SparkSession, path: str) -> Frame:
-    with open(path, "rb") as f:
+    with fetched(spark, path) as local, open(local, "rb") as f:
         return Frame(spark.createDataFrame(pa.ipc.open_stream(f).read_all()))
 
 
-def read_ipc_schema(path: str) -> pa.Schema:
+def read_ipc_schema(path: str, spark: SparkSession | None = None) -> pa.Schema:
+    """The schema in a file's footer; with a session, of a file in any store that Spark reads."""
+    if spark is not None:
+        with fetched(spark, path) as local:
+            return read_ipc_schema(local)
     with pa.memory_map(path) as f:
         return pa.ipc.open_file(f).schema
 
 
+def import_arrow(spark: SparkSession, table: pa.Table) -> Frame:
+    return Frame(spark.createDataFrame(table))
+
+
+def import_arrow_series(spark: SparkSession, values: pa.Array | pa.ChunkedArray, name: str = "") -> Series:
+    return Series(import_arrow(spark, pa.table({name or "values": values})))
+
+
+def parquet_backend_version() -> str:
+    """What reads footers; files themselves are read by Spark."""
+    return f"pyarrow {pa.__version__}"
+
+
+parquet_row_group_statistics = row_group_statistics
+
 #: Every reader is lazy: scanning and reading are one.
 scan_csv, scan_parquet, scan_ndjson = read_csv, read_parquet, read_ndjson

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -11,28 +11,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.frame import Frame
+from brindle.frame import Frame, Series
+from brindle.sources.paths import stored
 
 
-def _single(df: DataFrame, path: str, kind: str, options: dict) -> None:
-    """One ordered file in place of a directory, there whole or not at all."""
+def _file_system(spark, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return at(path).getFileSystem(conf), at, conf
+
+
+def _parts(fs, folder) -> list:
+    return sorted((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+
+
+def _joined(df: DataFrame, path: str, kind: str, options: dict, head: DataFrame | None = None) -> None:
+    """One text file in the table's order: all tasks write their parts, whose bytes are then strung together; there whole or not at all."""
     spark = df.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    target = fs_path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    beside = fs_path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs, at, conf = _file_system(spark, path)
+    beside = f"{path}.{uuid.uuid4().hex}.tmp"
+    try:
+        folders = [f"{beside}/{k}" for k, x in enumerate((head, df)) if x is not None]
+        for folder, x in zip(folders, [x for x in (head, df) if x is not None], strict=True):
+            x.write.options(**options).format(kind).save(folder)
+        whole = at(f"{beside}/whole")
+        out = fs.create(whole)
+        try:
+            for part in [p for folder in folders for p in _parts(fs, at(folder))]:
+                given = fs.open(part)
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(given, out, conf, False)
+                given.close()
+        finally:
+            out.close()
+        fs.delete(at(path), True)
+        if not fs.rename(whole, at(path)):
+            raise OSError(f"can't write {path}")
+    finally:
+        fs.delete(at(beside), True)
+
+
+def _single(df: DataFrame, path: str, kind: str, options: dict) -> None:
+    """One ordered file by one task, in place of a directory, there whole or not at all."""
+    fs, at, _ = _file_system(df.sparkSession, path)
+    beside = at(f"{path}.{uuid.uuid4().hex}.tmp")
     df.coalesce(1).write.options(**options).format(kind).save(beside.toString())
     try:
-        parts = [s.getPath() for s in fs.listStatus(beside) if s.getPath().getName().startswith("part-")]
-        fs.delete(target, True)
-        if not fs.rename(parts[0], target):
+        fs.delete(at(path), True)
+        if not fs.rename(_parts(fs, beside)[0], at(path)):
             raise OSError(f"can't write {path}")
     finally:
         fs.delete(beside, True)
 
 
 def write_csv(frame: Frame, path: str, has_header: bool = True, separator: str = ",", quote_style: str = "necessary", null_value: str = "", line_terminator: str = "\n", single_file: bool = True) -> None:
-    """quote_style: necessary, always, never or non_numeric. Binary and nested columns raise."""
+    """One file that all tasks write, or a directory of files. quote_style: necessary, always, never or non_numeric. Binary and nested columns raise."""
     bad = [c for c, t in frame.schema.items() if isinstance(t, (T.BinaryType, T.ArrayType, T.StructType, T.MapType))]
     if bad:
         raise TypeError(f"no CSV for {bad}")
@@ -47,7 +79,8 @@ def write_csv(frame: Frame, path: str, has_header: bool = True, separator: str =
         df = df.select(*[F.col(c) if isinstance(t, T.NumericType) else quoted(c).alias(c) for c, t in frame.schema.items()])
         options["quote"] = ""
     if single_file:
-        _single(df, path, "csv", options)
+        names = df.sparkSession.createDataFrame([tuple(frame.columns)], T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(frame.width)])).coalesce(1)
+        _joined(df, path, "csv", options | {"header": False}, names if has_header else None)
     else:
         df.write.mode("overwrite").options(**options).csv(path)
 
@@ -76,33 +109,52 @@ def write_partitioned_parquet(frame: Frame, path: str, partition_by: list[str],
     renamed.write.mode("overwrite").option("compression", compression).partitionBy(*keys).parquet(path)
 
 
+def _batches(frame: Frame) -> Iterator[pa.RecordBatch]:
+    """The table's batches in order; the driver holds those of one partition at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x.serialize().to_pybytes()], pa.binary())], names=["data"])
+
+    schema = _arrow_schema(frame)
+    for row in frame.df.mapInArrow(run, "data binary").toLocalIterator():
+        yield pa.ipc.read_record_batch(pa.py_buffer(bytes(row["data"])), schema)
+
+
+def _arrow_schema(frame: Frame) -> pa.Schema:
+    """As Spark hands its batches over: that of no rows at all."""
+    return frame.df.limit(0).toArrow().schema
+
+
 def write_geoparquet(frame: Frame, path: str, geometry: str = "geometry", crs: dict | None = None) -> None:
     """One file with the footer that names the geometry column."""
     import json
 
-    from brindle.functions.geo import parse
+    from brindle.functions.geo import geometry_type
 
-    table = frame.collect()
-    kinds = sorted({parse(x)[0] for x in table[geometry].to_pylist() if x is not None})
+    kinds = sorted(r[0] for r in frame.df.select(geometry_type(F.col(geometry)).alias("k")).distinct().collect() if r[0] is not None)
     geo = {"version": "1.1.0", "primary_column": geometry, "columns": {geometry: {"encoding": "WKB", "geometry_types": kinds} | ({"crs": crs} if crs else {})}}
-    table = table.replace_schema_metadata({**(table.schema.metadata or {}), b"geo": json.dumps(geo).encode()})
-    beside = f"{path}.{uuid.uuid4().hex}.tmp"
-    pq.write_table(table, beside, compression="zstd")
-    os.replace(beside, path)
+    schema = _arrow_schema(frame)
+    schema = schema.with_metadata({**(schema.metadata or {}), b"geo": json.dumps(geo).encode()})
+    with stored(frame.df.sparkSession, path) as beside, pq.ParquetWriter(beside, schema, compression="zstd") as w:
+        for batch in _batches(frame):
+            w.write_batch(batch.cast(schema) if hasattr(batch, "cast") else batch)
 
 
 def write_ipc(frame: Frame, path: str, compression: str | None = None, batch_size: int = 65_536) -> None:
-    table = frame.collect()
-    beside = f"{path}.{uuid.uuid4().hex}.tmp"
-    with pa.ipc.new_file(beside, table.schema, options=pa.ipc.IpcWriteOptions(compression=compression)) as w:
-        w.write_table(table, batch_size)
-    os.replace(beside, path)
+    """One file of record batches of up to ``batch_size`` rows."""
+    schema = _arrow_schema(frame)
+    with stored(frame.df.sparkSession, path) as beside, pa.ipc.new_file(beside, schema, options=pa.ipc.IpcWriteOptions(compression=compression)) as w:
+        for batch in _batches(frame):
+            for at in range(0, batch.num_rows, batch_size):
+                w.write_batch(batch.slice(at, batch_size))
 
 
 def write_ipc_stream(frame: Frame, path: str) -> None:
-    table = frame.collect()
-    with pa.ipc.new_stream(path, table.schema) as w:
-        w.write_table(table)
+    schema = _arrow_schema(frame)
+    with stored(frame.df.sparkSession, path) as beside, pa.ipc.new_stream(beside, schema) as w:
+        for batch in _batches(frame):
+            w.write_batch(batch)
 
 
 def _json_ready(c, t: T.DataType):
@@ -119,10 +171,10 @@ def _json_ready(c, t: T.DataType):
 
 
 def write_ndjson(frame: Frame, path: str, single_file: bool = True) -> None:
-    """An object a line, nulls written; decimals as text, binary as base64, NaN and infinities as null."""
+    """One file that all tasks write, or a directory of files: an object a line, nulls written; decimals as text, binary as base64, NaN and infinities as null."""
     df = frame.df.select(*[_json_ready(F.col(f"`{c}`"), t).alias(c) for c, t in frame.schema.items()])
     if single_file:
-        _single(df, path, "json", {"ignoreNullFields": False})
+        _joined(df, path, "json", {"ignoreNullFields": False})
     else:
         df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
@@ -131,14 +183,16 @@ def write_json(frame: Frame, path: str) -> None:
     """One array of objects."""
     df = frame.df.select(*[_json_ready(F.col(f"`{c}`"), t).alias(c) for c, t in frame.schema.items()])
     lines = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("v")).toLocalIterator()
-    beside = f"{path}.{uuid.uuid4().hex}.tmp"
-    with open(beside, "w", encoding="utf-8") as f:
+    with stored(df.sparkSession, path) as beside, open(beside, "w", encoding="utf-8") as f:
         f.write("[")
         for k, r in enumerate(lines):
             f.write(("," if k else "") + "\n" + r["v"])
         f.write("\n]\n")
-    os.replace(beside, path)
 
 
 def export_arrow(frame: Frame) -> pa.Table:
     return frame.collect()
+
+
+def export_arrow_series(series: Series) -> pa.ChunkedArray:
+    return series.frame.collect().column(0)

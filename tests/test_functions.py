@@ -143,6 +143,8 @@ def test_geometries(spark):
     df = spark.createDataFrame([(geo.to_wkb(s),) for s in shapes] + [(None,)], "g binary").coalesce(1)
     assert [r[0] for r in df.select(geo.geometry_type(df.g)).collect()] == ["Point", "Polygon", "MultiPoint", None]
     assert tuple(geo.total_bounds(df, "g").first()) == (0.0, 0.0, 4.0, 3.0)
+    series = Frame(df).get_column("g")
+    assert series.total_bounds() == geo.GeometryBounds(0.0, 0.0, 4.0, 3.0) and Frame(df.where("g is null")).get_column("g").total_bounds() is None
     with pytest.raises(ValueError, match="not a WKB"):
         geo.parse(b"\x01\x63")
 
