@@ -210,7 +210,13 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """Per row: id, url, text, n_chars. Rows map one to one; other columns aren't read."""
+    """Per row: id, url, text, n_chars.
+
+    Rows map one to one, equal and repeated ones too; null ids and urls stay. Null, empty and
+    textless pages have an empty text, never a null one. Long pages are read whole, tag by
+    tag, in time linear in their length; other columns aren't read. Of paths with equal ratios
+    all stay or all go.
+    """
     ship(pages.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

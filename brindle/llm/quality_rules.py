@@ -38,7 +38,8 @@ def _repeated_windows(words: str) -> list[tuple[str, Column]]:
 
     Windows are hashed to 64 bits and sorted with their position, so equal ones are
     neighbours; the positions of those are sorted, and each covers 3 words less what the
-    next one covers too. n log n a text, whatever it repeats.
+    next one covers too. n log n a text, whatever it repeats. Exact but for two windows of a
+    text that share a hash: of a million windows, that happens to one text in 37 million.
     """
     w = F.col(words)
     n = F.size(w)
@@ -242,6 +243,11 @@ def _pruned(rows: DataFrame, rule: list[Condition]) -> list[Condition]:
     return rule[: best + 1]
 
 
+def base_failed() -> Column:
+    """Over text_statistics(): fewer than 50 words, or more than half of them in repeated windows."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def judge_documents(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id", label: str = "quality") -> tuple[DataFrame, DecisionList]:
     """Statistics, base rule and verdict of every row, and the list that was learned.
 
@@ -252,6 +258,5 @@ def judge_documents(docs: DataFrame, labels: DataFrame, text: str = "text", id_c
     stats = materialize(text_statistics(docs, text, id_column), "statistics")
     marks = labels.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_label_id")).agg(F.min(label).alias("_label"))
     learned = learn_rules(stats.join(marks, F.col(id_column) == F.col("_label_id")).drop("_label_id"), "_label")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = stats.withColumn("base_failed", failed).withColumn("rule", learned.rule_number())
+    out = stats.withColumn("base_failed", base_failed()).withColumn("rule", learned.rule_number())
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), learned

@@ -87,14 +87,48 @@ def _scoped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's counts and base rules, which SQL can express, without the learned list."""
+    counted = quality_rules.text_statistics(read_table(spark, sf_dir, "documents"))
+    return counted.withColumn("base_failed", quality_rules.base_failed()).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's targets by source."""
+    sizes = read_table(spark, sf_dir, "documents").select("source", mixing.word_count(F.col("text")).alias("size"))
+    sizes = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
+    return mixing.source_targets(sizes).select("source", "source_size", "n_rows", "weight", F.round("target", 4).alias("target"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _scoped(f) for f in (op1_quality_rules, op2_warc_revisits, op3_url_filters, op4_html_extraction, op5_packing, op6_quality_classifier, op7_minhash_near_dedup, op8_image_copies, op9_curriculum_mixing, op10_toxicity, pipeline)}
+    return {f.__name__: _scoped(f) for f in (op1_quality_rules, op2_warc_revisits, op3_url_filters, op4_html_extraction, op5_packing, op6_quality_classifier, op7_minhash_near_dedup, op8_image_copies, op9_curriculum_mixing, op10_toxicity, pipeline, quality_base, mixing_targets)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    # Five hexadecimal digits are four letters of base32.
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(d, {5 * g + 1}, 5))::INT >> {s}) & 31) + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
     return {
+        "op2_warc_revisits": f"""
+            WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+            q AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS d, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+            SELECT page_id, payload_bytes, {letters} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM q""",
+        "quality_base": r"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            lines AS (SELECT doc_id, sum(n - 1)::BIGINT AS dup FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2) GROUP BY 1),
+            placed AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+            windows AS (SELECT doc_id, i, a, lead(a) OVER x AS b, lead(a, 2) OVER x AS c FROM placed WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+            twice AS (SELECT doc_id, i FROM windows WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+            repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1)
+            SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+            len(w) < 50 OR 100 * coalesce(repeats.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)""",
+        "mixing_targets": r"""
+            WITH s AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS source_size, count(*) AS n_rows FROM documents GROUP BY 1),
+            r AS (SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
+            o AS (SELECT *, 2.0 * source_size / weight AS level, 1.5 * sum(source_size) OVER () AS budget FROM r),
+            f AS (SELECT arg_min((budget - before) / onward, level) AS water FROM (SELECT level, budget, coalesce(sum(2.0 * source_size) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (ORDER BY level ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS onward FROM o) WHERE (budget - before) / onward <= level)
+            SELECT source, source_size, n_rows, weight, round(least(2.0 * source_size, coalesce(water * weight, 2.0 * source_size))::DOUBLE, 4) AS target FROM o, f""",
         "op3_url_filters": f"""
             WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
             parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),

@@ -1,3 +1,7 @@
+import random
+import re
+
+from brindle.llm import html_extract as h
 from brindle.llm.html_extract import extract, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
@@ -45,3 +49,40 @@ def test_names_of_wrappers_lose_no_text():
     # A part of a longer name alone doesn't drop a part of an article; a name does.
     got = main_text(f'<body><article><p>{text}</p><div class="share-price"><p>{text} Shares fell, too.</p></div><div class="comments"><p>I say, {text}</p></div></article></body>')
     assert got == f"{text}\n{text} Shares fell, too."
+
+
+def test_ratios_match_brute_force():
+    """The steps of the ratios, each over all blocks anew: sums a path, smoothing, fusing, priors."""
+    rng = random.Random(2)
+    for _ in range(30):
+        paths = [f"/body{'/div' * rng.randrange(3)}/{rng.choice(['p', 'li', 'h1'])}" for _ in range(6)]
+        blocks = []
+        for _ in range(rng.randrange(1, 25)):
+            text = "".join(rng.choice("abc ,.! ") for _ in range(rng.randrange(1, 60))).strip() or "x"
+            blocks.append((rng.choice(paths), text, rng.randrange(len(text) + 1), rng.choice([0, 0, 0, h.PART, h.NAMED]), rng.random() < 0.3))
+        keys = list(dict.fromkeys((p, bad, good) for p, _, _, bad, good in blocks))
+
+        def ratio(key):
+            own = [b for b in blocks if (b[0], b[3], b[4]) == key]
+            chars, links = sum(len(b[1]) for b in own), sum(b[2] for b in own)
+            marks = sum(len(re.findall(r"[.,;:!?。，…¿¡]", b[1])) for b in own)
+            return (chars - links) / len(own) * (1 + marks / len(own))
+
+        want = {}
+        for k, key in enumerate(keys):
+            smooth = (2 * ratio(key) + ratio(keys[max(0, k - 1)]) + ratio(keys[min(len(keys) - 1, k + 1)])) / 4
+            section = max(ratio(x) for x in keys if x[0].rsplit("/", 1)[0] == key[0].rsplit("/", 1)[0] and x[1:] == key[1:])
+            score = max(min(smooth, 2 * ratio(key)), section)
+            want[key] = 0.0 if key[1] > h.PART else score * (4.0 if key[2] else 1.0) * (0.1 if key[1] else 1.0)
+        got = h.path_scores(blocks)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_text_follows_the_ratios(monkeypatch):
+    text = "A long enough sentence, with commas, and stops. It goes on, and on."
+    page = f"<body><article><p>{text}</p><ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul></article></body>"
+    assert main_text(page) == text
+    # Turned around, the ratios keep the links and drop the sentence: nothing else decides.
+    real = h.path_scores
+    monkeypatch.setattr(h, "path_scores", lambda blocks: {k: 1.0 / (1.0 + v) for k, v in real(blocks).items()})
+    assert text not in main_text(page) and "one" in main_text(page)

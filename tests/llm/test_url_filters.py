@@ -43,3 +43,9 @@ def test_repeated_rows_and_no_rules(spark):
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert match_rules(pages, spark.createDataFrame([("com", "/", "block")], "host string, path string, verdict string")).count() == 0
+
+
+def test_hosts_of_rules_differ_in_case(spark):
+    for rules in ([("Example.com", "/", "block"), ("example.com", "/", "allow")], [("example.com", "/", "allow"), ("Example.com", "/", "block")]):
+        got = judged(spark, ["http://example.com/x"], rules).first()
+        assert (got.verdict, got.rule, got.rule_depth) == ("block", "example.com/", 1)
