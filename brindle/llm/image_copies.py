@@ -4,7 +4,7 @@ Corners are found at several scales, those that stand out most within a radius,
 number grows with the area and a crop finds those of its part again. Each gets the direction
 of its patch's centre of mass, and 128 comparisons of brightness at places turned by it.
 Hamming tables hold every descriptor under several keys of some of its bits; images that share
-two keys (or one that many images have) are candidates, and geometry decides: they are copies if enough matches of mutually
+two keys are candidates, and geometry decides: they are copies if enough matches of mutually
 nearest descriptors follow one shift, turn and scale.
 """
 
@@ -33,7 +33,7 @@ NEAR_BITS, AGREEING, PIXELS = 20, 6, 3.0
 #: share a key of one of the tables with probability 0.57, in 12 bits 0.23, in 16 bits 0.08; copies
 #: have tens of matches, and two keys that they share are enough.
 TABLES, KEY_BITS, SHARED_KEYS = 8, 32, 2
-#: Keys of more images than this are met in cells, on any one of them.
+#: Keys of more images than this are met in cells, where all keys of its images are counted.
 FEW = 16
 #: Images of a block, and of each side of what is compared at once.
 BLOCK, SLICE = 256, 64
@@ -118,6 +118,10 @@ def resized(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     return at[..., x0] * (1 - fx) + at[..., x1] * fx
 
 
+def _along(x: np.ndarray, axis: int, low: int, high: int | None) -> np.ndarray:
+    return x[:, low:high] if axis == 1 else x[:, :, low:high]
+
+
 def _blur(x: np.ndarray, r: int = 2) -> np.ndarray:
     """Mean over a square, of each of a stack of images, by running sums."""
     n = 2 * r + 1
@@ -125,18 +129,22 @@ def _blur(x: np.ndarray, r: int = 2) -> np.ndarray:
         edge = [(0, 0)] * 3
         edge[axis] = (r + 1, r)
         sums = np.cumsum(np.pad(x, edge, mode="edge"), axis, dtype=np.float64)
-        length = x.shape[axis]
-        x = ((np.take(sums, range(n, n + length), axis) - np.take(sums, range(length), axis)) / n).astype(np.float32)
+        x = ((_along(sums, axis, n, None) - _along(sums, axis, 0, -n)) / n).astype(np.float32)
     return x
 
 
 def _strongest(r: np.ndarray, apart: int) -> np.ndarray:
-    """Where a value is the largest of the square of ``apart`` places around it."""
-    top = r
+    """Where a value is the largest of the square of ``apart`` places around it: maxima over 2, 4, 8 .. places, the last two overlapping."""
+    width, top = 2 * apart + 1, r
     for axis in (1, 2):
         edge = [(0, 0)] * 3
         edge[axis] = (apart, apart)
-        top = np.lib.stride_tricks.sliding_window_view(np.pad(top, edge, constant_values=-np.inf), 2 * apart + 1, axis).max(-1)
+        top = np.pad(top, edge, constant_values=-np.inf)
+        reach = 1
+        while reach < width:
+            step = min(reach, width - reach)
+            top = np.maximum(_along(top, axis, 0, -step), _along(top, axis, step, None))
+            reach += step
     return r >= top
 
 
@@ -260,15 +268,41 @@ def copies(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-@dataclass
-class Images(Measure):
-    """Images are linked by geometric agreement."""
+def shared_keys(one: list[np.ndarray], two: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """How many keys each two of two lists of keys_of() have in common: products of 0/1 matrices over the keys that both sides have."""
+    n, every = len(one), [*one, *two]
+    found = np.concatenate(every)
+    row = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    _, place, times = np.unique(found, return_inverse=True, return_counts=True)
+    often = times[place] > 1
+    _, place = np.unique(place[often], return_inverse=True)
+    row = row[often]
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    out = np.zeros((n, len(two)), np.float32)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        x, y = np.searchsorted(place, [low, low + columns])
+        has = np.zeros((len(every), columns), np.float32)
+        has[row[x:y], place[x:y] - low] = 1
+        out += has[:n] @ has[n:].T
+    return out.astype(int)
 
-    def read(self, payload: bytes) -> bytes:
-        return bytes(payload)
 
-    def linked(self, one: list, two: list) -> np.ndarray:
-        return copies(one, two)
+@dataclass
+class Images(Measure):
+    """Images are linked by geometric agreement; of many at once, those pairs are looked at that share SHARED_KEYS keys."""
+
+    def read(self, payload: bytes) -> np.ndarray:
+        return np.frombuffer(bytes(payload), _KIND)
+
+    def linked(self, one: list, two: list, wanted: np.ndarray | None = None) -> np.ndarray:
+        if wanted is None:
+            return copies([x.tobytes() for x in one], [x.tobytes() for x in two])
+        out = np.zeros((len(one), len(two)), bool)
+        keys = [[keys_of(x) for x in side] for side in (one, two)]
+        for i, j in zip(*np.nonzero((shared_keys(*keys) >= SHARED_KEYS) & wanted), strict=True):
+            out[i, j] = agreeing(one[i], two[j]) >= AGREEING
+        return out
 
 
 def _described(images: DataFrame, id_column: str, image: str) -> DataFrame:

@@ -34,8 +34,8 @@ class Measure:
         """The payload as linked() takes it."""
         raise NotImplementedError
 
-    def linked(self, one: list, two: list) -> np.ndarray:
-        """Which of the read payloads of two lists are links."""
+    def linked(self, one: list, two: list, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Which of the read payloads of two lists are links; pairs that aren't ``wanted`` need no answer."""
         raise NotImplementedError
 
 
@@ -163,7 +163,7 @@ def _cells(members: DataFrame, held: DataFrame, labels: DataFrame | None, measur
         if not apart.any():
             return []
         items = [measure.read(x) for x in cell["_payload"]]
-        linked = measure.linked([items[x] for x in one], [items[x] for x in two]) & apart
+        linked = measure.linked([items[x] for x in one], [items[x] for x in two], apart) & apart
         return [(min(nodes[x], nodes[y]), max(nodes[x], nodes[y])) for x, y in forest(codes, linked, one, two)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

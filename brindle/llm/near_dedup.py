@@ -213,7 +213,7 @@ class Texts(Measure):
     def read(self, payload: str) -> tuple[np.ndarray, np.ndarray]:
         return elements(*shingles(word_hashes(payload), self.weights.value))
 
-    def linked(self, one: list, two: list) -> np.ndarray:
+    def linked(self, one: list, two: list, wanted: np.ndarray | None = None) -> np.ndarray:
         # Sums in another order differ in the last digits.
         return similarities(one, two) >= THRESHOLD - 1e-9
 

@@ -105,3 +105,18 @@ def test_drawn_pictures():
     assert np.allclose(m.drawn(v)[1], m.drawn(v[1])[0], atol=1e-3) and m.drawn(np.zeros((1, 64))).std() == 0
     # Numbers beyond the 64th count too, fewer are filled up.
     assert (m.drawn(np.r_[v[0], 5.0]) != m.drawn(v[0])).any() and m.drawn([1.0, float("nan")]).shape == (1, 64, 64)
+
+
+def test_shared_keys_are_counted():
+    rng = np.random.default_rng(1)
+    lists = [np.unique(rng.integers(0, 60, rng.integers(0, 30))) for _ in range(9)]
+    for columns in (7, 2048):
+        got = m.shared_keys(lists[:4], lists, columns)
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in lists] for a in lists[:4]]
+
+
+def test_strongest_places():
+    r = np.random.default_rng(2).random((2, 20, 17))
+    got = m._strongest(r, 5)
+    for k, y, x in np.ndindex(r.shape):
+        assert got[k, y, x] == (r[k, y, x] >= r[k, max(0, y - 5) : y + 6, max(0, x - 5) : x + 6].max())

@@ -136,7 +136,7 @@ def classes_of(spark, buckets, similar, **more):
         def read(self, payload):
             return int(payload)
 
-        def linked(self, one, two):
+        def linked(self, one, two, wanted=None):
             return np.array([[(a, b) in self.pairs or (b, a) in self.pairs for b in two] for a in one])
 
     members = spark.createDataFrame([(k, x) for k, xs in buckets.items() for x in xs], "k long, node long")
