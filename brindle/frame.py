@@ -455,13 +455,14 @@ class Frame:
         self._checked(frame.columns)
         return frame
 
-    def join_asof(self, other: Frame, on: str | None = None, left_on: str | None = None, right_on: str | None = None, by=None, strategy: str = "backward", tolerance=None, allow_exact_matches: bool = True, suffix: str = "_right") -> Frame:
+    def join_asof(self, other: Frame, on: str | None = None, left_on: str | None = None, right_on: str | None = None, by=None, strategy: str = "backward", tolerance=None, allow_exact_matches: bool = True, suffix: str = "_right", spread: bool = False) -> Frame:
         """For each left row the nearest right row by key, within groups ``by``.
 
         Both sides are put in one sequence by key; the last right row so far is the match. One
-        exchange by the group's keys, no pairs. Without ``by``, keys are cut into ranges over the
-        cluster and each range inherits the last right row of those before it, so no task
-        needs all rows. Ties of ``nearest`` prefer the later key; of equal keys the last row counts.
+        exchange by the group's keys, no pairs. Without ``by``, and with ``spread`` (for groups
+        that hold much of the table), the sequence is cut into ranges over the cluster and each
+        inherits the last right row of its first group from those before it, so no task needs all
+        rows of a group. Ties of ``nearest`` prefer the later key; of equal keys the last row counts.
         """
         lo, ro = (on, on) if on else (left_on, right_on)
         groups = _listed(by)
@@ -478,10 +479,10 @@ class Frame:
             # With exact matches a right row comes before the left rows of its key, in the direction of the search.
             first = F.col("__t") != F.lit(allow_exact_matches)
             order = [F.col("__k").asc_nulls_first() if way == "backward" else F.col("__k").desc_nulls_last(), first.asc(), F.col(ORDER).asc()]
-            if parts:
+            if parts and not spread:
                 both = both.withColumn(f"__{way}", F.last("__r", True).over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
             else:
-                both = self._asof_ranges(both, order, way)
+                both = self._asof_ranges(both, parts, order, way)
         found = both.where("not __t")
         pick = F.col(f"__{ways[0]}")
         if len(ways) == 2:
@@ -494,23 +495,24 @@ class Frame:
         pick = F.when(F.col("__k").isNotNull(), pick)
         for i, _ in enumerate(groups):
             pick = F.when(F.col(f"__g{i}").isNotNull(), pick)
-        out = found.withColumn("__m", pick).orderBy(ORDER)
+        out = found.withColumn("__m", pick)
         return Frame(out.select(*[F.col("__l")[c].alias(c) for c in self.columns], *[F.col("__m")[c].alias(shown[c]) for c in payload]))
 
     @staticmethod
-    def _asof_ranges(df: DataFrame, order: list[Column], way: str) -> DataFrame:
-        """The match within each range of the order; where a range has no right row yet, the last one of the ranges before."""
+    def _asof_ranges(df: DataFrame, parts: list[str], order: list[Column], way: str) -> DataFrame:
+        """The match within each range of the order; where a group has no right row yet in a range, its last one of the ranges before."""
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = _written(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
-        inside = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        df = _written(df.repartitionByRange(n, *parts, *order).withColumn("__p", F.spark_partition_id()))
+        inside = Window.partitionBy("__p", *parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         down = way == "forward"
         held = F.struct(F.col("__k"), (-F.col(ORDER) if down else F.col(ORDER)).alias("o"), F.col("__r"))
-        # One row per range.
-        ends = df.groupBy("__p").agg((F.min if down else F.max)(F.when(F.col("__t"), held)).alias("e"))
-        before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.select(F.col("__p").alias("__q"), F.last("e", True).over(before)["__r"].alias("__c"))
-        out = df.withColumn("__m", F.last("__r", True).over(inside)).join(F.broadcast(carried), F.col("__p") == F.col("__q"))
-        return out.withColumn(f"__{way}", F.coalesce("__m", "__c")).drop("__p", "__q", "__c", "__m")
+        ends = df.groupBy("__p", *parts).agg((F.min if down else F.max)(F.when(F.col("__t"), held)).alias("e"))
+        before = Window.partitionBy(*parts).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        # Only a range's first group goes on from another one: at most one row per range.
+        carried = ends.select(F.col("__p").alias("__q"), *[F.col(g).alias(f"{g}_") for g in parts], F.last("e", True).over(before)["__r"].alias("__c")).where(F.col("__c").isNotNull())
+        same = functools.reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in parts], F.col("__p") == F.col("__q"))
+        out = df.withColumn("__m", F.last("__r", True).over(inside)).join(F.broadcast(carried), same, "left")
+        return out.withColumn(f"__{way}", F.coalesce("__m", "__c")).drop("__p", "__q", "__c", "__m", *[f"{g}_" for g in parts])
 
     # -- grouping ---------------------------------------------------------------------
 

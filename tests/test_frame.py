@@ -136,6 +136,9 @@ def test_asof_matches_nested_loops(spark, strategy, exact, by):
     got = l.join_asof(r, on="t", by=by, strategy=strategy, allow_exact_matches=exact)
     name = "p_right"
     assert {(row[2]): row[got.columns.index(name)] for row in got.rows()} == {p: match(t, g) for t, g, p in left}
+    if by:
+        cut = l.join_asof(r, on="t", by=by, strategy=strategy, allow_exact_matches=exact, spread=True)
+        assert sorted(cut.rows(), key=str) == sorted(got.rows(), key=str)
 
 
 def test_groups(small):
