@@ -20,6 +20,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SLOPES = (-0.5, 0.0, 0.5)
 #: Up to so many sources, their table (a row of about 100 bytes each) is broadcast.
 BROADCAST_SOURCES = 10_000
+#: Parts of a source that are summed up together.
+STRETCH = 64
 
 
 def word_count(text: Column) -> Column:
@@ -97,8 +99,13 @@ def mix(
     share = F.shiftrightunsigned("_at", 33) / F.lit(float(2**31))
     df = base.join(targets, F.col("_source").eqNullSafe(F.col("source"))).withColumn("_part", F.floor(share * parts).cast("long"))
     sums = df.groupBy("rank", "_part").agg(F.sum("size").alias("_sum"))
-    so_far = Window.partitionBy("rank").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("rank").alias("_rank"), F.col("_part").alias("_of"), F.coalesce(F.sum("_sum").over(so_far), F.lit(0)).alias("_start"))
+    # Where each part starts: sums of stretches of parts first, then of the parts of a stretch.
+    sums = sums.withColumn("_stretch", F.floor(F.col("_part") / STRETCH))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    far = sums.groupBy(F.col("rank").alias("_r"), F.col("_stretch").alias("_s")).agg(F.sum("_sum").alias("_sums"))
+    far = far.withColumn("_far", F.coalesce(F.sum("_sums").over(earlier("_r", "_s")), F.lit(0)))
+    near = sums.withColumn("_near", F.coalesce(F.sum("_sum").over(earlier("rank", "_stretch", "_part")), F.lit(0)))
+    starts = near.join(far, (F.col("rank") == F.col("_r")) & (F.col("_stretch") == F.col("_s"))).select(F.col("rank").alias("_rank"), F.col("_part").alias("_of"), (F.col("_far") + F.col("_near")).alias("_start"))
     inside = Window.partitionBy("rank", "_part").orderBy(F.shiftrightunsigned("_at", 33), "_at", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     df = df.join(starts, (F.col("rank") == F.col("_rank")) & (F.col("_part") == F.col("_of")))
