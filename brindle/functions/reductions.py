@@ -27,12 +27,28 @@ def total(c: Column, dtype: T.DataType, min_count: int = 0, w: Wrap = plain) ->
     if isinstance(dtype, T.BooleanType):
         s = F.coalesce(w(F.count_if(c)), F.lit(0))
     elif is_integer(dtype):
-        s = F.coalesce(w(F.sum(c.cast("decimal(28,0)"))), F.lit(0)).cast("int" if isinstance(dtype, T.IntegerType) else "bigint")
+        s = F.coalesce(_exact_sum(c, dtype, w), F.lit(0)).cast("int" if isinstance(dtype, T.IntegerType) else "bigint")
     else:
         s = F.coalesce(w(F.sum(c)), F.lit(0).cast(dtype))
     return F.when(w(F.count(c)) >= min_count, s) if min_count else s
 
 
+def _exact_sum(c: Column, dtype: T.DataType, w: Wrap) -> Column:
+    """Sums of the low, middle and high bits, put together at the end: long sums that no order of up to 2^41 rows overflows."""
+    x = c.cast("bigint")
+    if isinstance(dtype, (T.ByteType, T.ShortType)):
+        return w(F.sum(x))
+    cuts = [0, 16] if isinstance(dtype, T.IntegerType) else [0, 21, 42]
+    out = None
+    for at, end in zip(cuts, [*cuts[1:], None], strict=True):
+        part = F.shiftright(x, at) if at else x
+        part = part if end is None else part.bitwiseAND(F.lit((1 << (end - at)) - 1))
+        scaled = w(F.sum(part)).cast("decimal(38,0)") * F.lit(1 << at).cast("decimal(16,0)") if at else w(F.sum(part)).cast("decimal(38,0)")
+        scaled = scaled.cast("decimal(38,0)")
+        out = scaled if out is None else (out + scaled).cast("decimal(38,0)")
+    return out
+
+
 def product(c: Column, dtype: T.DataType, w: Wrap = plain) -> Column:
     """1 for nothing; integers exactly, overflow raises."""
     if is_integer(dtype):

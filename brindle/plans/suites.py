@@ -643,12 +643,17 @@ def null_safe(t):
     return t("supplier").select("s_suppkey", col("s_acctbal").mean().over("s_nationkey").is_not_null().alias("known"), b.coalesce(b.when(col("s_name").ne("x")).then(col("s_name")), b.lit("-")).alias("name"), (col("s_acctbal") > 0.0).eq_missing(b.lit(True)).alias("positive"))
 
 
-# -- without SQL -----------------------------------------------------------------------------------------------
+def _described(kind: str, f: str) -> str:
+    return f"SELECT '{kind}' AS statistic, round(({f.format('value')})::DOUBLE, 6) AS value, round(({f.format('user_id')})::DOUBLE, 6) AS user_id FROM events"
 
 
-@query()
+@query(" UNION ALL ".join([_described("count", "count({0})"), _described("null_count", "count(*) - count({0})"), _described("mean", "avg({0})"), _described("std", "stddev_samp({0})"), _described("min", "min({0})"), _described("max", "max({0})"),
+    *[_described(f"{q}%", f"(list({{0}} ORDER BY {{0}}))[floor((count({{0}}) - 1) * {q / 100} + 0.5)::INT + 1]") for q in (25, 50, 75)]]))
 def describe_events(t):
-    return t("events").select("value", "user_id").describe()
+    return t("events").select("value", "user_id").describe().with_columns(col("value").round(6), col("user_id").round(6))
+
+
+# -- without SQL -----------------------------------------------------------------------------------------------
 
 
 @query()

@@ -156,3 +156,11 @@ def test_numbers(spark):
     assert [r[0] for r in f.select(col("x").clip(-2, 2)).rows()] == [0.0, -1.0, 2.0, -2.0]
     with pytest.raises(Exception, match="no mapping"):
         f.select(col("x").replace_strict({0.0: 1.0})).rows()
+
+
+def test_sums_are_exact_in_any_order(spark):
+    big = 2**63 - 1
+    f = Frame(spark.createDataFrame([(big, 2**31 - 1, 127), (big, -5, -128), (-big, None, None), (-7, -(2**31), 3), (None, 0, 1)], "x long, y int, z byte"))
+    assert f.select(col("x").sum().alias("x"), col("y").cast("int64").sum().alias("y"), col("z").sum().alias("z")).rows() == [(big - 7, -6, 3)]
+    with pytest.raises(Exception, match="overflow|OVERFLOW|out of range|OUT_OF_RANGE"):
+        f.filter(col("x") > 0).select(col("x").sum().alias("x")).rows()
