@@ -29,7 +29,7 @@ END_ID = 2
 _USUAL = re.compile("[\\t\\n\\r\\x20-\\x7e\u00a1-\u024f\u2010-\u2015\u2018-\u201f\u2022\u2026\u20ac]*")
 _SPECIAL = "<|"
 #: Words and marks whose ids a worker remembers, and the longest of them.
-_REMEMBERED, _WORD_CHARS = 250_000, 64
+_REMEMBERED, _WORD_CHARS = 400_000, 64
 
 _encoders: dict[str, Encoder] = {}
 
