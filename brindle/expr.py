@@ -315,6 +315,8 @@ class Expr:
     # -- comparison, boolean, null ---------------------------------------------
 
     def _compare(self, op: str, o: object) -> Expr:
+        if _is_number(o):
+            return self._map(lambda ctx, a, b: numeric.compare_to_number(op, a, b, numeric.is_float(ctx.dtype(a))), o, typed=True)
         return self._map(lambda ctx, a, b: numeric.compare(op, a, b, numeric.is_float(ctx.dtype(a)) or numeric.is_float(ctx.dtype(b))), o, typed=True)
 
     def __lt__(self, o): return self._compare("<", o)  # noqa: E704
@@ -337,7 +339,10 @@ class Expr:
     def or_(self, o): return self | o  # noqa: E704
     def xor(self, o): return self ^ o  # noqa: E704
     def not_(self): return ~self  # noqa: E704
-    def is_between(self, low, high, closed: str = "both"): return self._map(lambda ctx, a, b, c: numeric.is_between(a, b, c, closed, numeric.is_float(ctx.dtype(a))), low, high, typed=True)  # noqa: E704
+    def is_between(self, low, high, closed: str = "both"):
+        if _is_number(low) and _is_number(high):
+            return self._compare(">=" if closed in ("both", "left") else ">", low) & self._compare("<=" if closed in ("both", "right") else "<", high)
+        return self._map(lambda ctx, a, b, c: numeric.is_between(a, b, c, closed, numeric.is_float(ctx.dtype(a))), low, high, typed=True)
     def is_in(self, values: Iterable): return self._map(lambda a: numeric.is_in(a, list(values)))  # noqa: E704
     def is_null(self): return self._map(lambda a: a.isNull())  # noqa: E704
     def is_not_null(self): return self._map(lambda a: a.isNotNull())  # noqa: E704
@@ -679,6 +684,10 @@ def _spread(c: Column, w, ddof: int, root: bool) -> Column:
     return F.sqrt(out) if root else out
 
 
+def _is_number(x: object) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool) and x == x
+
+
 def _adopts(column: T.DataType, literal: T.DataType) -> bool:
     """Whether a literal may take a column's type: a fraction never becomes an integer."""
     return numeric.is_float(column) or isinstance(column, T.DecimalType) and not numeric.is_float(literal) or numeric.is_integer(column) and numeric.is_integer(literal)

@@ -33,6 +33,15 @@ def compare(op: str, a: Column, b: Column, floats: bool) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None)).when(F.isnan(a) | F.isnan(b), F.lit(op == "!=")).otherwise(plain)
 
 
+def compare_to_number(op: str, a: Column, b: Column, floats: bool) -> Column:
+    """compare() with a number that isn't NaN on the right, in a form that scans can test.
+
+    NaN is Spark's largest value, so only ``>`` and ``>=`` need a word about it.
+    """
+    plain = {"==": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+    return plain & ~F.isnan(a) if floats and op in (">", ">=") else plain
+
+
 def true_divide(a: Column, b: Column) -> Column:
     x, y = a.cast("double"), b.cast("double")
     zero = F.when((x == 0) | F.isnan(x), F.lit(NAN)).when(x > 0, F.lit(INF)).otherwise(F.lit(-INF))
@@ -116,7 +125,7 @@ def is_between(x: Column, low: Column, high: Column, closed: str, floats: bool)
 def is_in(x: Column, values: list) -> Column:
     """A null input is null; null candidates never match."""
     known = [v for v in values if v is not None]
-    return F.when(x.isNotNull(), x.isin(known) if known else F.lit(False))
+    return x.isin(known) if known else F.when(x.isNotNull(), F.lit(False))
 
 
 def nan_test(x: Column, test: Column) -> Column:

@@ -225,3 +225,14 @@ def test_series_arrays(small, tmp_path):
     assert s.int32().to_pylist() == [3, 1, None, 3, 2] and s.n_chunks() == 1 and not s.is_chunked() and s.float64().to_pylist()[0] == 3.0
     small.sink_csv(str(tmp_path / "x.csv"))
     assert (tmp_path / "x.csv").read_text().startswith("i,f,s,b")
+
+
+def test_comparisons_with_numbers_reach_the_scan(spark, tmp_path):
+    nan = float("nan")
+    spark.createDataFrame([(x, x) for x in (None, nan, -1.0, 0.0, 5.0, float("inf"))], "x double, y double").coalesce(1).write.parquet(str(tmp_path / "t"))
+    f = Frame(spark.read.parquet(str(tmp_path / "t")))
+    x = col("x")
+    got = {n: f.select(e.alias("e")).to_dict()["e"] for n, e in {"<": x < 5.0, "<=": x <= 5, ">": x > 0.0, ">=": x >= 5.0, "==": x == 5.0, "!=": x != 5.0, "in": x.is_between(0, 5.0), "out": x.is_between(0, 5, closed="none")}.items()}
+    assert got == {"<": [None, False, True, True, False, False], "<=": [None, False, True, True, True, False], ">": [None, False, False, False, True, True], ">=": [None, False, False, False, True, True], "==": [None, False, False, False, True, False], "!=": [None, True, True, True, False, True], "in": [None, False, False, True, True, False], "out": [None, False, False, False, False, False]}
+    plan = f.filter(x > 0.0, col("y").is_between(-3.0, 7.0)).explain()
+    assert "GreaterThan(x,0.0)" in plan and "GreaterThanOrEqual(y,-3.0)" in plan and "LessThanOrEqual(y,7.0)" in plan
