@@ -460,9 +460,9 @@ class Frame:
 
         Both sides are put in one sequence by key; the last right row so far is the match. One
         exchange by the group's keys, no pairs. Without ``by``, and with ``spread`` (for groups
-        that hold much of the table), the sequence is cut into ranges over the cluster and each
-        inherits the last right row of its first group from those before it, so no task needs all
-        rows of a group. Ties of ``nearest`` prefer the later key; of equal keys the last row counts.
+        that hold much of the table), keys are cut into ranges at quantiles, and each range
+        inherits its group's last right row of those before it, so no task needs all rows of a
+        group. Ties of ``nearest`` prefer the later key; of equal keys the last row counts.
         """
         lo, ro = (on, on) if on else (left_on, right_on)
         groups = _listed(by)
@@ -470,16 +470,21 @@ class Frame:
             raise TypeError("as-of keys differ in type")
         payload = [c for c in other.columns if c not in groups and not (on and c == ro)]
         shown = {c: c + suffix if c in self.columns else c for c in payload}
-        left = self._with_order().select(F.struct(*self.columns).alias("__l"), F.lit(None).cast(other.df.select(F.struct(*other.columns)).schema[0].dataType).alias("__r"), F.col(lo).alias("__k"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col(ORDER))
-        right = other._with_order().where(F.col(ro).isNotNull()).select(F.lit(None).cast(left.schema["__l"].dataType).alias("__l"), F.struct(*other.columns).alias("__r"), F.col(ro).alias("__k"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col(ORDER))
+        cut = spread or not groups
+        mine, far_rows = (Frame(_fixed(f.df)) if cut else f for f in (self, other))
+        held = F.struct(*dict.fromkeys([ro, *payload]))
+        left = mine._with_order().select(F.struct(*self.columns).alias("__l"), F.lit(None).cast(other.df.select(held).schema[0].dataType).alias("__r"), F.col(lo).alias("__k"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col(ORDER))
+        right = far_rows._with_order().where(F.col(ro).isNotNull()).select(F.lit(None).cast(left.schema["__l"].dataType).alias("__l"), held.alias("__r"), F.col(ro).alias("__k"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col(ORDER))
         both = left.unionByName(right).withColumn("__t", F.col("__r").isNotNull())
         parts = [f"__g{i}" for i in range(len(groups))]
         ways = {"backward": ["backward"], "forward": ["forward"], "nearest": ["backward", "forward"]}[strategy]
+        if cut:
+            both = both.withColumn("__p", _ranges(both, F.col("__k")))
         for way in ways:
             # With exact matches a right row comes before the left rows of its key, in the direction of the search.
             first = F.col("__t") != F.lit(allow_exact_matches)
             order = [F.col("__k").asc_nulls_first() if way == "backward" else F.col("__k").desc_nulls_last(), first.asc(), F.col(ORDER).asc()]
-            if parts and not spread:
+            if not cut:
                 both = both.withColumn(f"__{way}", F.last("__r", True).over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
             else:
                 both = self._asof_ranges(both, parts, order, way)
@@ -500,19 +505,17 @@ class Frame:
 
     @staticmethod
     def _asof_ranges(df: DataFrame, parts: list[str], order: list[Column], way: str) -> DataFrame:
-        """The match within each range of the order; where a group has no right row yet in a range, its last one of the ranges before."""
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = _written(df.repartitionByRange(n, *parts, *order).withColumn("__p", F.spark_partition_id()))
-        inside = Window.partitionBy("__p", *parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        """The match within each group's rows of a range __p of keys; where there is no right row yet, the group's last one of the ranges before."""
         down = way == "forward"
+        inside = Window.partitionBy("__p", *parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         held = F.struct(F.col("__k"), (-F.col(ORDER) if down else F.col(ORDER)).alias("o"), F.col("__r"))
+        # One row per range and group.
         ends = df.groupBy("__p", *parts).agg((F.min if down else F.max)(F.when(F.col("__t"), held)).alias("e"))
-        before = Window.partitionBy(*parts).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-        # Only a range's first group goes on from another one: at most one row per range.
-        carried = ends.select(F.col("__p").alias("__q"), *[F.col(g).alias(f"{g}_") for g in parts], F.last("e", True).over(before)["__r"].alias("__c")).where(F.col("__c").isNotNull())
+        before = Window.partitionBy(*parts).orderBy(F.desc("__p") if down else F.col("__p")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(F.col("__p").alias("__q"), *[F.col(g).alias(f"{g}_") for g in parts], F.last("e", True).over(before)["__r"].alias("__c"))
         same = functools.reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in parts], F.col("__p") == F.col("__q"))
-        out = df.withColumn("__m", F.last("__r", True).over(inside)).join(F.broadcast(carried), same, "left")
-        return out.withColumn(f"__{way}", F.coalesce("__m", "__c")).drop("__p", "__q", "__c", "__m", *[f"{g}_" for g in parts])
+        out = df.withColumn("__m", F.last("__r", True).over(inside)).join(carried if parts else F.broadcast(carried), same, "left")
+        return out.withColumn(f"__{way}", F.coalesce("__m", "__c")).drop("__q", "__c", "__m", *[f"{g}_" for g in parts])
 
     # -- grouping ---------------------------------------------------------------------
 
@@ -691,6 +694,24 @@ def _fixed(df: DataFrame) -> DataFrame:
     return df
 
 
+def _ranges(df: DataFrame, key: Column, most: int = 256) -> Column:
+    """The number of a row's range of keys, of about equal ranges as there are shuffle partitions; equal keys share one."""
+    n = min(most, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind = df.select(key.alias("k")).schema[0].dataType
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        key = temporal.micros(key, kind.simpleString())
+    found = df.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 1000)).first()[0] if n > 1 else []
+    cuts = [F.lit(x) for x in sorted(set(found or []))]
+
+    def number(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(key < cuts[mid], number(low, mid)).otherwise(number(mid + 1, high))
+
+    return number(0, len(cuts))
+
+
 def _distance(a: Column, b: Column, t: T.DataType) -> Column:
     if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
         return temporal.micros(a, t.simpleString()) - temporal.micros(b, t.simpleString())
