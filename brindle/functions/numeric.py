@@ -52,6 +52,11 @@ def floor_divide(a: Column, b: Column, dtype: T.DataType) -> Column:
     """Towards minus infinity; an integer over 0 is null."""
     if is_float(dtype):
         return _float_floor(true_divide(a, b))
+    if is_integer(dtype):
+        x, y = a.cast("bigint"), F.when(b != 0, b.cast("bigint"))
+        # Towards zero, and one less where something of the other sign is left.
+        rest = x % y
+        return (F.call_function("div", x, y) - F.when((rest != 0) & ((rest < 0) != (y < 0)), F.lit(1)).otherwise(F.lit(0))).cast(dtype)
     d = F.when(b != 0, b).cast("decimal(20,0)")
     return ((a.cast("decimal(20,0)") - modulo(a, b, dtype)) / d).cast(dtype)
 

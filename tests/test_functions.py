@@ -164,3 +164,13 @@ def test_sums_are_exact_in_any_order(spark):
     assert f.select(col("x").sum().alias("x"), col("y").cast("int64").sum().alias("y"), col("z").sum().alias("z")).rows() == [(big - 7, -6, 3)]
     with pytest.raises(Exception, match="overflow|OVERFLOW|out of range|OUT_OF_RANGE"):
         f.filter(col("x") > 0).select(col("x").sum().alias("x")).rows()
+
+
+def test_integer_division_floors(spark):
+    big = 2**63 - 1
+    pairs = [(a, c) for a in (-big - 1, -big, -7, -6, -1, 0, 1, 6, 7, big) for c in (-big, -7, -2, 1, 2, 7, big) if (a, c) != (-big - 1, -1)] + [(5, 0), (None, 3), (3, None)]
+    f = Frame(spark.createDataFrame(pairs, "a long, c long").coalesce(1))
+    want = [None if a is None or not c else a // c for a, c in pairs]
+    assert [r[0] for r in f.select((col("a") // col("c")).alias("q")).rows()] == want
+    small = Frame(spark.createDataFrame([(-7, 2), (7, -2), (6, 3)], "a int, c int").coalesce(1)).select((col("a") // col("c")).alias("q"))
+    assert [r[0] for r in small.rows()] == [-4, -4, 2] and small.dtypes[0].simpleString() == "int"
