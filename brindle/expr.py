@@ -84,6 +84,23 @@ class Needs:
         return out
 
 
+class Ranks:
+    """Columns that a grouping adds to its rows first: the places of values in their group, which sorts that spill find."""
+
+    def __init__(self, df: DataFrame, keys: list[Column]):
+        self.df, self.keys = df, keys
+        self.made: dict[str, tuple[Column, Column]] = {}
+
+    def of(self, x: Column) -> tuple[Column, Column]:
+        """The place of a value among its group's known ones, from 0, and their number."""
+        if str(x) not in self.made:
+            at, n = f"__at{len(self.made)}", f"__n{len(self.made)}"
+            place = F.row_number().over(Window.partitionBy(*self.keys).orderBy(x.asc_nulls_last())) - 1
+            self.df = self.df.withColumns({at: F.when(x.isNotNull(), place), n: F.count(x).over(Window.partitionBy(*self.keys))})
+            self.made[str(x)] = F.col(at), F.col(n)
+        return self.made[str(x)]
+
+
 @dataclass(frozen=True)
 class Context:
     """Where an expression is evaluated.
@@ -91,6 +108,9 @@ class Context:
     ``grouped``: inside agg(), where reductions are plain aggregates. Otherwise they are
     windows over ``partition``, whole unless the function has a frame of its own. ``needs``:
     gathers what windows over the whole table ask for; without it they are plain windows.
+    ``ranks``: places of values that a grouping finds first. ``made``: what reductions of a
+    whole table (``grouped`` without ``ranks``) have counted already; None where groups are
+    others than those of the rows.
     """
 
     df: DataFrame
@@ -101,9 +121,11 @@ class Context:
     keep: Column | None = None
     known: dict = field(default_factory=dict, compare=False)
     needs: Needs | None = field(default=None, compare=False)
+    ranks: Ranks | None = field(default=None, compare=False)
+    made: dict | None = field(default=None, compare=False)
 
     def dtype(self, c: Column) -> T.DataType:
-        return (self.needs.df if self.needs else self.df).select(c.alias("x")).schema[0].dataType
+        return (self.needs.df if self.needs else self.ranks.df if self.ranks else self.df).select(c.alias("x")).schema[0].dataType
 
     def row(self) -> Column:
         return F.col(ORDER)
@@ -162,6 +184,32 @@ class Context:
         carried = self.needs.carry((F.min_by if ahead else F.max_by)(c, F.when(c.isNotNull(), place)), lambda x: F.last(x, True), ahead)
         return F.coalesce(here, carried)
 
+    def quantile(self, c: Column, q: float, interpolation: str) -> Column:
+        """An exact quantile that is one of the values (or between two) without a list of them, where there is a way."""
+        x = c.cast("double")
+        kinds = reductions.QUANTILE_PLACES
+        if interpolation not in kinds:
+            raise ValueError(f"no interpolation {interpolation!r}")
+        if self.ranks is not None:
+            place, n = self.ranks.of(x)
+            picks = [F.max(F.when(place == f((n - 1) * F.lit(float(q))), x)) for f in kinds[interpolation]]
+        elif self.spread or self.grouped and self.made is not None:
+            made = {} if self.made is None else self.made
+            try:
+                if str(x) not in made:
+                    made[str(x)] = _counted_values(self.needs.given if self.spread else self.df, x)
+                counts = made[str(x)]
+            except AnalysisException:
+                return reductions.quantile(c, q, interpolation, self.reduce)
+            last = counts.agg(F.max("upto") - 1).scalar()
+            picks = []
+            for f in kinds[interpolation]:
+                at = f(last * F.lit(float(q)))
+                picks.append(counts.where((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)).agg(F.max("v")).scalar())
+        else:
+            return reductions.quantile(c, q, interpolation, self.reduce)
+        return picks[0] if len(picks) == 1 else (picks[0] + picks[1]) / 2
+
     def reduce(self, aggregate: Column) -> Column:
         if self.grouped:
             return aggregate
@@ -386,7 +434,7 @@ class Expr:
     def std(self, ddof: int = 1): return self._reduce(lambda ctx, c, w: reductions.variance(c, ddof, True, w))  # noqa: E704
     def var(self, ddof: int = 1): return self._reduce(lambda ctx, c, w: reductions.variance(c, ddof, False, w))  # noqa: E704
     def median(self): return self.quantile(0.5, "linear")  # noqa: E704
-    def quantile(self, q: float, interpolation: str = "nearest"): return self._reduce(lambda ctx, c, w: reductions.quantile(c, q, interpolation, w))  # noqa: E704
+    def quantile(self, q: float, interpolation: str = "nearest"): return self._reduce(lambda ctx, c, w: reductions.quantile(c, q, "linear", w) if interpolation == "linear" else ctx.quantile(c, q, interpolation))  # noqa: E704
     def any(self, ignore_nulls: bool = True): return self._reduce(lambda ctx, c, w: reductions.any_true(c, ignore_nulls, w))  # noqa: E704
     def all(self, ignore_nulls: bool = True): return self._reduce(lambda ctx, c, w: reductions.all_true(c, ignore_nulls, w))  # noqa: E704
     def skew(self, bias: bool = True): return self._reduce(lambda ctx, c, w: reductions.skewness(c, bias, w))  # noqa: E704
@@ -644,6 +692,14 @@ class Expr:
     def field(self, name: str): return self._map(lambda c: c.getField(name)).alias(name)  # noqa: E704
 
 
+def _counted_values(df: DataFrame, x: Column) -> DataFrame:
+    """Distinct known values v of a table in order, their numbers n, and how many rows there are upto each; written."""
+    from brindle.frame import Frame, _written
+
+    counts = df.select(x.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    return _written(Frame(counts).sort("v").select("v", "n", col("n").cum_sum().alias("upto")).df)
+
+
 def _beside(c: Column, n: int, ctx: Context) -> Column:
     """The value ``n`` rows before (after, if negative)."""
     return F.lag(c, n).over(ctx.nearby(n)) if n >= 0 else F.lead(c, -n).over(ctx.nearby(0, -n))

@@ -194,7 +194,8 @@ class Frame:
             return self._exploded(es)
         df = self._with_order() if self._needs_order(es) else self.df
         if es and all(e.shape == REDUCED and not e.literal or e.literal for _, e, _ in es) and not all(e.literal for _, e, _ in es):
-            return Frame(df.agg(*[e.build(Context(df, grouped=True, known=k)).alias(n) for n, e, k in es]))
+            made: dict = {}
+            return Frame(df.agg(*[e.build(Context(df, grouped=True, known=k, made=made)).alias(n) for n, e, k in es]))
         if es and all(e.shape == SEQUENCE for _, e, _ in es):
             lists = df.agg(*[e.build(Context(df, grouped=True, known=k)).alias(n) for n, e, k in es])
             some = [F.size(F.col(f"`{n}`")) > 0 for n, _, _ in es]
@@ -751,20 +752,21 @@ class GroupBy:
     def _prepared(self, ordered: bool) -> tuple[DataFrame, list[Column]]:
         es = self.frame._expanded(self.keys)
         df = self.frame._with_order() if ordered or self.maintain_order or self.frame._needs_order(es) else self.frame.df
-        return df, [e.build(Context(df, known=k)).alias(n) for n, e, k in es]
+        return df, [e.build(Context(df, known=k)) for _, e, k in es]
 
     def agg(self, *exprs, **named) -> Frame:
         es = self.frame._expanded([*_flat(exprs), *[v.alias(k) for k, v in named.items()]])
         df, keys = self._prepared(any(e.ordered or e.shape != REDUCED for _, e, _ in es))
         Frame._checked([*[n for n, _, _ in self.frame._expanded(self.keys)], *[n for n, _, _ in es]])
         if not es:
-            return Frame(df.select(*keys).distinct())
-        ctx = lambda k: Context(df, grouped=True, known=k)
+            return Frame(df.select(*[k.alias(n) for k, (n, _, _) in zip(keys, self.frame._expanded(self.keys), strict=True)]).distinct())
+        ranks = ex.Ranks(df, keys)
+        ctx = lambda k: Context(df, grouped=True, known=k, ranks=ranks)
         # A bare column in a group is the list of its values.
         out = [(e.build(ctx(k)) if e.shape != ROW or e.literal else e.implode().build(ctx(k))).alias(n) for n, e, k in es]
         # Keys go by other names meanwhile: a value may have a key's name.
         named = [n for n, _, _ in self.frame._expanded(self.keys)]
-        grouped = df.groupBy(*[k.alias(f"__key{i}") for i, k in enumerate(keys)]).agg(*out, *([F.min(ORDER).alias(ORDER)] if self.maintain_order else []))
+        grouped = ranks.df.groupBy(*[k.alias(f"__key{i}") for i, k in enumerate(keys)]).agg(*out, *([F.min(ORDER).alias(ORDER)] if self.maintain_order else []))
         grouped = grouped.orderBy(ORDER).drop(ORDER) if self.maintain_order else grouped
         return Frame(grouped.toDF(*named, *[n for n, _, _ in es]))
 

@@ -85,18 +85,20 @@ def variance(c: Column, ddof: int = 1, root: bool = False, w: Wrap = plain) -> C
     return F.sqrt(out) if root else out
 
 
+#: Where between 0 and the last place an interpolation looks: one place, or two whose values' mean counts.
+QUANTILE_PLACES = {"lower": [F.floor], "higher": [F.ceil], "nearest": [lambda at: F.floor(at + 0.5)], "midpoint": [F.floor, F.ceil]}
+
+
 def quantile(c: Column, q: float, interpolation: str = "nearest", w: Wrap = plain) -> Column:
-    """Exact, over values that aren't null; NaN counts as largest."""
+    """Exact, over values that aren't null; NaN counts as largest. Other than linear ones sort a list of the values."""
     x = c.cast("double")
     if interpolation == "linear":
         return w(F.percentile(x, F.lit(float(q))))
-    values = F.sort_array(w(F.collect_list(x)))
-    at = (F.size(values) - 1) * F.lit(float(q))
-    low, high, near = (F.get(values, k.cast("int")) for k in (F.floor(at), F.ceil(at), F.floor(at + 0.5)))
-    kinds = {"lower": low, "higher": high, "midpoint": (low + high) / 2, "nearest": near}
-    if interpolation not in kinds:
+    if interpolation not in QUANTILE_PLACES:
         raise ValueError(f"no interpolation {interpolation!r}")
-    return F.when(F.size(values) > 0, kinds[interpolation])
+    values = F.sort_array(w(F.collect_list(x)))
+    found = [F.get(values, f((F.size(values) - 1) * F.lit(float(q))).cast("int")) for f in QUANTILE_PLACES[interpolation]]
+    return F.when(F.size(values) > 0, found[0] if len(found) == 1 else (found[0] + found[1]) / 2)
 
 
 def any_true(c: Column, ignore_nulls: bool = True, w: Wrap = plain) -> Column:

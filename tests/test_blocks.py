@@ -139,3 +139,26 @@ def test_no_window_sees_all_rows(f):
             if "SinglePartition" in line:
                 below = " ".join(lines[i : i + 3])
                 assert "Aggregate" in below, below
+
+
+def quantile_of(values, q, kind):
+    held = sorted(values)
+    at = (len(held) - 1) * q
+    low, high = held[math.floor(at)], held[math.ceil(at)]
+    return {"lower": low, "higher": high, "nearest": held[math.floor(at + 0.5)], "midpoint": (low + high) / 2}[kind]
+
+
+@pytest.mark.parametrize("kind", ["lower", "higher", "nearest", "midpoint"])
+def test_quantiles_without_lists(f, kind):
+    x, known = col("x"), [v for v in X if v is not None]
+    for q in (0.0, 0.3, 0.5, 0.99, 1.0):
+        whole = f.select(x.quantile(q, kind).alias("a"), (x * 2).quantile(q, kind).alias("c"), x.filter(col("g") == "a").quantile(q, kind).alias("d"))
+        assert whole.rows()[0] == pytest.approx((quantile_of(known, q, kind), 2 * quantile_of(known, q, kind), quantile_of([r[1] for r in ROWS if r[2] == "a" and r[1] is not None], q, kind)))
+    groups = f.group_by("g").agg(x.quantile(0.3, kind).alias("a"), col("t").quantile(0.8, kind).alias("t"), x.filter(col("t") > 20).quantile(0.5, kind).round(1).alias("late"))
+    for g, a, t, late in groups.rows():
+        own = [r for r in ROWS if r[2] == g]
+        assert a == quantile_of([r[1] for r in own if r[1] is not None], 0.3, kind) and t == quantile_of([r[3] for r in own], 0.8, kind)
+        assert late == pytest.approx(round(quantile_of([r[1] for r in own if r[1] is not None and r[3] > 20], 0.5, kind) + 1e-12, 1), abs=0.051)
+    assert "collect_list" not in groups.explain() + f.select(x.quantile(0.5, kind).alias("a")).explain()
+    assert [r[0] for r in f.select((x - x.quantile(0.5, kind)).alias("d")).rows()] == pytest.approx([None if v is None else v - quantile_of(known, 0.5, kind) for v in X])
+    assert f.filter(col("k") < 0).select(x.quantile(0.5, kind).alias("a")).rows() == [(None,)] and f.select(b.lit(None, "float64").quantile(0.5, kind).alias("n")).rows() == [(None,)]
