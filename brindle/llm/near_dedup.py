@@ -252,9 +252,9 @@ def word_weights(docs: DataFrame, text: str = "text") -> WordWeights:
     counts = materialize(counts.where("n > 1 or word is null"), "word-counts")
     total = counts.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = counts.where(F.col("word").isNotNull() & (F.col("n") > max(1.0, FREQUENT * total)))
-    found = frequent.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
-    hashes = np.array([r["word"] for r in found], np.int64).view(np.uint64)
-    share = np.array([r["n"] for r in found], np.float64) / max(total, 1)
+    found = frequent.orderBy(F.desc("n"), "word").limit(MOST_WORDS).toArrow()
+    hashes = found["word"].to_numpy().astype(np.int64).view(np.uint64)
+    share = found["n"].to_numpy().astype(np.float64) / max(total, 1)
     order = np.argsort(hashes)
     return WordWeights(hashes[order], (1 + np.clip(np.log(share) / math.log(FREQUENT), 0, 1))[order])
 
