@@ -66,14 +66,17 @@ def shared_members(members: DataFrame) -> tuple[DataFrame, int]:
     return materialize_counted(members.join(many, F.col("k") == F.col("k2")).select("k", "node", "n"), "members")
 
 
-def _centres(members: DataFrame) -> DataFrame:
-    """A pair (a, b) per node: itself and the most central node of its largest bucket, where that is another one."""
+def _by_node(members: DataFrame) -> DataFrame:
+    """Per node: the keys ``ks`` of its buckets, their summed sizes c, and the key of the largest."""
     # A node that many others resemble lies in many large buckets.
-    own = members.groupBy("node").agg(F.sum("n").alias("c"), F.max(F.struct("n", "k"))["k"].alias("largest"))
-    own = materialize(own, "central")
-    ranked = members.select("k", "node").join(own.select(F.col("node").alias("node2"), "c"), F.col("node") == F.col("node2"))
-    centres = ranked.groupBy("k").agg(F.max(F.struct("c", "node"))["node"].alias("b"))
-    pairs = own.join(materialize(centres, "centres"), F.col("largest") == F.col("k")).where("node != b")
+    own = members.groupBy("node").agg(F.sum("n").alias("c"), F.max(F.struct("n", "k"))["k"].alias("largest"), F.collect_list("k").alias("ks"))
+    return materialize(own, "central")
+
+
+def _centres(own: DataFrame) -> DataFrame:
+    """A pair (a, b) per node of _by_node(): itself and the most central node of its largest bucket, where that is another one."""
+    centres = own.select("node", "c", F.explode("ks").alias("k")).groupBy("k").agg(F.max(F.struct("c", "node"))["node"].alias("b"))
+    pairs = own.select("node", "largest").join(materialize(centres, "centres"), F.col("largest") == F.col("k")).where("node != b")
     return materialize(pairs.select(F.col("node").alias("a"), "b"), "pairs")
 
 
@@ -121,19 +124,18 @@ def forest(comps: np.ndarray, linked: np.ndarray, one: np.ndarray, two: np.ndarr
     return out
 
 
-def _cells(members: DataFrame, held: DataFrame, labels: DataFrame | None, measure: Measure, rows: int, size: int) -> DataFrame:
-    """Links (a, b) that connect rows of different components in one bucket of members (k, node).
+def _cells(own: DataFrame, held: DataFrame, labels: DataFrame | None, measure: Measure, rows: int, size: int) -> DataFrame:
+    """Links (a, b) that connect rows of different components in one bucket of the nodes of _by_node().
 
-    ``held``: node, _size, _payload.
+    ``held``: node, _size, _payload. Joins see a node once, not once for each of its keys.
     """
-    ship(members.sparkSession)
-    sized = members.select("k", "node").join(held.select(F.col("node").alias("node2"), "_size"), F.col("node") == F.col("node2")).drop("node2")
+    ship(own.sparkSession)
+    sized = own.select("node", "ks").join(held.select(F.col("node").alias("node2"), "_size"), F.col("node") == F.col("node2")).drop("node2")
     if labels is None:
-        now = sized.withColumn("comp", F.col("node"))
+        named = sized.withColumn("comp", F.col("node"))
     else:
-        named = labels.select(F.col("node").alias("node3"), "label")
-        now = sized.join(named, F.col("node") == F.col("node3"), "left").select("k", "node", "_size", F.coalesce("label", "node").alias("comp"))
-    now = materialize(now, "met")
+        named = sized.join(labels.select(F.col("node").alias("node3"), "label"), F.col("node") == F.col("node3"), "left").withColumn("comp", F.coalesce("label", "node"))
+    now = materialize(named.select(F.explode("ks").alias("k"), "node", "_size", "comp"), "met")
     parts = now.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("_size").alias("s"))
     mixed = parts.groupBy("k").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.max(F.struct("m", "s", "comp")).alias("main")).where("parts > 1")
     blocks = lambda m, s: F.greatest(F.ceil(m / rows), F.ceil(s / size), F.lit(1)).cast("int")
@@ -202,13 +204,13 @@ def find_links(members: DataFrame, held: DataFrame, measure: Measure, rows: int
     of very many keys, most of whose buckets are chance.
     """
     ship(members.sparkSession)
-    large = members.where(F.col("n") > few)
-    pairs = _centres(large)
+    own = _by_node(members.where(F.col("n") > few))
+    pairs = _centres(own)
     if few:
         pairs = materialize(pairs.unionByName(_small_pairs(members, few, shared)), "pairs")
     links, some = materialize_counted(_verified(pairs, held, measure), "links")
     labels = connected_components(links) if some else None
-    more, new = materialize_counted(_cells(large, held, labels, measure, rows, size), "more-links")
+    more, new = materialize_counted(_cells(own, held, labels, measure, rows, size), "more-links")
     if new:
         links = materialize(links.unionByName(more).distinct(), "all-links")
         labels = connected_components(links)

@@ -2,6 +2,7 @@ import collections
 import math
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -168,6 +169,30 @@ def test_blocks_follow_sizes(spark):
     assert got == {4: 4, 15: 4, 9: 4}
 
 
+def rows_joined_by_node(spark, run):
+    """Rows that joins of node columns give while run() runs, by Spark's own counts."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    every, out = store.executionsList(), 0
+    for at in range(before, every.size()):
+        execution = every.apply(at).executionId()
+        values, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if re.match(r"\w*Join \[node\d*#\d+L\], \[node", node.desc()):
+                counts = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                out += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in counts if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return out
+
+
+def test_joins_see_a_node_once(spark):
+    # Copies of many common keys: joins take a row per node, not one for each of its keys.
+    copies, keys = 50, 40
+    joined = rows_joined_by_node(spark, lambda: classes_of(spark, {k: range(copies) for k in range(keys)}, [(a, b) for a in range(copies) for b in range(a)]))
+    assert copies <= joined <= 10 * copies
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_recall_of_links_on_documents(spark):
     """Of all pairs with ids divisible by 20 as queries that brute force links, those in one class."""
