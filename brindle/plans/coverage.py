@@ -427,7 +427,7 @@ def datasets(t):
 def stream_windows(t):
     stream = windows.parquet_stream(t.spark, t.folder, table="events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = windows.windowed(stream, "ts", "1 day", [F.count("*").alias("n"), F.sum("value").alias("v")], by=("event_type",), late="60 days")
-    got = windows.run_to_table(out, mode="complete", checkpoint=t.scratch("stream"))
+    got = windows.run_to_files(out, t.scratch("results"), t.scratch("stream"), mode="complete")
     return Frame(got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("v", 3).alias("s")))
 
 
@@ -435,7 +435,7 @@ def stream_windows(t):
 def stream_sessions(t):
     stream = windows.parquet_stream(t.spark, t.folder, table="events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = windows.sessions(stream, "ts", "2 hours", [F.count("*").alias("n")], by=("user_id",), late="60 days")
-    got = windows.run_to_table(out, mode="complete", checkpoint=t.scratch("stream"))
+    got = windows.run_to_files(out, t.scratch("results"), t.scratch("stream"), mode="complete")
     return Frame(got.select("user_id", F.col("session.start").cast("timestamp_ntz").alias("start"), F.col("session.end").cast("timestamp_ntz").alias("end"), "n"))
 
 

@@ -26,3 +26,22 @@ def test_integer_products(spark):
     assert product(2**62, 2**62, 0) == 0 and product(2**62, 2, -1) == -(2**63)
     with pytest.raises(Exception, match="overflow"):
         product(2**62, 2)
+
+
+def test_whole_results_of_streams_stay_out_of_the_driver(spark, tmp_path):
+    from brindle.plans import suites
+    from brindle.streaming import windows
+
+    before = {r.tableName for r in spark.sql("SHOW TABLES").collect()}
+    assert suites.queries()["stream_sessions"](spark, "/root/testdata/sf0.001").count() > 0
+    assert {r.tableName for r in spark.sql("SHOW TABLES").collect()} == before
+    p, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    rows = "SELECT timestamp_seconds({} * 60) AS t, id % 2 AS k FROM range({}, {})"
+    spark.sql(rows.format("id", 0, 10)).write.parquet(p)
+    run = lambda: windows.run_to_files(windows.sessions(windows.parquet_stream(spark, p), "t", "5 minutes", [F.count("*").alias("n")], by=("k",), late="10 days"), out, state, "complete")
+    assert sorted(r.n for r in run().collect()) == [5, 5]
+    spark.sql(rows.format("id + 100", 10, 14)).write.mode("append").parquet(p)
+    # Sessions of the first run are still there, and a run without news leaves them.
+    assert sorted(r.n for r in run().collect()) == [2, 2, 5, 5]
+    assert sorted(r.n for r in run().collect()) == [2, 2, 5, 5]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) is None
