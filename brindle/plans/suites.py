@@ -259,7 +259,9 @@ def group_quantile_nearest(t):
 
 @query("""SELECT user_id, arg_min(event_id, ts) AS first_event, arg_max(event_id, ts) AS last_event, arg_max(event_type, value) AS top_type, arg_min(event_type, value) AS low_type FROM events GROUP BY 1""")
 def group_first_last(t):
-    return t("events").sort("ts").group_by("user_id").agg(col("event_id").first().alias("first_event"), col("event_id").last().alias("last_event"), col("event_type").max_by("value").alias("top_type"), col("event_type").min_by("value").alias("low_type"))
+    # Of rows that share an extreme, the one with the smallest id counts, as in files in that order.
+    e = t("events").sort("event_id")
+    return e.group_by("user_id").agg(col("event_id").min_by("ts").alias("first_event"), col("event_id").max_by("ts").alias("last_event"), col("event_type").max_by("value").alias("top_type"), col("event_type").min_by("value").alias("low_type"))
 
 
 @query("""SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS path FROM events GROUP BY 1""")

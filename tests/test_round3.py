@@ -45,3 +45,17 @@ def test_whole_results_of_streams_stay_out_of_the_driver(spark, tmp_path):
     assert sorted(r.n for r in run().collect()) == [2, 2, 5, 5]
     assert sorted(r.n for r in run().collect()) == [2, 2, 5, 5]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) is None
+
+
+def test_first_and_last_events_of_equal_times(spark, tmp_path):
+    import duckdb
+
+    from brindle.plans import suites
+
+    rows = "SELECT id AS event_id, timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id % 5) AS ts, id % 3 AS user_id, concat('e', id % 7) AS event_type, CAST(id % 4 AS DOUBLE) AS value FROM range(1000)"
+    spark.sql(rows).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect(config={"threads": 1})
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = db.execute(suites.oracle_sql()["group_first_last"]).fetchall()
+    got = suites.queries()["group_first_last"](spark, str(tmp_path)).select("user_id", "first_event", "last_event", "top_type", "low_type").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
