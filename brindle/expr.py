@@ -355,7 +355,7 @@ class Expr:
     def cot(self): return self._map(numeric.cot)  # noqa: E704
     def floor(self): return self._map(lambda ctx, a: F.floor(a).cast(ctx.dtype(a)) if not numeric.is_float(ctx.dtype(a)) else numeric._float_floor(a).cast(ctx.dtype(a)), typed=True)  # noqa: E704
     def ceil(self): return self._map(lambda ctx, a: F.ceil(a).cast(ctx.dtype(a)) if not numeric.is_float(ctx.dtype(a)) else (-numeric._float_floor(-a)).cast(ctx.dtype(a)), typed=True)  # noqa: E704
-    def round(self, decimals: int = 0): return self._map(lambda ctx, a: F.round(a, decimals).cast(ctx.dtype(a)), typed=True)  # noqa: E704
+    def round(self, decimals: int = 0): return self._map(lambda ctx, a: numeric.round_half_away(a, decimals, ctx.dtype(a)), typed=True)  # noqa: E704
     def truncate(self, decimals: int = 0): return self._map(lambda ctx, a: numeric.truncate(a, decimals).cast(ctx.dtype(a)), typed=True)  # noqa: E704
 
     def clip(self, low=None, high=None):

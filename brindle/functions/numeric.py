@@ -105,6 +105,17 @@ def power(a: Column, b: Column, dtype: T.DataType) -> Column:
     return F.pow(a.cast("double"), b.cast("double"))
 
 
+def round_half_away(x: Column, decimals: int, dtype: T.DataType) -> Column:
+    """Half away from zero; floats by scaling, so what counts is the product and not the shortest decimal."""
+    if not is_float(dtype):
+        return F.round(x, decimals).cast(dtype)
+    v, scale = x.cast("double"), 10.0 ** abs(decimals)
+    if decimals <= 0:
+        return (F.round(v / scale) * scale if decimals else F.round(v)).cast(dtype)
+    # A half is a half in a double's shortest decimal too, so the product is rounded as it is. Where it is none, there are no fractions.
+    return F.when(F.abs(v) < 1e308 / scale, F.round(v * scale) / scale).otherwise(v).cast(dtype)
+
+
 def truncate(x: Column, decimals: int = 0) -> Column:
     scale = 10.0**decimals
     return F.signum(x) * F.floor(F.abs(x) * scale) / scale

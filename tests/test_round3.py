@@ -59,3 +59,19 @@ def test_first_and_last_events_of_equal_times(spark, tmp_path):
     want = db.execute(suites.oracle_sql()["group_first_last"]).fetchall()
     got = suites.queries()["group_first_last"](spark, str(tmp_path)).select("user_id", "first_event", "last_event", "top_type", "low_type").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_rounding_as_sql_does(spark):
+    import duckdb
+
+    values = [57.63 / 6.4 - 1, 0.5, -0.5, 2.5, 0.49999999999999994, 1.0000005, 2.675, 1e300, -1e17, 4503599627370497.5, 123456.789, -0.0, float("inf"), float("-inf"), float("nan"), None]
+    f = Frame(spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double"))
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t (k INT, v DOUBLE)")
+    db.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(values)))
+    places = (0, 1, 2, 6, 9, -2)
+    got = f.select("k", *[col("v").round(d).alias(f"r{i}") for i, d in enumerate(places)]).df.orderBy("k").collect()
+    want = db.execute("SELECT k, " + ", ".join(f"round(v, {d})" for d in places) + " FROM t ORDER BY k").fetchall()
+    shown = lambda rows: [tuple(None if x is None else str(x + 0.0) for x in r) for r in rows]
+    assert shown(got) == shown(want)
+    assert got[0].r3 == 8.004687
