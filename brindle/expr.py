@@ -28,6 +28,8 @@ ROW, REDUCED, SEQUENCE = "row", "reduced", "sequence"
 
 #: Hidden columns of a table that is cut into blocks of rows: a row's place, its block, whether it is a copy from a neighbour.
 PLACE, BLOCK, COPY = "__place", "__block", "__copy"
+#: Of one that is cut into steps of a number: the number by which rows of a step meet, whether a row counts as one of its step or as one of the step before.
+AT, OWN, EARLIER = "__at", "__own", "__earlier"
 
 
 class Mixed(Exception):
@@ -40,11 +42,12 @@ class Needs:
     Reductions of all rows are subqueries. ``carried``: per block of rows in
     order, what the blocks before (or after) sum up to. ``before``, ``after``: how many rows
     of the neighbouring blocks a row looks at. ``range``: a number, and how far from its own the
-    numbers of the rows are that a row looks at; blocks are then steps of that number.
+    numbers of the rows are that a row looks at; blocks are then steps of that number, as wide
+    as what a row looks at: the end of one step and the beginning of the next.
     """
 
     def __init__(self, df: DataFrame):
-        self.df = df.withColumns({PLACE: F.lit(0).cast("bigint"), BLOCK: F.lit(0).cast("bigint"), COPY: F.lit(False)})
+        self.df = df.withColumns({PLACE: F.lit(0).cast("bigint"), BLOCK: F.lit(0).cast("bigint"), COPY: F.lit(False), AT: F.lit(0).cast("bigint"), OWN: F.lit(True), EARLIER: F.lit(False)})
         self.given = df
         self.carried: dict[str, tuple[Column, Callable[[Column], Column], bool]] = {}
         self.before = self.after = 0
@@ -156,11 +159,14 @@ class Context:
         self.needs.before, self.needs.after = max(self.needs.before, before), max(self.needs.after, after)
         return Window.partitionBy(BLOCK).orderBy(PLACE)
 
-    def around(self, t: Column, low: int, high: int) -> Window:
+    def around(self, t: Column, low: int, high: int) -> Around:
         """The rows whose ``t`` is within [t + low, t + high] of a row's."""
-        if self.spread:
-            self.needs.around(t, low, high)
-        return Window.partitionBy(*((BLOCK,) if self.spread else self.partition)).orderBy(t).rangeBetween(low, high)
+        if not self.spread or high - low < 0:
+            return Around(Window.partitionBy(*self.partition).orderBy(t).rangeBetween(low, high))
+        self.needs.around(t, low, high)
+        step = Window.partitionBy(BLOCK)
+        first = Window.unboundedPreceding
+        return Around(step.orderBy(AT).rangeBetween(first, high), step.orderBy(F.col(AT).desc()).rangeBetween(first, -high - 1))
 
     def place(self) -> Column:
         """The row's number in its partition, from 1."""
@@ -228,6 +234,46 @@ class Context:
         return self.needs.reduced(aggregate) if self.spread else aggregate.over(Window.partitionBy(*self.partition))
 
 
+@dataclass(frozen=True)
+class Around:
+    """What reductions of the rows around a row see: one window, or a beginning of its step and an end of the one before.
+
+    Both of those are running values, so a row costs no more the more rows there are around it.
+    """
+
+    own: Window
+    earlier: Window | None = None
+
+    def both(self, aggregate: Callable[[Column], Column], c: Column) -> tuple[Column, Column | None]:
+        if self.earlier is None:
+            return aggregate(c).over(self.own), None
+        return aggregate(F.when(F.col(OWN), c)).over(self.own), aggregate(F.when(F.col(EARLIER), c)).over(self.earlier)
+
+    def reduce(self, aggregate: Callable[[Column], Column], c: Column, merge: Callable[[Column, Column], Column]) -> Column:
+        """``merge``: of two values, null ones among them."""
+        a, z = self.both(aggregate, c)
+        return a if z is None else merge(a, z)
+
+    def count(self, c: Column) -> Column:
+        return self.reduce(F.count, c, lambda a, z: a + F.coalesce(z, F.lit(0)))
+
+    def sum(self, c: Column) -> Column:
+        return self.reduce(F.sum, c, lambda a, z: F.coalesce(a + z, a, z))
+
+    def mean(self, c: Column) -> Column:
+        x = c.cast("double")
+        return F.avg(x).over(self.own) if self.earlier is None else self.sum(x) / F.nullif(self.count(x), F.lit(0))
+
+    def variance(self, c: Column, ddof: int, root: bool) -> Column:
+        x = c.cast("double")
+        if self.earlier is None:
+            return _spread(x, self.own, ddof, root)
+        (n, k), (m, o), (v, u) = (self.both(f, x) for f in (F.count, F.avg, F.var_pop))
+        apart = F.when((n > 0) & (k > 0), (m - o) * (m - o) * (n * k) / (n + k)).otherwise(F.lit(0.0))
+        out = F.when(n + k > ddof, (F.coalesce(v * n, F.lit(0.0)) + F.coalesce(u * k, F.lit(0.0)) + apart) / (n + k - ddof))
+        return F.sqrt(out) if root else out
+
+
 class Expr:
     """A named, composable column function."""
 
@@ -590,16 +636,16 @@ class Expr:
             low = -size.micros + (0 if closed in ("left", "both") else 1)
             high = 0 if closed in ("right", "both") else -1
             w = ctx.around(t, low, high)
-            return F.when(F.count(c).over(w) >= min_samples, f(ctx, c, w))
+            return F.when(w.count(c) >= min_samples, f(c, w))
 
         return Expr(lambda ctx: run(ctx, self.build(ctx)), self.name, ROW, True, self.expand)
 
-    def rolling_sum_by(self, by, window: str, closed: str = "right", min_samples: int = 1): return self._rolling_by(lambda ctx, c, w: F.sum(c).over(w), by, window, closed, min_samples)  # noqa: E704
-    def rolling_mean_by(self, by, window: str, closed: str = "right", min_samples: int = 1): return self._rolling_by(lambda ctx, c, w: F.avg(c.cast("double")).over(w), by, window, closed, min_samples)  # noqa: E704
-    def rolling_min_by(self, by, window: str, closed: str = "right", min_samples: int = 1): return self._rolling_by(lambda ctx, c, w: F.min(c).over(w), by, window, closed, min_samples)  # noqa: E704
-    def rolling_max_by(self, by, window: str, closed: str = "right", min_samples: int = 1): return self._rolling_by(lambda ctx, c, w: F.max(c).over(w), by, window, closed, min_samples)  # noqa: E704
-    def rolling_var_by(self, by, window: str, closed: str = "right", min_samples: int = 1, ddof: int = 1): return self._rolling_by(lambda ctx, c, w: _spread(c, w, ddof, False), by, window, closed, min_samples)  # noqa: E704
-    def rolling_std_by(self, by, window: str, closed: str = "right", min_samples: int = 1, ddof: int = 1): return self._rolling_by(lambda ctx, c, w: _spread(c, w, ddof, True), by, window, closed, min_samples)  # noqa: E704
+    def rolling_sum_by(self, by, window: str, closed: str = "right", min_samples: int = 1): return self._rolling_by(lambda c, w: w.sum(c), by, window, closed, min_samples)  # noqa: E704
+    def rolling_mean_by(self, by, window: str, closed: str = "right", min_samples: int = 1): return self._rolling_by(lambda c, w: w.mean(c), by, window, closed, min_samples)  # noqa: E704
+    def rolling_min_by(self, by, window: str, closed: str = "right", min_samples: int = 1): return self._rolling_by(lambda c, w: w.reduce(F.min, c, F.least), by, window, closed, min_samples)  # noqa: E704
+    def rolling_max_by(self, by, window: str, closed: str = "right", min_samples: int = 1): return self._rolling_by(lambda c, w: w.reduce(F.max, c, F.greatest), by, window, closed, min_samples)  # noqa: E704
+    def rolling_var_by(self, by, window: str, closed: str = "right", min_samples: int = 1, ddof: int = 1): return self._rolling_by(lambda c, w: w.variance(c, ddof, False), by, window, closed, min_samples)  # noqa: E704
+    def rolling_std_by(self, by, window: str, closed: str = "right", min_samples: int = 1, ddof: int = 1): return self._rolling_by(lambda c, w: w.variance(c, ddof, True), by, window, closed, min_samples)  # noqa: E704
 
     def forward_fill(self, limit: int | None = None): return self._window(lambda ctx, c: ctx.known_value(c) if limit is None else F.last(c, True).over(ctx.nearby(limit).rowsBetween(-limit, 0)))  # noqa: E704
     def backward_fill(self, limit: int | None = None): return self._window(lambda ctx, c: ctx.known_value(c, True) if limit is None else F.first(c, True).over(ctx.nearby(0, limit).rowsBetween(0, limit)))  # noqa: E704

@@ -138,11 +138,16 @@ class Frame:
                 df = df.withColumn(ORDER, F.col(ex.PLACE))
         if needs.range is not None:
             t, low, high = needs.range
-            step = F.lit(64 * max(1, high - low)).cast("bigint")
-            number = lambda x: F.floor(x / step).cast("bigint")
-            into = F.when(t.isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(number(t - high), number(t - low)))
-            df = df.withColumn(ex.BLOCK, F.explode(F.when(t.isNull(), into).otherwise(F.array_union(into, F.array(number(t))))))
-            return df.withColumn(ex.COPY, ~F.col(ex.BLOCK).eqNullSafe(number(t)))
+            step = F.lit(high - low + 1).cast("bigint")
+            number = lambda x: F.call_function("div", x - F.pmod(x, step), step)
+            # A row looks at its step up to itself, and at the step before from so far behind itself: there rows go by a number that is one step more.
+            here = number(t + high).eqNullSafe(number(t))
+            row = lambda of, at, copy, own, earlier: F.struct(of.alias("b"), at.alias("at"), F.lit(copy).alias("c"), own.alias("o"), F.lit(earlier).alias("e"))
+            copies = [row(number(t + high), t, False, here, False), F.when(t.isNotNull(), row(number(t) + 1, t + step, True, F.lit(False), True))]
+            if high:  # at the first number of a step, where what a row looks at ends in the step before
+                copies.append(F.when(~here, row(number(t), t, True, F.lit(True), False)))
+            df = df.withColumn("__into", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull())))
+            return df.withColumns({ex.BLOCK: F.col("__into.b"), ex.COPY: F.col("__into.c"), ex.AT: F.col("__into.at"), ex.OWN: F.col("__into.o"), ex.EARLIER: F.col("__into.e")}).drop("__into")
         if needs.order is None:
             return df
         size = max(BLOCK_ROWS, 8 * (needs.before + needs.after))

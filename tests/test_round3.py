@@ -75,3 +75,30 @@ def test_rounding_as_sql_does(spark):
     shown = lambda rows: [tuple(None if x is None else str(x + 0.0) for x in r) for r in rows]
     assert shown(got) == shown(want)
     assert got[0].r3 == 8.004687
+
+
+@pytest.mark.parametrize("closed", ["right", "left", "both", "none"])
+def test_ranges_of_numbers_by_halves(spark, closed):
+    import math
+    import random
+    import statistics
+
+    from brindle.functions import temporal
+
+    rng = random.Random(3)
+    rows = [(k, None if k % 50 == 7 else rng.randrange(-3_000_000, 3_000_000) // 1000 * 1000, None if k % 9 == 4 else float(rng.randrange(100))) for k in range(600)]
+    f = Frame(spark.createDataFrame(rows, "k long, m long, v double").repartition(3)).df
+    f = Frame(f.withColumn("t", temporal.from_micros(F.col("m"), "timestamp_ntz")))
+    v = col("v")
+    by = {"by": "t", "window": "100ms", "closed": closed}
+    out = f.select("k", v.rolling_sum_by(**by).alias("s"), v.rolling_mean_by(**by).alias("m"), v.rolling_min_by(**by).alias("l"), v.rolling_max_by(**by).alias("h"), v.rolling_var_by(**by, min_samples=2).alias("v"), v.rolling_std_by(**by, min_samples=2, ddof=0).alias("d"))
+    assert out.height == len(rows)
+    low, high = (-100_000 + (closed in ("right", "none"))), (0 if closed in ("right", "both") else -1)
+    for k, *got in out.rows():
+        t = rows[k][1]
+        near = [r[2] for r in rows if r[2] is not None and (r[1] is None if t is None else r[1] is not None and t + low <= r[1] <= t + high)]
+        want = [sum(near), sum(near) / len(near), min(near), max(near)] if near else [None] * 4
+        want += [statistics.variance(near), statistics.pstdev(near)] if len(near) > 1 else [None] * 2
+        assert all(g is None and w is None or g is not None and w is not None and math.isclose(g, w, rel_tol=1e-9, abs_tol=1e-9) for g, w in zip(got, want, strict=True)), (k, got, want)
+    # Running values only: no window whose cost grows with the rows around a row.
+    assert all("unboundedpreceding" in x for x in plan_of(out).split("specifiedwindowframe(RangeFrame")[1:])
