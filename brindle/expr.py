@@ -690,11 +690,14 @@ class Expr:
         def build(ctx):
             c = self.build(ctx)
             edges = ctx.reduce(F.percentile(c.cast("double"), F.array(*[F.lit(float(q)) for q in shares])))
-            n = F.size(F.filter(edges, lambda e: (e <= c) if left_closed else (e < c)))
+            n = F.lit(0)
+            for k in range(len(shares)):
+                edge = F.get(edges, F.lit(k))
+                n = n + F.when((edge <= c) if left_closed else (edge < c), F.lit(1)).otherwise(F.lit(0))
             out = n if labels is None else F.get(F.array(*[F.lit(x) for x in labels]), n)
             return F.when(c.isNotNull(), out)
 
-        return Expr(build, self.name, ROW, self.ordered, self.expand)
+        return self._looking(Expr(build, self.name, ROW, self.ordered, self.expand))
 
     def is_duplicated(self): return self._window_free(lambda ctx, c: F.count(F.lit(1)).over(Window.partitionBy(*ctx.partition, c)) > 1)  # noqa: E704
     def is_unique(self): return self._window_free(lambda ctx, c: F.count(F.lit(1)).over(Window.partitionBy(*ctx.partition, c)) == 1)  # noqa: E704

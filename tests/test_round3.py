@@ -102,3 +102,12 @@ def test_ranges_of_numbers_by_halves(spark, closed):
         assert all(g is None and w is None or g is not None and w is not None and math.isclose(g, w, rel_tol=1e-9, abs_tol=1e-9) for g, w in zip(got, want, strict=True)), (k, got, want)
     # Running values only: no window whose cost grows with the rows around a row.
     assert all("unboundedpreceding" in x for x in plan_of(out).split("specifiedwindowframe(RangeFrame")[1:])
+
+
+def test_quantile_bins_take_no_window(spark):
+    f = Frame(spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 10).cast("double").alias("v")))
+    out = f.select("k", col("v").qcut(2).alias("bin"))
+    assert "Window" not in plan_of(out)
+    assert dict(out.rows()) == {k: int(k % 10 > 4.5) for k in range(100)}
+    inside = f.with_columns((col("k") % 2).alias("g")).select("k", col("v").qcut([0.5]).over("g").alias("bin"))
+    assert dict(inside.rows()) == {k: int(k % 10 > (4 if k % 2 == 0 else 5)) for k in range(100)}
