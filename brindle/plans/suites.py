@@ -542,11 +542,11 @@ def window_rolling_spread(t):
 
 @query("""SELECT event_id, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd, nth_value(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_type)""")
 def window_distribution(t):
-    k, n = col("event_type"), b.len_()
-    low = k.rank("min").cast("float64")
-    e = t("events").sort("ts", "event_id")
-    many = n.over("user_id").cast("float64")
-    return e.select("event_id", b.when(n.over("user_id") > 1).then((low.over("user_id") - 1.0) / (many - 1.0)).otherwise(0.0).round(6).alias("pr"), (k.rank("max").cast("float64").over("user_id") / many).round(6).alias("cd"), b.when(n.over("user_id") > 1).then(col("event_id").head(2).over("user_id").list.get(1)).alias("second"))
+    k = col("event_type")
+    # Windows are columns first: what is written twice in an expression is a window twice.
+    e = t("events").sort("ts", "event_id").with_columns(b.len_().over("user_id").alias("n"), k.rank("min").over("user_id").cast("float64").alias("low"), k.rank("max").over("user_id").cast("float64").alias("high"), col("event_id").head(2).over("user_id").alias("ids"))
+    many, more = col("n").cast("float64"), col("n") > 1
+    return e.select("event_id", b.when(more).then((col("low") - 1.0) / (many - 1.0)).otherwise(0.0).round(6).alias("pr"), (col("high") / many).round(6).alias("cd"), b.when(more).then(col("ids").list.get(1)).alias("second"))
 
 
 @query("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand, p_size) > 1 AS twin, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) = 1 AS first, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) = 1 AS last FROM part")

@@ -111,3 +111,16 @@ def test_quantile_bins_take_no_window(spark):
     assert dict(out.rows()) == {k: int(k % 10 > 4.5) for k in range(100)}
     inside = f.with_columns((col("k") % 2).alias("g")).select("k", col("v").qcut([0.5]).over("g").alias("bin"))
     assert dict(inside.rows()) == {k: int(k % 10 > (4 if k % 2 == 0 else 5)) for k in range(100)}
+
+
+def test_few_elements_over_partitions(spark):
+    rows = [(k % 3, None if k % 7 == 2 else float(k * 37 % 50), k) for k in range(60)] + [(9, 1.0, 60)]
+    f = Frame(spark.createDataFrame(rows, "g int, v double, k long").coalesce(1))
+    v, k, late = col("v"), col("k"), col("k") > 20
+    e = [k.head(2), k.tail(3), k.slice(1, 2), v.top_k(3), v.bottom_k(2), k.top_k_by("v", 2), k.bottom_k_by("v", 3), k.filter(late).head(2), v.filter(late).tail(2), k.get(0), k.get(-1)]
+    names = [f"c{i}" for i in range(len(e))]
+    over = f.select("g", *[x.over("g").alias(n) for x, n in zip(e, names, strict=True)])
+    groups = {r[0]: r[1:] for r in f.group_by("g").agg(*[x.alias(n) for x, n in zip(e, names, strict=True)]).rows()}
+    got = over.rows()
+    assert len(got) == len(rows) and all(r[1:] == groups[r[0]] for r in got)
+    assert "collect_list" not in plan_of(over)
