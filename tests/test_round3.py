@@ -124,3 +124,19 @@ def test_few_elements_over_partitions(spark):
     got = over.rows()
     assert len(got) == len(rows) and all(r[1:] == groups[r[0]] for r in got)
     assert "collect_list" not in plan_of(over)
+
+
+def test_counts_of_values_in_groups_hold_distinct_values(spark):
+    rows = [("a", v) for v in ["y", "x", None, "x", "y", "z", "x", None, "y"]] + [("b", None), (None, "q")]
+    f = Frame(spark.createDataFrame(rows, "g string, v string").coalesce(1))
+    v = col("v")
+    out = f.group_by("g").agg(v.mode().alias("m"), v.value_counts(sort=True).alias("c"), v.value_counts(normalize=True).alias("p"), v.unique_counts().alias("u"), v.filter(v != "y").value_counts().alias("k"))
+    got = {r[0]: r[1:] for r in out.rows()}
+    m, c, p, u, k = got["a"]
+    assert m == ["x", "y"] and [tuple(x) for x in c] == [("y", 3), ("x", 3), (None, 2), ("z", 1)] and u == [3, 3, 2, 1]
+    assert [(x[0], round(x[1], 6)) for x in p] == [("y", 0.333333), ("x", 0.333333), (None, 0.222222), ("z", 0.111111)]
+    assert [tuple(x) for x in k] == [("x", 3), ("z", 1)] and got["b"][0] == [None] and got[None][3] == [1]
+    # What a group collects has one element per distinct value.
+    assert plan_of(out).count("collect_list(CASE WHEN (__first") > 0
+    whole = f.filter(col("g") == "a").select(v.mode().alias("m")).rows()
+    assert [r[0] for r in whole] == ["x", "y"]
